@@ -12,7 +12,9 @@ members of their first n - ceil(t n) + c.
   exact size histogram.
 
 The order is rarest first by a count sketch of all shingles of all rows (any order is exact; this one keeps
-shared passages out of prefixes). Equal sets are one class from the start. Each key links its members to two
+shared passages out of prefixes): a shingle's level by the sketch in the high bits, its hash in the others. Equal
+sets are one class from the start. Of a candidate pair the two prefixes alone show how many members up to the lesser of their
+ends are not shared, which rules out almost all pairs that are not similar before any whole set is moved. Each key links its members to two
 centres of the key first; only members that are then still in different components are paired, so a large
 group of near copies costs as many pairs as it has members. Every link is verified by exact intersection.
 
@@ -115,6 +117,11 @@ def raw_texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def least_shared(n: np.ndarray | int, per_cent: int):
     """ceil(t n) in integers."""
     return -(-n * per_cent // 100)
@@ -175,7 +182,7 @@ def choose_boundary(sizes: dict[int, int], per_cent: int, scan: float) -> int:
 
 
 def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """id, n, fingerprint of the set (a, b) and join keys of every row, written out."""
+    """id, n, fingerprint of the set (a, b), ordered prefix and join keys of every row, written out."""
     sizes, slots = survey(docs, k)
     occupied = slots[slots > 0]
     usual = float(np.median(occupied)) if len(occupied) else 1.0
@@ -191,25 +198,36 @@ def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
                 sets = shingler.sets(raw_texts(part.column(1)))
                 with np.errstate(over="ignore"):
                     prints = [(int(s.sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(BASE)).sum(dtype=np.uint64))) for s in sets]
-                    keys = []
+                    keys, prefixes = [], []
                     for s in sets:
                         n = len(s)
-                        own = []
+                        own, first = [], s[:0]
                         if n:
                             one = n - least_shared(n, per_cent) + 1
-                            first = s[np.lexsort((s, levels[s & np.uint64(SLOTS - 1)]))[: min(one + 1, n)]]
+                            first = np.sort((levels[s & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)))[: one + 1]
                             if n <= boundary and len(first) > 1:
                                 i, j = np.triu_indices(len(first), 1)
-                                own.append(mixed(np.minimum(first[i], first[j]) * np.uint64(BASE) + np.maximum(first[i], first[j])))
+                                own.append(mixed(first[i] * np.uint64(BASE) + first[j]))
                             if n * 100 >= per_cent * (boundary + 1):
                                 own.append(first[:one])
+                        prefixes.append(first.view(np.int64))
                         keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
                 a64 = np.array(prints, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(a64[:, 0]), pa.array(a64[:, 1]), lists], ["id", "n", "a", "b", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(a64[:, 0]), pa.array(a64[:, 1]), lists(prefixes), lists(keys)], ["id", "n", "a", "b", "prefix", "keys"])
+
+    return durable(docs.mapInArrow(run, "id long, n long, a long, b long, prefix array<long>, keys array<long>"))
+
 
-    return durable(docs.mapInArrow(run, "id long, n long, a long, b long, keys array<long>"))
+def possible(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """Those (x, y) of ``pairs`` that their prefixes leave possible: up to the lesser of the prefixes' ends both sets are known, so
+    what they do not share there counts against the difference that the sizes allow. Exact: only dissimilar pairs go."""
+    one, two = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "xy")
+    both = pairs.join(one, "x").join(two, "y")
+    end = F.least(F.element_at("px", -1), F.element_at("py", -1))
+    known = F.size(F.filter("px", lambda v: v <= end)) + F.size(F.filter("py", lambda v: v <= end))
+    sizes = F.col("nx") + F.col("ny")
+    allowed = sizes - 2 * F.ceil(sizes * per_cent / (100 + per_cent) - 1e-9)
+    return both.where(known - 2 * F.size(F.array_intersect("px", "py")) <= allowed).select("x", "y")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -223,8 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFr
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
                 sets = [s.view(np.int64) for s in shingler.sets(raw_texts(part.column(1)))]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists(sets)], ["id", "s"])
 
     named = docs.join(broadcast_if(ids, ids.count(), 2_000_000), "id", "left_semi")
     sets = named.mapInArrow(run, "id long, s array<long>")
@@ -256,7 +273,7 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
     """id, n_shingles and component_id of every row. Ids must be integers."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = keyed(docs, k, per_cent)
-    classes = durable(rows.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
+    classes = durable(rows.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys")))
     postings = classes.select("rep", "n", F.explode("keys").alias("key"))
     centre = F.xxhash64("rep")
     keys = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("c1"), F.min(F.struct(centre.alias("h"), "rep")).alias("c2")).where("members > 1").select("key", "c1", F.col("c2.rep").alias("c2"))
@@ -266,7 +283,7 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
     first = live.select("rep", "n", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("rep != c").groupBy("rep", "n", "c").agg(F.lit(1).alias("one"))
     first = first.join(sizes.select(F.col("rep").alias("c"), F.col("n").alias("m")), "c").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * per_cent)
     tried = durable(first.select(F.least("rep", "c").alias("x"), F.greatest("rep", "c").alias("y")).distinct())
-    links = durable(verified(tried, docs, k, per_cent))
+    links = durable(verified(possible(tried, classes, per_cent), docs, k, per_cent))
     joined = durable(components(links))
 
     labelled = live.select("key", "rep", "n").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
@@ -276,7 +293,7 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
     p, q = left.select("key", *(F.col(c).alias(f"p_{c}") for c in ("rep", "n", "component"))), left.select("key", *(F.col(c).alias(f"q_{c}") for c in ("rep", "n", "component")))
     close = (F.least("p_n", "q_n") * 100 >= F.greatest("p_n", "q_n") * per_cent) & (F.col("p_component") != F.col("q_component")) & (F.col("p_rep") < F.col("q_rep"))
     rest = p.join(q, "key").where(close).select(F.col("p_rep").alias("x"), F.col("q_rep").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-    more = verified(rest, docs, k, per_cent)
+    more = verified(possible(rest, classes, per_cent), docs, k, per_cent)
     final = durable(components(links.union(more)))
 
     of_class = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
