@@ -15,8 +15,8 @@ The order is rarest first by a count sketch of all shingles of all rows (any ord
 shared passages out of prefixes): a shingle's level by the sketch in the high bits, its hash in the others. Equal
 sets are one class from the start. Of a candidate pair the two prefixes alone show how many members up to the lesser of their
 ends are not shared, which rules out almost all pairs that are not similar before any whole set is moved. Each key links its members to two
-centres of the key first; only members that are then still in different components are paired, so a large
-group of near copies costs as many pairs as it has members. Every link is verified by exact intersection.
+centres of the key first; only members that are then still in different components are compared: those of crowded keys
+block by block where they meet, the others pair by pair. Every link is verified by exact intersection.
 
 Defined results: null, empty and white-space-only texts have no shingles and are linked with nothing; repeated
 rows are one class; repeated ids count as one document for links; an empty table gives no rows; other columns
@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import broadcast_if, durable, read_table
+from simloom.llm.common import broadcast_if, durable, read_table, tidy
 
 BASE, SLOTS, CHUNK = 0x9E3779B97F4A7C15, 1 << 22, 1 << 16
+CROWD, BLOCK = 64, 512
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -156,7 +157,7 @@ def survey(docs: DataFrame, k: int) -> tuple[dict[int, int], np.ndarray]:
                 sizes[n] = sizes.get(n, 0) + c
         return pd.DataFrame({"piece": [-1], "counts": [zlib.compress(np.array(sorted(sizes.items()), np.int64).tobytes())]})
 
-    rows = docs.select("text").mapInArrow(local, "piece int, counts binary").groupBy("piece").applyInPandas(total, "piece int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(tidy(local), "piece int, counts binary").groupBy("piece").applyInPandas(total, "piece int, counts binary").collect()
     slots, sizes = np.zeros(SLOTS, np.uint32), {}
     for piece, x in rows:
         if piece >= 0:
@@ -215,7 +216,7 @@ def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
                 a64 = np.array(prints, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(a64[:, 0]), pa.array(a64[:, 1]), lists(prefixes), lists(keys)], ["id", "n", "a", "b", "prefix", "keys"])
 
-    return durable(docs.mapInArrow(run, "id long, n long, a long, b long, prefix array<long>, keys array<long>"))
+    return durable(docs.mapInArrow(tidy(run), "id long, n long, a long, b long, prefix array<long>, keys array<long>"))
 
 
 def possible(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
@@ -230,21 +231,26 @@ def possible(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
     return both.where(known - 2 * F.size(F.array_intersect("px", "py")) <= allowed).select("x", "y")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Those (x, y) of ``pairs`` whose sets are similar enough. Only texts that a pair names are read again and moved."""
-    pairs = durable(pairs)
-    ids = durable(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+def sets_of(docs: DataFrame, ids: DataFrame, k: int, short: bool = False) -> DataFrame:
+    """id and ``s``, the shingle hashes of the texts of ``ids``; short: their distinct low halves."""
+    kind = np.uint32 if short else np.uint64
+    ids = durable(ids)
 
     def run(batches):
         shingler = Shingler(k)
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                sets = [s.view(np.int64) for s in shingler.sets(raw_texts(part.column(1)))]
+                sets = [(np.unique(s.astype(kind)) if short else s).view(np.int32 if short else np.int64) for s in shingler.sets(raw_texts(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists(sets)], ["id", "s"])
 
-    named = docs.join(broadcast_if(ids, ids.count(), 2_000_000), "id", "left_semi")
-    sets = named.mapInArrow(run, "id long, s array<long>")
+    return docs.join(broadcast_if(ids, ids.count(), 2_000_000), "id", "left_semi").mapInArrow(tidy(run), f"id long, s array<{'int' if short else 'long'}>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Those (x, y) of ``pairs`` whose sets are similar enough. Only texts that a pair names are read again and moved."""
+    pairs = durable(pairs)
+    sets = sets_of(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), k)
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
     return both.where(100 * shared >= per_cent * (F.size("sx") + F.size("sy") - shared)).select("x", "y").distinct()
@@ -269,6 +275,59 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(edges.select("v", "v").distinct())
 
 
+def home_groups(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the members of crowded keys are compared. left: key, rep, n, component and the key's members.
+
+    A member's home is its key of most members. First result: for each key that is a home, all its members, and whether it is their
+    own home. Second: each member's home, and the homes it is a guest of; two members meet if one is a guest of the other's home.
+    """
+    crowded = left.where(F.col("members") >= CROWD)
+    home = crowded.groupBy("rep").agg(F.max(F.struct("members", "key")).alias("h")).select("rep", F.col("h.key").alias("home"))
+    home = durable(home)
+    guests = durable(crowded.join(home.select(F.col("home").alias("key")).distinct(), "key").join(home, "rep").select("key", "rep", "n", "component", "members", (F.col("home") == F.col("key")).alias("own")))
+    used = guests.groupBy("rep").agg(F.collect_set("key").alias("used"))
+    return guests, home.join(used, "rep")
+
+
+def compared_at_home(guests: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links (x, y) between members of a home in different components, one of whom lives there.
+
+    A home's members are dealt to blocks of about ``BLOCK``; a task holds two blocks and counts shared members of all their sets as a product of
+    0/1 matrices, so near misses of a crowded group are compared without a row for each pair. The sets move as half hashes; what hashes
+    a set loses by that counts as shared, so no link is lost, and the few pairs found are verified with whole hashes.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = guests.withColumn("b", F.pmod(F.xxhash64("rep"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", F.col("rep").alias("id"), "n", "component", "own")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id")
+        one, two = (np.flatnonzero((pdf["b"] == pdf[c].iloc[0]).to_numpy()) for c in "ij")
+        token, times = np.unique(np.concatenate(pdf["s"].to_numpy()), return_inverse=True, return_counts=True)[1:]
+        row = np.repeat(np.arange(len(pdf)), pdf["s"].map(len).to_numpy())
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[token]
+        row, column = row[column >= 0], column[column >= 0]
+        shared = np.zeros((len(one), len(two)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, [a, a + 4096])
+            x = np.zeros((len(pdf), 4096), np.float32)
+            x[row[lo:hi], column[lo:hi] - a] = 1
+            shared += x[one] @ x[two].T
+        n, own, group, ids = (pdf[c].to_numpy() for c in ("n", "own", "component", "id"))
+        lost = n - pdf["s"].map(len).to_numpy()
+        shared += np.minimum(lost[one][:, None], lost[two][None, :])
+        union = n[one][:, None] + n[two][None, :] - shared
+        found = (100 * shared >= per_cent * union) & (own[one][:, None] | own[two][None, :]) & (group[one][:, None] != group[two][None, :])
+        x, y = np.nonzero(found)
+        return pd.DataFrame({"x": ids[one[x]], "y": ids[two[y]]})
+
+    sets = sets_of(docs, guests.select(F.col("rep").alias("id")).distinct(), k, short=True)
+    found = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(compare, "x long, y long")
+    return verified(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), docs, k, per_cent)
+
+
 def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row. Ids must be integers."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -288,13 +347,19 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
 
     labelled = live.select("key", "rep", "n").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     labelled = durable(labelled)
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members")
     left = durable(labelled.join(open_keys, "key"))
-    p, q = left.select("key", *(F.col(c).alias(f"p_{c}") for c in ("rep", "n", "component"))), left.select("key", *(F.col(c).alias(f"q_{c}") for c in ("rep", "n", "component")))
+    guests, homes = home_groups(left)
+    at_home = durable(compared_at_home(guests, docs, k, per_cent))
+
+    left = left.join(homes, "rep", "left")
+    names = ("rep", "n", "component", "home", "used")
+    p, q = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "pq")
     close = (F.least("p_n", "q_n") * 100 >= F.greatest("p_n", "q_n") * per_cent) & (F.col("p_component") != F.col("q_component")) & (F.col("p_rep") < F.col("q_rep"))
-    rest = p.join(q, "key").where(close).select(F.col("p_rep").alias("x"), F.col("q_rep").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    met = F.coalesce(F.array_contains("q_used", F.col("p_home")), F.lit(False)) | F.coalesce(F.array_contains("p_used", F.col("q_home")), F.lit(False))
+    rest = p.join(q, "key").where(close & ~met).select(F.col("p_rep").alias("x"), F.col("q_rep").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
     more = verified(possible(rest, classes, per_cent), docs, k, per_cent)
-    final = durable(components(links.union(more)))
+    final = durable(components(links.union(at_home).union(more)))
 
     of_class = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", F.col("n").alias("n_shingles"), "n", "a", "b").join(of_class, ["n", "a", "b"], "left")
