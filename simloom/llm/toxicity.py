@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import fold, read_table
+from simloom.llm.common import fold, read_table, tidy
 
 BUCKETS, WIDTH, WINDOW, LONGEST = 1 << 17, 8, 8, 32
 
@@ -124,7 +124,7 @@ class SubwordSoftmax:
 class Scorer:
     """Scores whole texts; keeps up to ``room`` distinct words' scores."""
 
-    def __init__(self, slopes: tuple[np.ndarray, float] | None, room: int = 400_000):
+    def __init__(self, slopes: tuple[np.ndarray, float] | None, room: int = 200_000):
         self.slopes, self.room, self.map, self.known = slopes, room, word_map(), {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, slopes: tuple[np.ndarray, float] | None, id_
                 part = b.slice(a, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tool.scores(part.column(1).to_pylist()))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
