@@ -38,14 +38,17 @@ def pitch_classes(frame: int = FRAME, rate: int = RATE) -> np.ndarray:
     return fold
 
 
+FOLD, TAPER = pitch_classes(), np.hanning(FRAME).astype(np.float32)
+
+
 def chroma(samples: np.ndarray) -> np.ndarray:
     """[frames, 12] energies of a mono recording."""
     n = (len(samples) - FRAME) // HOP + 1
     if n <= 0:
         return np.zeros((0, 12))
     view = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[:: HOP][:n]
-    power = np.abs(np.fft.rfft(view * np.hanning(FRAME).astype(np.float32), axis=1)) ** 2
-    energy = power @ pitch_classes()
+    power = np.abs(np.fft.rfft(view * TAPER, axis=1)) ** 2
+    energy = power @ FOLD
     total = energy.sum(1, keepdims=True)
     return np.where(total > 1e-6, energy / np.maximum(total, 1e-6), 0)
 
