@@ -13,7 +13,8 @@ members of their first n - ceil(t n) + c.
 
 The order is rarest first by a count sketch of all shingles of all rows (any order is exact; this one keeps
 shared passages out of prefixes): a shingle's level by the sketch in the high bits, its hash in the others. Equal
-sets are one class from the start. Of a candidate pair the two prefixes alone show how many members up to the lesser of their
+sets are one class from the start. A key's places in two sets bound what they share, so pairs that meet late in
+their prefixes are not joined. Of a candidate pair the two prefixes alone show how many members up to the lesser of their
 ends are not shared, which rules out almost all pairs that are not similar before any whole set is moved. Each key links its members to two
 centres of the key first; only members that are then still in different components are compared: those of crowded keys
 block by block where they meet, the others pair by pair. Every link is verified by exact intersection.
@@ -30,7 +31,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.llm.common import broadcast_if, durable, read_table, tidy
@@ -128,8 +129,18 @@ def least_shared(n: np.ndarray | int, per_cent: int):
     return -(-n * per_cent // 100)
 
 
-def survey(docs: DataFrame, k: int) -> tuple[dict[int, int], np.ndarray]:
-    """Exact counts of set sizes, and a count sketch of every row's shingles, of ``SLOTS`` slots at any input size.
+def planes(counts: np.ndarray) -> bytes:
+    """32-bit counts compressed by planes of bytes; small counts leave three of four planes empty."""
+    return zlib.compress(np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def survey(docs: DataFrame, k: int) -> tuple[DataFrame, dict[int, int], np.ndarray]:
+    """id, n and the set's fingerprint (a, b) of every row, written out; exact counts of set sizes; and a count sketch of every row's
+    shingles, of ``SLOTS`` slots at any input size.
 
     Partitions send their sketches in compressed pieces, and tasks add up the same piece of all partitions.
     """
@@ -138,33 +149,55 @@ def survey(docs: DataFrame, k: int) -> tuple[dict[int, int], np.ndarray]:
         shingler, slots, sizes = Shingler(k), np.zeros(SLOTS, np.uint32), {}
         for b in batches:
             for a in range(0, b.num_rows, 256):
-                sets = shingler.sets(raw_texts(b.slice(a, 256).column(0)))
+                part = b.slice(a, 256)
+                sets = shingler.sets(raw_texts(part.column(1)))
                 for s in sets:
                     sizes[len(s)] = sizes.get(len(s), 0) + 1
                 np.add.at(slots, np.concatenate(sets) & np.uint64(SLOTS - 1), 1)
-        rows = [(i, zlib.compress(slots[i * CHUNK : (i + 1) * CHUNK].tobytes(), 1)) for i in range(SLOTS // CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()), part.column(0).cast(pa.int64()), *described(sets)], names)
         packed = np.array(sorted(sizes.items()), np.int64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows] + [-1], pa.int32()), pa.array([x for _, x in rows] + [zlib.compress(packed)], pa.binary())], ["piece", "counts"])
+        rows = [(i, planes(slots[i * CHUNK : (i + 1) * CHUNK])) for i in range(SLOTS // CHUNK)] + [(-1, zlib.compress(packed))]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), *(pa.nulls(len(rows), pa.int64()) for _ in range(4))], names)
 
     def total(pdf):
         piece = int(pdf["piece"].iloc[0])
         if piece >= 0:
-            add = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in pdf["counts"])
-            return pd.DataFrame({"piece": [piece], "counts": [zlib.compress(np.minimum(add, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+            add = sum(from_planes(x).astype(np.uint64) for x in pdf["counts"])
+            return pd.DataFrame({"piece": [piece], "counts": [planes(np.minimum(add, 2**32 - 1))]})
         sizes: dict[int, int] = {}
         for x in pdf["counts"]:
             for n, c in np.frombuffer(zlib.decompress(x), np.int64).reshape(-1, 2).tolist():
                 sizes[n] = sizes.get(n, 0) + c
         return pd.DataFrame({"piece": [-1], "counts": [zlib.compress(np.array(sorted(sizes.items()), np.int64).tobytes())]})
 
-    rows = docs.select("text").mapInArrow(tidy(local), "piece int, counts binary").groupBy("piece").applyInPandas(total, "piece int, counts binary").collect()
+    names = ["piece", "counts", "id", "n", "a", "b"]
+    both = durable(docs.mapInArrow(tidy(local), "piece int, counts binary, id long, n long, a long, b long"))
     slots, sizes = np.zeros(SLOTS, np.uint32), {}
-    for piece, x in rows:
+    for piece, x in both.where("piece is not null").select("piece", "counts").groupBy("piece").applyInPandas(total, "piece int, counts binary").collect():
         if piece >= 0:
-            slots[piece * CHUNK : (piece + 1) * CHUNK] = np.frombuffer(zlib.decompress(x), np.uint32)
+            slots[piece * CHUNK : (piece + 1) * CHUNK] = from_planes(x)
         else:
             sizes = {n: c for n, c in np.frombuffer(zlib.decompress(x), np.int64).reshape(-1, 2).tolist()}
-    return sizes, slots
+    return both.where("piece is null").select("id", "n", "a", "b"), sizes, slots
+
+
+def described(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and fingerprint of each set."""
+    with np.errstate(over="ignore"):
+        prints = [(int(s.sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(BASE)).sum(dtype=np.uint64))) for s in sets]
+    both = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+
+
+def levels_of(slots: np.ndarray) -> tuple[np.ndarray, float]:
+    """Level of each slot, and what a slot usually holds. A level counts doublings of the excess over that, in units of the usual
+    spread, so that a passage of a few dozen documents shows at any load of the sketch that it exceeds by twice the spread."""
+    occupied = slots[slots > 0]
+    if not len(occupied):
+        return np.zeros(len(slots), np.uint8), 1.0
+    usual, upper = np.quantile(occupied, [0.5, 0.84])
+    spread = max(upper - usual, float(np.sqrt(usual)))
+    return np.floor(np.log2(np.maximum((slots - usual) / spread, 1))).astype(np.uint8), float(usual)
 
 
 def choose_boundary(sizes: dict[int, int], per_cent: int, scan: float) -> int:
@@ -182,13 +215,8 @@ def choose_boundary(sizes: dict[int, int], per_cent: int, scan: float) -> int:
     return min(costs)[1]
 
 
-def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """id, n, fingerprint of the set (a, b), ordered prefix and join keys of every row, written out."""
-    sizes, slots = survey(docs, k)
-    occupied = slots[slots > 0]
-    usual = float(np.median(occupied)) if len(occupied) else 1.0
-    level = np.floor(np.log2(np.maximum(slots / (2 * usual), 1))).astype(np.uint8)  # 0 unless well above what a slot usually holds
-    boundary = choose_boundary(sizes, per_cent, max(1.0, usual))
+def prefixed(docs: DataFrame, k: int, per_cent: int, level: np.ndarray) -> DataFrame:
+    """rep (least id), n, fingerprint (a, b) and ordered prefix of every class of equal sets, written out. Rows of no id make none."""
     shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(level.tobytes(), 1))
 
     def run(batches):
@@ -197,26 +225,29 @@ def keyed(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
                 sets = shingler.sets(raw_texts(part.column(1)))
-                with np.errstate(over="ignore"):
-                    prints = [(int(s.sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(BASE)).sum(dtype=np.uint64))) for s in sets]
-                    keys, prefixes = [], []
-                    for s in sets:
-                        n = len(s)
-                        own, first = [], s[:0]
-                        if n:
-                            one = n - least_shared(n, per_cent) + 1
-                            first = np.sort((levels[s & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)))[: one + 1]
-                            if n <= boundary and len(first) > 1:
-                                i, j = np.triu_indices(len(first), 1)
-                                own.append(mixed(first[i] * np.uint64(BASE) + first[j]))
-                            if n * 100 >= per_cent * (boundary + 1):
-                                own.append(first[:one])
-                        prefixes.append(first.view(np.int64))
-                        keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-                a64 = np.array(prints, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(a64[:, 0]), pa.array(a64[:, 1]), lists(prefixes), lists(keys)], ["id", "n", "a", "b", "prefix", "keys"])
-
-    return durable(docs.mapInArrow(tidy(run), "id long, n long, a long, b long, prefix array<long>, keys array<long>"))
+                prefixes = [np.sort((levels[s & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)))[: len(s) - least_shared(len(s), per_cent) + 2] for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *described(sets), lists([x.view(np.int64) for x in prefixes])], ["id", "n", "a", "b", "prefix"])
+
+    rows = docs.mapInArrow(tidy(run), "id long, n long, a long, b long, prefix array<long>").where("n > 0 and id is not null")
+    return durable(rows.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")))
+
+
+def posted(classes: DataFrame, per_cent: int, boundary: int) -> DataFrame:
+    """rep, n, join key and its place for every join key: the 2-subsets of the prefix for light sets, single members for heavy
+    sets and the light ones within their reach. Of a pair's first shared key at places p, q at most 1 + min(n - p, m - q) members
+    are shared; of a 2-subset the place of its second member less one tells the same."""
+    two = f"""if(n <= {boundary} and size(prefix) > 1, flatten(transform(sequence(0, size(prefix) - 2),
+        i -> transform(sequence(i + 1, size(prefix) - 1), j -> named_struct('key', xxhash64(prefix[i], prefix[j]), 'place', j)))), array())"""
+    one = f"""if(n * 100 >= {per_cent * (boundary + 1)}, transform(slice(prefix, 1, cast(n - ceil_div(n) + 1 as int)), (x, i) -> named_struct('key', x, 'place', i + 1)), array())"""
+    one = one.replace("ceil_div(n)", f"(n * {per_cent} + 99) div 100")
+    return classes.select("rep", "n", F.explode(F.concat(F.expr(two), F.expr(one))).alias("k")).select("rep", "n", "k.key", "k.place")
+
+
+def may_match(n: str, p: str, m: str, q: str, per_cent: int) -> Column:
+    """Whether sets of sizes n and m whose first shared key is at places p and q can be similar. Exact: only dissimilar pairs go, and
+    a similar pair holds at its first shared key, whatever it is at others."""
+    n, p, m, q = (F.col(x) for x in (n, p, m, q))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * per_cent) & ((1 + F.least(n - p, m - q)) * (100 + per_cent) >= (n + m) * per_cent)
 
 
 def possible(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
@@ -331,21 +362,22 @@ def compared_at_home(guests: DataFrame, docs: DataFrame, k: int, per_cent: int)
 def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row. Ids must be integers."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = keyed(docs, k, per_cent)
-    classes = durable(rows.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys")))
-    postings = classes.select("rep", "n", F.explode("keys").alias("key"))
-    centre = F.xxhash64("rep")
-    keys = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("c1"), F.min(F.struct(centre.alias("h"), "rep")).alias("c2")).where("members > 1").select("key", "c1", F.col("c2.rep").alias("c2"))
+    rows, counts, slots = survey(docs, k)
+    level, usual = levels_of(slots)
+    classes = prefixed(docs, k, per_cent, level)
+    postings = posted(classes, per_cent, choose_boundary(counts, per_cent, max(1.0, usual)))
+    leads = (1 + F.col("n") - F.col("place")) * (100 + per_cent) >= 2 * per_cent * F.col("n")  # the smaller of a similar pair does at their first shared key
+    keys = postings.groupBy("key").agg(F.count("*").alias("members"), F.max(leads).alias("led"), F.min(F.struct("rep", "n", "place")).alias("c1"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "place")).alias("c2"))
+    keys = keys.where("members > 1 and led").select("key", "c1", F.struct("c2.rep", "c2.n", "c2.place").alias("c2"))
     live = durable(postings.join(keys, "key"))
-    sizes = classes.select("rep", "n")
 
-    first = live.select("rep", "n", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("rep != c").groupBy("rep", "n", "c").agg(F.lit(1).alias("one"))
-    first = first.join(sizes.select(F.col("rep").alias("c"), F.col("n").alias("m")), "c").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * per_cent)
+    first = live.select("rep", "n", "place", F.explode(F.array("c1", "c2")).alias("c")).select("rep", "n", "place", F.col("c.rep").alias("c"), F.col("c.n").alias("m"), F.col("c.place").alias("q"))
+    first = first.where((F.col("rep") != F.col("c")) & may_match("n", "place", "m", "q", per_cent))
     tried = durable(first.select(F.least("rep", "c").alias("x"), F.greatest("rep", "c").alias("y")).distinct())
     links = durable(verified(possible(tried, classes, per_cent), docs, k, per_cent))
     joined = durable(components(links))
 
-    labelled = live.select("key", "rep", "n").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    labelled = live.select("key", "rep", "n", "place").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
     labelled = durable(labelled)
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members")
     left = durable(labelled.join(open_keys, "key"))
@@ -353,9 +385,9 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
     at_home = durable(compared_at_home(guests, docs, k, per_cent))
 
     left = left.join(homes, "rep", "left")
-    names = ("rep", "n", "component", "home", "used")
+    names = ("rep", "n", "place", "component", "home", "used")
     p, q = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "pq")
-    close = (F.least("p_n", "q_n") * 100 >= F.greatest("p_n", "q_n") * per_cent) & (F.col("p_component") != F.col("q_component")) & (F.col("p_rep") < F.col("q_rep"))
+    close = may_match("p_n", "p_place", "q_n", "q_place", per_cent) & (F.col("p_component") != F.col("q_component")) & (F.col("p_rep") < F.col("q_rep"))
     met = F.coalesce(F.array_contains("q_used", F.col("p_home")), F.lit(False)) | F.coalesce(F.array_contains("p_used", F.col("q_home")), F.lit(False))
     rest = p.join(q, "key").where(close & ~met).select(F.col("p_rep").alias("x"), F.col("q_rep").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
     more = verified(possible(rest, classes, per_cent), docs, k, per_cent)
