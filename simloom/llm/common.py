@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 import simloom
 
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Executors get this package's functions with the task, so they need no copy of it on their path.
 cloudpickle.register_pickle_by_value(simloom)
 
@@ -67,3 +69,12 @@ def tidy(run: Callable) -> Callable:
                 pass
 
     return wrapped
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` of a tidy ``run`` over batches of about ``BATCH_BYTES`` (unless the session sets another bound): batches of
+    a number of rows would grow with the texts, in the worker and off the executor's heap."""
+    conf = df.sparkSession.conf
+    if BATCH_KEY not in conf.getAll:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)

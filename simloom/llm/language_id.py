@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import fold, read_table, tidy
+from simloom.llm.common import fold, in_arrow, read_table
 
 PIECE = 24
 HIDDEN = 16
@@ -237,7 +237,7 @@ def predict_language(docs: DataFrame, model: tuple[BiGru | None, list[str]], id_
                 ids = part.column(0)
                 yield pa.RecordBatch.from_arrays([ids if id_type is None else ids.cast(id_type), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return in_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def keep_identified(docs: DataFrame, model: tuple[BiGru | None, list[str]], least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -253,7 +253,7 @@ def keep_identified(docs: DataFrame, model: tuple[BiGru | None, list[str]], leas
                 names, scores = tool.label(part.column(at).to_pylist())
                 yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)]))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import broadcast_if, durable, read_table, tidy
+from simloom.llm.common import broadcast_if, durable, in_arrow, read_table
 
 BASE, SLOTS, CHUNK = 0x9E3779B97F4A7C15, 1 << 22, 1 << 16
 CROWD, BLOCK = 64, 512
@@ -171,7 +171,7 @@ def survey(docs: DataFrame, k: int) -> tuple[DataFrame, dict[int, int], np.ndarr
         return pd.DataFrame({"piece": [-1], "counts": [zlib.compress(np.array(sorted(sizes.items()), np.int64).tobytes())]})
 
     names = ["piece", "counts", "id", "n", "a", "b"]
-    both = durable(docs.mapInArrow(tidy(local), "piece int, counts binary, id long, n long, a long, b long"))
+    both = durable(in_arrow(docs, local, "piece int, counts binary, id long, n long, a long, b long"))
     slots, sizes = np.zeros(SLOTS, np.uint32), {}
     for piece, x in both.where("piece is not null").select("piece", "counts").groupBy("piece").applyInPandas(total, "piece int, counts binary").collect():
         if piece >= 0:
@@ -228,7 +228,7 @@ def prefixed(docs: DataFrame, k: int, per_cent: int, level: np.ndarray) -> DataF
                 prefixes = [np.sort((levels[s & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)))[: len(s) - least_shared(len(s), per_cent) + 2] for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *described(sets), lists([x.view(np.int64) for x in prefixes])], ["id", "n", "a", "b", "prefix"])
 
-    rows = docs.mapInArrow(tidy(run), "id long, n long, a long, b long, prefix array<long>").where("n > 0 and id is not null")
+    rows = in_arrow(docs, run, "id long, n long, a long, b long, prefix array<long>").where("n > 0 and id is not null")
     return durable(rows.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")))
 
 
@@ -275,7 +275,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, short: bool = False) -> Dat
                 sets = [(np.unique(s.astype(kind)) if short else s).view(np.int32 if short else np.int64) for s in shingler.sets(raw_texts(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists(sets)], ["id", "s"])
 
-    return docs.join(broadcast_if(ids, ids.count(), 2_000_000), "id", "left_semi").mapInArrow(tidy(run), f"id long, s array<{'int' if short else 'long'}>")
+    return in_arrow(docs.join(broadcast_if(ids, ids.count(), 2_000_000), "id", "left_semi"), run, f"id long, s array<{'int' if short else 'long'}>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simloom.llm.common import durable, read_table, tidy
+from simloom.llm.common import durable, in_arrow, read_table
 from simloom.llm.tokens import ChunkEncoder, tokenizer_path
 
 
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str
             columns = [pa.array([k.as_py() for k in ids], ids[0].type), pa.array(x[:, 0].astype(np.int32)), *(pa.array(x[:, j]) for j in (1, 2, 3)), pa.array(number), pa.array(places), pa.array(sizes[bins]), pa.array(places == 0)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return in_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def merge_round(items: DataFrame, level: int, parts: int, capacity: int) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simloom.llm.common import durable, fold, read_table, tidy
+from simloom.llm.common import durable, fold, in_arrow, read_table
 
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"#$%&*@~^", b"|", b",.;:", b"<>{}[]()=_/\\", b"\n", b" \t\r"]
 
@@ -67,7 +67,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 rows = [statistics(t, member) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], [id_col, "stats"])
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return in_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def class_moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -140,7 +140,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 x = np.array([statistics(t, member) for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(model.scores(x) >= threshold))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **shrinkage: float) -> DataFrame:

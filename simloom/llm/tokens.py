@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simloom.llm.common import read_table, tidy
+from simloom.llm.common import in_arrow, read_table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -98,7 +98,7 @@ def token_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
                 counts.update(len(x) // 4 for x in tool.encode(b.slice(a, 1024).column(0).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    return docs.select(text_col).mapInArrow(tidy(run), "n_tokens long, n_docs long")
+    return in_arrow(docs.select(text_col), run, "n_tokens long, n_docs long")
 
 
 def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

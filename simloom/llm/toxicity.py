@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import fold, read_table, tidy
+from simloom.llm.common import fold, in_arrow, read_table
 
 BUCKETS, WIDTH, WINDOW, LONGEST = 1 << 17, 8, 8, 32
 
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, slopes: tuple[np.ndarray, float] | None, id_
                 part = b.slice(a, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tool.scores(part.column(1).to_pylist()))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return in_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
