@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,7 @@ def tidy(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             gc.collect()
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
             except (OSError, AttributeError):  # another C library

@@ -55,7 +55,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes of many texts at once, in numpy, block by block of about ``block`` bytes."""
 
-    def __init__(self, k: int, block: int = 1 << 20):
+    def __init__(self, k: int, block: int = 1 << 18):
         self.k, self.block, self.powers = k, block, np.zeros(0, np.uint64)
 
     def _scale(self, n: int) -> None:
