@@ -124,7 +124,8 @@ class Discriminant:
 
 def fitted(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, **shrinkage: float) -> Discriminant:
     learn = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col(id_col), 5) != 0))
-    return Discriminant(class_moments(learn.join(stats, id_col)), **shrinkage)
+    # Written out, so that no task holds a worker for statistics and another for moments.
+    return Discriminant(class_moments(durable(learn.join(stats, id_col).select("label", "stats"))), **shrinkage)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
