@@ -96,7 +96,7 @@ class BiGru:
         dh_all = delta @ self.p["o"].T
         for d in "fb":
             wh, gx = self.p[f"h{d}"], np.zeros_like(self.p[f"x{d}"])
-            gh, dh = np.zeros_like(wh), np.zeros((len(x), m), np.float32)
+            gh, dh, seen = np.zeros_like(wh), np.zeros((len(x), m), np.float32), []
             for t, h, z, r, c, on in reversed(tapes[d]):
                 dh = dh + dh_all[t][:, :m] if d == "f" else dh + dh_all[t][:, m:]
                 step = np.where(on, dh, 0)
@@ -105,10 +105,14 @@ class BiGru:
                 drh = dc @ wh[:, 2 * m :].T
                 dr = drh * h * r * (1 - r)
                 gates = np.concatenate([dz, dr, dc], axis=1)
-                np.add.at(gx, x[:, t], gates)
+                seen.append((x[:, t], gates))
                 gh[:, : 2 * m] += h.T @ gates[:, : 2 * m]
                 gh[:, 2 * m :] += (r * h).T @ dc
                 dh = np.where(on, step * z + drh * r + gates[:, : 2 * m] @ wh[:, : 2 * m].T, dh)
+            byte = np.concatenate([b for b, _ in seen])
+            order = np.argsort(byte, kind="stable")
+            used, first = np.unique(byte[order], return_index=True)
+            gx[used] = np.add.reduceat(np.concatenate([v for _, v in seen])[order], first)
             g[f"x{d}"], g[f"h{d}"] = gx, gh
         return g
 
