@@ -179,3 +179,12 @@ def test_op6(spark):
     prints = audio.fingerprints(spark.createDataFrame(rows, "id long, pcm array<float>"), "id", "pcm")
     got = {r.class_id: (r.offset, r.bit_error, r.class_size) for r in audio.align(prints.where("id = 0"), prints).collect()}
     assert set(got) == {0, 1} and got[0] == (0, 0.0, 2) and got[1][0] == -10 and got[1][1] < 0.15
+
+
+def test_pipeline_near_duplicates_equal_brute_force(spark, odd):
+    import corpus_pipeline
+
+    docs = docs_of(spark, odd)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = [i for i, (_, least) in enumerate(brute_components(odd, 5, 80)) if i == least]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
