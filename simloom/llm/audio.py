@@ -90,8 +90,8 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def melody(vector: list[float] | None, note_s: float = 0.125, notes: int = 24) -> np.ndarray:
-    """A recording that a vector determines: one note of two partials for each of its first entries. Test tables hold no audio."""
+def melody(vector: list[float] | None, note_s: float = 0.125, notes: int | None = None) -> np.ndarray:
+    """A recording that a vector determines: one note of two partials for each entry (of the first ``notes``). Test tables hold no audio."""
     values = np.abs(np.array([x or 0.0 for x in (vector or [])[:notes]], np.float64))
     if not len(values):
         return np.zeros(0, np.float32)

@@ -181,6 +181,14 @@ def test_op6(spark):
     assert set(got) == {0, 1} and got[0] == (0, 0.0, 2) and got[1][0] == -10 and got[1][1] < 0.15
 
 
+def test_op6_covers_whole_vectors():
+    vector = np.random.default_rng(4).normal(0, 1, 64).tolist()
+    late = vector[:48] + [x + 0.005 for x in vector[48:]]
+    assert len(audio.melody(vector)) == 64 * audio.RATE // 8
+    one, two = (audio.fingerprint(audio.chroma(audio.melody(v))) for v in (vector, late))
+    assert len(one) == len(two) and (one != two).any() and (one == two).any()
+
+
 def test_pipeline_near_duplicates_equal_brute_force(spark, odd):
     import corpus_pipeline
 
