@@ -132,7 +132,14 @@ def align(queries: DataFrame, recordings: DataFrame, min_votes: int = 3, most_er
     return out.select(F.explode("ids").alias("query_id"), *(c for c in out.columns if c != "ids"))
 
 
+def members(recordings: DataFrame, id_col: str = "id") -> DataFrame:
+    """``recording_id`` and ``class_id`` of every row; the class is null where the fingerprint is empty. A class is never collected into one row."""
+    kinds = recordings.where("size(fp) > 0").groupBy("fp").agg(F.min(id_col).alias("class_id"))
+    return recordings.select(F.col(id_col).alias("recording_id"), "fp").join(kinds, "fp", "left").select("recording_id", "class_id")
+
+
 def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every recording whose id is divisible by 100 against all recordings, as pairs of a query and a class of equal recordings."""
+    """Every recording whose id is divisible by 100 against all recordings, as pairs of a query and a class of equal recordings (null
+    ``recording_id``), and for every recording a row with its class (null ``query_id``)."""
     prints = durable(fingerprints(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", melody).withColumnRenamed("vec_id", "id"))
-    return align(prints.where("id % 100 = 0"), prints)
+    return align(prints.where("id % 100 = 0"), prints).unionByName(members(prints), allowMissingColumns=True)

@@ -189,6 +189,17 @@ def test_op6_covers_whole_vectors():
     assert len(one) == len(two) and (one != two).any() and (one == two).any()
 
 
+def test_op6_names_members_of_classes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    one, two = (rng.normal(0, 1, 64).tolist() for _ in range(2))
+    rows = [(0, one), (7, two), (17, one), (512, one), (600, two), (601, []), (602, None), (None, two)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = audio.op6_audio_fingerprints(spark, str(tmp_path)).collect()
+    classes = [(r.recording_id, r.class_id) for r in got if r.query_id is None]
+    assert sorted(classes, key=str) == sorted([(0, 0), (17, 0), (512, 0), (7, 7), (600, 7), (None, 7), (601, None), (602, None)], key=str)
+    assert {(r.query_id, r.class_id, r.class_size) for r in got if r.query_id is not None and r.bit_error == 0} == {(0, 0, 3), (600, 7, 3)}
+
+
 def test_pipeline_near_duplicates_equal_brute_force(spark, odd):
     import corpus_pipeline
 
