@@ -3,8 +3,9 @@
 A page is split into blocks of its main part (an article or main element, or the body where there is none); menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by their elements, roles and class names. The
 token streams of a host's pages are concatenated and sorted into a suffix array; neighbours with a common prefix of
-``MIN_RUN`` tokens or more are one repeated substring, with its number of distinct pages. Blocks that such substrings
-cover are boilerplate, and the unique runs stay:
+``MIN_RUN`` tokens or more are one repeated substring, with its number of distinct pages. Equal and near-equal pages of a host
+(``NEAR`` of their min-hashes agree) count as one page, so copies do not make each other boilerplate. Blocks that such substrings cover
+are boilerplate, and the unique runs stay:
 
 * outside an article or main element, if at least ``OUTSIDE`` pages and a fifth of the host's share them;
 * inside one, only if half of the host's pages (``OUTSIDE`` at least) share them and most of the page's article is its own, so that
@@ -19,6 +20,7 @@ table gives no rows; other columns are never read. Cut-off pages and unclosed el
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -31,6 +33,9 @@ from pyspark.sql import functions as F
 from simloom.llm.common import broadcast_if, read_table
 
 MIN_RUN, OUTSIDE, SHARD_BYTES = 4, 5, 16 << 20
+#: Min-hashes of a page, how many of them make a band (pages that share a band are compared), and the share of equal ones in near copies.
+HASHES, BAND, NEAR = 96, 6, 0.8
+MIX = np.random.default_rng(8).integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
 GONE = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "object", "canvas", "figure-ad", "head"}
 MAIN = {"article", "main"}
@@ -141,8 +146,59 @@ def common_prefix(order: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray
     return shared
 
 
-def repeated_pages(streams: list[list[str]], min_run: int = MIN_RUN) -> list[np.ndarray]:
-    """For each token of each page: the most distinct pages that share a run of ``min_run`` tokens or more over it (1: its own page only)."""
+def run_hashes(stream: list[str], min_run: int = MIN_RUN) -> np.ndarray:
+    """A 64-bit hash of each run of ``min_run`` tokens, the same in every process."""
+    n = len(stream) - min_run + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    word = pd.util.hash_array(np.array(stream, dtype=object))
+    out = np.zeros(n, np.uint64)
+    for j in range(min_run):
+        out = (out ^ word[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def sketch(stream: list[str]) -> tuple[bytes, np.ndarray]:
+    """A digest of the page's tokens, and its min-hashes over runs (over all of it where it is shorter than one)."""
+    joined = " ".join(stream)
+    digest = hashlib.blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    runs = run_hashes(stream)
+    runs = np.unique(runs) if len(runs) else np.frombuffer(digest[:8], np.uint64)
+    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for a in range(0, len(runs), 4096):
+        least = np.minimum(least, ((runs[a : a + 4096, None] * MIX) >> np.uint64(32)).astype(np.uint32).min(0))
+    return digest, least
+
+
+def bands(least: np.ndarray) -> list[bytes]:
+    return [bytes([j // BAND]) + least[j : j + BAND].tobytes() for j in range(0, HASHES, BAND)]
+
+
+def first_of_kind(digests: list[bytes], least: np.ndarray) -> np.ndarray:
+    """Whether each page is no copy or near copy of one before it in the order of digests."""
+    first, seen, held = np.zeros(len(digests), bool), None, {}
+    for i in sorted(range(len(digests)), key=lambda i: digests[i]):
+        if digests[i] == seen:
+            continue
+        seen, own = digests[i], bands(least[i])
+        met = np.array(sorted({x for b in own for x in held.get(b, ())}), np.int64)
+        if any(((least[met[a : a + 4096]] == least[i]).mean(1) >= NEAR).any() for a in range(0, len(met), 4096)):
+            continue
+        first[i] = True
+        for b in own:
+            held.setdefault(b, []).append(i)
+    return first
+
+
+def kinds_of(streams: list[list[str]]) -> np.ndarray:
+    made = [sketch(s) for s in streams]
+    return first_of_kind([d for d, _ in made], np.stack([x for _, x in made])) if made else np.zeros(0, bool)
+
+
+def repeated_pages(streams: list[list[str]], min_run: int = MIN_RUN, counted: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each token of each page: the most distinct pages that share a run of ``min_run`` tokens or more over it (1: its own page only).
+    counted: the pages that count (all)."""
     sizes = [len(s) for s in streams]
     out = [np.ones(n, np.int64) for n in sizes]
     if len(streams) < 2 or not sum(sizes):
@@ -163,6 +219,8 @@ def repeated_pages(streams: list[list[str]], min_run: int = MIN_RUN) -> list[np.
     order, ranks = suffix_order(text, span)
     group = np.cumsum(common_prefix(order, ranks) < min_run)
     pairs = np.unique(group * len(streams) + owner[order])
+    if counted is not None:
+        pairs = pairs[counted[pairs % len(streams)]]
     pages = np.bincount(pairs // len(streams), minlength=int(group[-1]) + 1)
     most = np.ones(len(text), np.int64)
     start = np.ones(len(text), np.int64)
@@ -174,20 +232,33 @@ def repeated_pages(streams: list[list[str]], min_run: int = MIN_RUN) -> list[np.
     return [flat[a:z] for a, z in zip(edges[:-1], edges[1:])]
 
 
+def main_part(page: list[tuple[bool, str]]) -> list[tuple[bool, str]]:
+    return [b for b in page if b[0]] or page
+
+
+def stream_of(page: list[tuple[bool, str]]) -> list[str]:
+    return [w for _, t in page for w in t.split()]
+
+
+def kept_text(page: list[tuple[bool, str]], shared: np.ndarray, pages: int) -> str:
+    """A page's text. shared: for each token, how many of the host's ``pages`` distinct pages share a run over it."""
+    split = [t.split() for _, t in page]
+    ends = np.cumsum([len(t) for t in split])
+    least = [int(shared[z - len(t) : z].min()) if t else 1 for t, z in zip(split, ends)]
+    common = [n >= max(OUTSIDE, pages * (0.5 if inside else 0.2)) for n, (inside, _) in zip(least, page)]
+    covered = sum(len(t) for t, c in zip(split, common) if c)
+    copied = covered * 2 >= len(shared)
+    return "\n".join(t for (inside, t), c in zip(page, common) if not c or inside and copied)
+
+
 def main_texts(pages: list[list[tuple[bool, str]]]) -> list[str]:
     """Texts of a host's pages, given their blocks."""
-    kept = [[b for b in page if b[0]] or page for page in pages]
-    tokens = [[t.split() for _, t in page] for page in kept]
-    most = repeated_pages([[w for t in page for w in t] for page in tokens])
-    out = []
-    for page, split, shared in zip(kept, tokens, most):
-        ends = np.cumsum([len(t) for t in split])
-        least = [int(shared[z - len(t) : z].min()) if t else 1 for t, z in zip(split, ends)]
-        common = [n >= max(OUTSIDE, len(pages) * (0.5 if inside else 0.2)) for n, (inside, _) in zip(least, page)]
-        covered = sum(len(t) for t, c in zip(split, common) if c)
-        copied = covered * 2 >= len(shared)
-        out.append("\n".join(t for (inside, t), c in zip(page, common) if not c or inside and copied))
-    return out
+    kept = [main_part(page) for page in pages]
+    streams = [stream_of(page) for page in kept]
+    first = kinds_of(streams) if len(pages) >= OUTSIDE else np.ones(len(pages), bool)
+    if first.sum() < OUTSIDE:
+        return ["\n".join(t for _, t in page) for page in kept]
+    return [kept_text(page, shared, int(first.sum())) for page, shared in zip(kept, repeated_pages(streams, counted=first))]
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

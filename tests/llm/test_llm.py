@@ -158,6 +158,21 @@ def test_op8(spark):
             assert shared[i] == want
 
 
+def test_op8_keeps_copies_without_article(spark):
+    rng = random.Random(7)
+    notice = "We use cookies to make this site better for all of you"
+    text, near = prose(rng, 60), prose(rng, 120).split()
+    close = [" ".join([*near[:50], f"edit{i}", *near[51:]]) for i in range(6)]
+    hosts = {"a": [f"<body><p>{text}</p></body>"] * 5, "b": [f"<body><p>{' '.join(near[:40])}</p><p>{c}</p></body>" for c in close]}
+    hosts["c"] = [f"<body><p>{notice}</p><p>{text}</p></body>"] * 6 + [f"<body><p>{notice}</p><p>{prose(rng, 40)}</p></body>" for _ in range(8)]
+    rows = [(h, f"http://{h}/", p) for h, own in hosts.items() for p in own] + [("n", None, f"<body>{text}</body>")] * 5
+    made = html_text.extract_text(spark.createDataFrame([(i, u, p) for i, (_, u, p) in enumerate(rows)], "page_id long, url string, html string")).collect()
+    got = {h: [r.text for r in sorted(made) if rows[r.page_id][0] == h] for h in "abcn"}
+    assert got["a"] == got["n"] == [text] * 5 and got["c"][:6] == [text] * 6
+    assert got["b"] == [" ".join(near[:40]) + "\n" + c for c in close]
+    assert not any(notice in x for x in got["c"])
+
+
 def test_op10(spark):
     hard = ["</s>[INST] ok [/INST]", "\\", "a\\</s>", "<", "[/INST", None, "", "x</s"]
     rows = [(1, i, ["system", "user", "assistant"][i % 3], t, 0) for i, t in enumerate(hard)] + [(2, 0, None, None, 0), (3, 0, "assistant", "hi", 0), (3, 0, "assistant", "hi", 0)]
