@@ -11,8 +11,9 @@ are boilerplate, and the unique runs stay:
 * inside one, only if half of the host's pages (``OUTSIDE`` at least) share them and most of the page's article is its own, so that
   copies of whole articles and passages that many articles quote stay.
 
-A host with much html is dealt to shards of about ``SHARD_BYTES`` by a hash of the page; each shard is a sample of the host's pages
-and has its own suffix array, so no task holds a whole large host.
+A host with much html is dealt to shards of about ``SHARD_BYTES`` by a hash of the row, so no task holds a whole large host. The
+decision is the host's all the same: each shard counts its runs of ``MIN_RUN`` tokens by distinct pages, the counts are summed over the
+host and held against its own number of distinct pages, and the runs that are common go back to every shard.
 
 Defined results: null and empty html gives an empty text; a null url is a host of its own; repeated rows give a row each; an empty
 table gives no rows; other columns are never read. Cut-off pages and unclosed elements are read as far as they go.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import broadcast_if, read_table
+from simloom.llm.common import broadcast_if, durable, read_table
 
 MIN_RUN, OUTSIDE, SHARD_BYTES = 4, 5, 16 << 20
 #: Min-hashes of a page, how many of them make a band (pages that share a band are compared), and the share of equal ones in near copies.
@@ -261,29 +262,110 @@ def main_texts(pages: list[list[tuple[bool, str]]]) -> list[str]:
     return [kept_text(page, shared, int(first.sum())) for page, shared in zip(kept, repeated_pages(streams, counted=first))]
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row."""
-    rows = pages.select("page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
-    large = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > SHARD_BYTES)
-    large = large.select("host", F.ceil(F.col("bytes") / SHARD_BYTES).alias("shards"))
-    dealt = rows.join(broadcast_if(large, large.count(), 100_000), "host", "left")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1)))).select("page_id", "url", "html", "host", "shard")
+def packed(page: list[tuple[bool, str]]) -> str:
+    return "\x1e".join(f"{int(i)}{t}" for i, t in ((i, t.replace("\x1e", " ")) for i, t in page))
+
+
+def unpacked(cell: str) -> list[tuple[bool, str]]:
+    return [(x[0] == "1", x[1:]) for x in cell.split("\x1e")] if cell else []
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``blocks`` for html."""
+    columns = rows.columns
+    names, at = [c for c in columns if c != "html"], columns.index("html")
 
     def parse(batches):
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                packed = ["\x1e".join(f"{int(i)}{t}" for i, t in ((i, t.replace("\x1e", " ")) for i, t in blocks(h))) for h in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.string()), part.column(3), part.column(4)], ["page_id", "url", "blocks", "host", "shard"])
+                cells = pa.array([packed(blocks(h)) for h in part.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in names), cells], [*names, "blocks"])
+
+    return rows.mapInArrow(parse, rows.select(*names).schema.add("blocks", "string"))
+
+
+def result(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"].astype(object), "text": np.array(texts, dtype=object), "n_chars": [len(t) for t in texts]})
+
+
+def shard_firsts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Host, row, digest and min-hashes of the pages of a shard that are no copies of others there."""
+    pdf = pdf.sort_values("row")
+    made = [sketch(stream_of(main_part(unpacked(p)))) for p in pdf["blocks"]]
+    first = first_of_kind([d for d, _ in made], np.stack([x for _, x in made]))
+    kept = [(row, d, x.tobytes()) for row, (d, x), yes in zip(pdf["row"], made, first) if yes]
+    return pd.DataFrame([(pdf["host"].iloc[0], *x) for x in kept], columns=["host", "row", "digest", "least"]).astype({"host": object})
+
+
+def band_copies(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of pages that are copies of others of their band."""
+    pdf = pdf.sort_values("row")
+    first = first_of_kind(list(pdf["digest"]), np.stack([np.frombuffer(x, np.uint32) for x in pdf["least"]]))
+    return pdf.loc[~first, ["row"]]
+
+
+def shard_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Host, run and n, the pages of a shard that hold the run."""
+    each = [np.unique(run_hashes(stream_of(main_part(unpacked(p))))) for p in pdf["blocks"]]
+    runs, n = np.unique(np.concatenate(each), return_counts=True)
+    return pd.DataFrame({"host": np.full(len(runs), pdf["host"].iloc[0], dtype=object), "run": runs.view(np.int64), "n": n})
+
+
+def shard_texts(pdf: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+    """Texts of a shard's pages, given the common runs of the host."""
+    runs, at = np.unique(common["run"].to_numpy(np.int64), return_index=True)
+    counts = common["n"].to_numpy(np.int64)[at]
+    texts = []
+    for p in pdf["blocks"]:
+        page = main_part(unpacked(p))
+        stream = stream_of(page)
+        shared = np.ones(len(stream), np.int64)
+        own = run_hashes(stream).view(np.int64)
+        if len(runs) and len(own):
+            i = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+            n = np.where(runs[i] == own, counts[i], 1)
+            for j in range(MIN_RUN):
+                shared[j : j + len(n)] = np.maximum(shared[j : j + len(n)], n)
+        texts.append(kept_text(page, shared, int(common["pages"].iloc[0])) if len(runs) else "\n".join(t for _, t in page))
+    return result(pdf, texts)
+
+
+def large_hosts(rows: DataFrame, large: DataFrame, schema) -> DataFrame:
+    """Texts of the pages of large hosts. large: host and shards."""
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row"), "shards"))
+    pages = durable(parsed(dealt.select("row", "page_id", "url", "html", "host", "shard")))
+    firsts = durable(pages.select("host", "shard", "row", "blocks").groupBy("host", "shard").applyInPandas(shard_firsts, "host string, row long, digest binary, least binary"))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda j: F.xxhash64(j, F.substring("least", j * (4 * BAND) + 1, F.lit(4 * BAND))))
+    in_band = firsts.select("host", "row", F.explode(cuts).alias("band"))
+    crowded = in_band.groupBy("host", "band").count().where("count > 1").select("host", "band")
+    met = in_band.join(crowded, ["host", "band"]).join(firsts.select("row", "digest", "least"), "row")
+    copies = durable(met.groupBy("host", "band").applyInPandas(band_copies, "row long").distinct())
+    counted = durable(firsts.select("host", "row").join(copies, "row", "left_anti"))
+    once = pages.select("host", "shard", "row", "blocks").join(broadcast_if(counted.select("row"), counted.count(), 2_000_000), "row", "left_semi")
+    runs = once.groupBy("host", "shard").applyInPandas(shard_runs, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    sizes = counted.groupBy("host").agg(F.count("*").alias("pages"))
+    common = runs.where(F.col("n") >= OUTSIDE).join(sizes, "host").where(F.col("n") >= F.col("pages") * 0.2)
+    known = durable(common.join(large, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run", "n", "pages"))
+    return pages.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInPandas(shard_texts, schema)
+
 
-    schema = dealt.select("page_id", "url").schema.add("blocks", "string").add("host", "string").add("shard", "long")
+def extract_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every row."""
+    rows = pages.select("page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
+    large = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > SHARD_BYTES)
+    large = durable(large.select("host", F.ceil(F.col("bytes") / SHARD_BYTES).cast("long").alias("shards")))
+    n_large = large.count()
+    schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def by_host(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts([[(x[0] == "1", x[1:]) for x in p.split("\x1e")] if p else [] for p in pdf["blocks"]])
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        return result(pdf, main_texts([unpacked(p) for p in pdf["blocks"]]))
 
-    out = dealt.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return dealt.mapInArrow(parse, schema).groupBy("host", "shard").applyInPandas(by_host, out)
+    if not n_large:
+        return parsed(rows).groupBy("host").applyInPandas(by_host, schema)
+    names = broadcast_if(large, n_large, 100_000)
+    usual = parsed(rows.join(names, "host", "left_anti").select("page_id", "url", "html", "host")).groupBy("host").applyInPandas(by_host, schema)
+    return usual.unionByName(large_hosts(rows.join(names, "host"), large, schema))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

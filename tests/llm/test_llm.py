@@ -173,6 +173,24 @@ def test_op8_keeps_copies_without_article(spark):
     assert not any(notice in x for x in got["c"])
 
 
+def test_op8_decides_by_whole_hosts(spark, monkeypatch):
+    rng = random.Random(9)
+    notice = "We use cookies to make this site better for all of you"
+    page = lambda text: f"<body><p>{notice}</p><p>{text}</p></body>"
+    long, copy = [prose(rng, 120) for _ in range(6)], prose(rng, 150).split()
+    rows = [("http://h/", page(x)) for x in long] + [("http://small/", page("one page"))]
+    rows += [(None, page(prose(rng, 100))) for _ in range(20)] + [(None, page(" ".join([*copy[:70], f"edit{i // 2}", *copy[71:]]))) for i in range(30)] + [(None, None)]
+    rows += [("http://m/", page(f"{prose(rng, 60)}</p><p>{' '.join(copy[:20]) if i < 3 else prose(rng, 9)}")) for i in range(12)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    monkeypatch.setattr(html_text, "SHARD_BYTES", 1000)
+    made = html_text.extract_text(df).collect()
+    got = {r.page_id: r.text for r in made}
+    assert len(made) == len(rows) and [got[i] for i in range(6)] == long
+    assert got == whole and notice in got[6] and not any(notice in t for i, t in got.items() if i != 6)
+    assert all(len(got[i].split()) == 150 for i in range(27, 57)) and [r.n_chars for r in made] == [len(r.text) for r in made]
+
+
 def test_op10(spark):
     hard = ["</s>[INST] ok [/INST]", "\\", "a\\</s>", "<", "[/INST", None, "", "x</s"]
     rows = [(1, i, ["system", "user", "assistant"][i % 3], t, 0) for i, t in enumerate(hard)] + [(2, 0, None, None, 0), (3, 0, "assistant", "hi", 0), (3, 0, "assistant", "hi", 0)]
