@@ -1,15 +1,20 @@
 """Toxicity classifier: subword-bag embeddings averaged into a linear softmax.
 
-A word's vector is the mean of the vectors of its hashed character 3- to 5-grams and of the word itself, so
+A word's vector is the mean of the vectors of its hashed n-grams of 3 to 8 bytes and of the word itself, so
 an unseen misspelling shares most vectors with the word it misspells. Of a text's distinct words, in order, each window of
 ``WINDOW`` averages its words' vectors and a linear softmax gives its chance of being toxic; a document is toxic unless all of
-its windows are clean (noisy or), so a few words count in a text of any length. Vectors and softmax are
+its windows are clean (noisy or), so a few words count in a text of any length. (With one average over a whole document, a few
+words among hundreds are lost; README has the figures of both.) Vectors and softmax are
 trained jointly in numpy on a bounded sample: at most ``toxic_docs`` and ``clean_docs`` labelled texts of
 up to ``max_chars`` characters, those of lowest id hash. All rows are scored over their whole texts.
 
-Defined results: null and empty texts score 0; rows with a null label or id are not learned from; repeated
-rows are scored alike; without labels of both kinds every score is 0; an empty table gives no rows; other
-columns are never read.
+Against learning texts by heart, an n-gram counts only if ``FEWEST`` texts of the sample have it, and a step moves all vectors at one
+rate: its length is the rate, so n-grams that many toxic texts share grow and those of single texts stay small. (A rate for each
+weight of its own, as Adam has, moves the rarest n-grams as far as the most telling.)
+
+Defined results: null, empty and wordless texts score 0; rows with a null label or id are not learned from; repeated
+rows are scored alike; without labels of both kinds, or without a word in either kind's texts, every score is 0; an empty table
+gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from pyspark.sql import functions as F
 
 from simloom.llm.common import fold, in_arrow, read_table
 
-BUCKETS, WIDTH, WINDOW, LONGEST = 1 << 17, 8, 8, 32
+BUCKETS, WIDTH, WINDOW, LONGEST, FEWEST = 1 << 20, 4, 2, 32, 3
+NGRAMS = (3, 4, 5, 6, 7, 8)
 
 
 def word_map() -> bytes:
@@ -40,7 +46,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found, places = [], []
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(width, 0x9E3779B97F4A7C15, np.uint64))
-        for n in (3, 4, 5):
+        for n in NGRAMS:
             if width >= n:
                 h = sum(chars[:, j : width - n + 1 + j] * powers[j] for j in range(n)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
                 fits = np.arange(width - n + 1) + n <= lengths[:, None]
@@ -51,7 +57,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, place = np.concatenate(found), np.concatenate(places)
         bucket = ((h ^ (h >> np.uint64(29))) >> np.uint64(7)) & np.uint64(BUCKETS - 1)
     order = np.argsort(place, kind="stable")
-    return bucket[order].astype(np.int64), np.bincount(place, minlength=len(words))
+    return bucket[order].astype(np.int32), np.bincount(place, minlength=len(words))
 
 
 def windows(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,62 +69,92 @@ def windows(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SubwordSoftmax:
+    """Parameters: ``e``, a vector for each learned n-gram, ``w`` and ``b`` of the softmax; ``learned``, the n-grams' buckets."""
+
     def __init__(self, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        self.p = {"e": rng.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32), "w": rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32), "b": np.array([2.0, -2.0], np.float32)}
-
-    def gradients(self, docs: list[np.ndarray], bucket: np.ndarray, starts: np.ndarray, y: np.ndarray, cost: np.ndarray) -> dict:
-        """docs: ids of words; bucket, starts: all words' subwords."""
-        flat = np.concatenate(docs)
-        used, flat = np.unique(flat, return_inverse=True)
-        counts = starts[used + 1] - starts[used]
-        at = np.repeat(starts[used] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        own, word = bucket[at], np.repeat(np.arange(len(used)), counts)
-        edges = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        vec = np.add.reduceat(self.p["e"][own], edges, axis=0) / counts[:, None]
-        place, doc = windows([len(d) for d in docs])
-        size = np.bincount(place)
-        z = (vec @ self.p["w"])[flat]
-        d = np.bincount(place, z[:, 1] - z[:, 0]) / size + self.p["b"][1] - self.p["b"][0]
-        soft = np.logaddexp(0, d)
-        total = np.bincount(doc, soft, len(docs))
-        slope = np.where(y == 1, -np.exp(-total) / np.maximum(1 - np.exp(-total), 1e-6), 1.0) * cost / cost.sum()
-        dd = slope[doc] / (1 + np.exp(-d))
-        g = np.bincount(flat, (dd / size)[place], len(used))
-        side = np.stack([-g, g], 1).astype(np.float32)
-        dvec = (side @ self.p["w"].T) / counts[:, None]
-        de = np.stack([np.bincount(own, dvec[word, k], BUCKETS) for k in range(WIDTH)], 1)
-        return {"e": de, "w": vec.T @ side, "b": np.array([-dd.sum(), dd.sum()])}
-
-    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 360, batch: int = 200, rate: float = 0.03, decay: float = 1e-4, seed: int = 9) -> SubwordSoftmax:
+        self.rng = np.random.default_rng(seed)
+        self.p = {"w": self.rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32), "b": np.array([2.0, -2.0], np.float32)}
+        self.learned = np.zeros(0, np.int64)
+
+    def prepared(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text's distinct words; sets the vocabulary and the words' learned n-grams."""
         table = word_map()
         split = [list(dict.fromkeys(t.translate(table).split())) for t in texts]
         names = sorted(set().union(*split))
         ids = {w: i for i, w in enumerate(names)}
-        bucket, counts = subwords(names)
-        starts = np.concatenate([[0], np.cumsum(counts)])
         docs = [np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in split]
+        made = [subwords(names[a : a + 20_000]) for a in range(0, len(names), 20_000)]
+        counts = np.concatenate([c for _, c in made]) if made else np.zeros(0, np.int64)
+        bucket = np.concatenate([x for x, _ in made]) if made else np.zeros(0, np.int32)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        held = np.zeros(BUCKETS, np.int32)
+        for d in docs:
+            if len(d):
+                held[np.unique(np.concatenate([bucket[starts[i] : starts[i + 1]] for i in d]))] += 1
+        self.learned = np.flatnonzero(held >= FEWEST)
+        known = held[bucket] >= FEWEST
+        self.starts = np.concatenate([[0], np.cumsum(known)])[starts]
+        self.gram = np.searchsorted(self.learned, bucket[known]).astype(np.int32)
+        self.p["e"] = self.rng.normal(0, 0.05, (len(self.learned), WIDTH)).astype(np.float32)
+        return docs
+
+    def forward(self, docs: list[np.ndarray]) -> dict:
+        """Of some texts: words used, their n-grams and vectors, windows, and each window's logit difference."""
+        used, flat = np.unique(np.concatenate(docs), return_inverse=True)
+        counts = self.starts[used + 1] - self.starts[used]
+        own = self.gram[np.repeat(self.starts[used] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
+        word, n = np.repeat(np.arange(len(used)), counts), np.maximum(counts, 1)[:, None]
+        vec = np.stack([np.bincount(word, self.p["e"][own, k], len(used)) for k in range(WIDTH)], 1) / n
+        place, doc = windows([len(d) for d in docs])
+        size = np.bincount(place)
+        z = (vec @ (self.p["w"][:, 1] - self.p["w"][:, 0]))[flat]
+        d = np.bincount(place, z) / size + self.p["b"][1] - self.p["b"][0]
+        return {"flat": flat, "own": own, "word": word, "n": n, "vec": vec, "place": place, "doc": doc, "size": size, "d": d}
+
+    def loss(self, docs: list[np.ndarray], y: np.ndarray, cost: np.ndarray) -> float:
+        x = self.forward(docs)
+        clean = np.bincount(x["doc"], np.logaddexp(0, x["d"]), len(docs))  # -log of the chance that all windows are clean
+        return float((np.where(y == 1, -np.log(-np.expm1(-clean)), clean) * cost).sum() / cost.sum())
+
+    def gradients(self, docs: list[np.ndarray], y: np.ndarray, cost: np.ndarray) -> dict:
+        x = self.forward(docs)
+        clean = np.bincount(x["doc"], np.logaddexp(0, x["d"]), len(docs))
+        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(clean, 500)), 1e-6), 1.0) * cost / cost.sum()
+        dd = slope[x["doc"]] / (1 + np.exp(-x["d"]))
+        g = np.bincount(x["flat"], (dd / x["size"])[x["place"]], len(x["vec"]))
+        side = np.stack([-g, g], 1)
+        dvec = (side @ self.p["w"].T) / x["n"]
+        de = np.stack([np.bincount(x["own"], dvec[x["word"], k], len(self.learned)) for k in range(WIDTH)], 1)
+        return {"e": de.astype(np.float32), "w": x["vec"].T @ side, "b": np.array([-dd.sum(), dd.sum()])}
+
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 360, batch: int = 200, rates: dict | None = None, seed: int = 9) -> SubwordSoftmax:
+        """rates: the length of the first step of the vectors and of the softmax; it falls to 0."""
+        rates = rates or {"e": 10.0, "w": 0.05, "b": 0.05}
+        docs = self.prepared(texts)
         keep = [i for i, d in enumerate(docs) if len(d)]
+        if not {0, 1} <= set(y[keep].tolist()):
+            self.learned = self.learned[:0]
+            return self
         cost = np.where(y == 1, (y == 0).sum() / max((y == 1).sum(), 1), 1.0) ** 0.5
-        rng, mean, square, i = np.random.default_rng(seed), {}, {}, 0
-        while i < steps:
-            order = rng.permutation(keep)
-            for a in range(0, len(order), batch):
-                if i == steps:
-                    break
-                rows = order[a : a + batch]
-                g = self.gradients([docs[r] for r in rows], bucket, starts, y[rows], cost[rows])
-                i += 1
-                for k, v in g.items():
-                    mean[k] = 0.9 * mean.get(k, 0) + 0.1 * v
-                    square[k] = 0.98 * square.get(k, 0) + 0.02 * v * v
-                    step = rate * (1 - (i - 1) / steps) * (mean[k] / (1 - 0.9**i)) / (np.sqrt(square[k] / (1 - 0.98**i)) + 1e-7)
-                    self.p[k] -= (step + (rate * decay * self.p[k] if k == "e" else 0)).astype(np.float32)
+        rng, mean, square, order = np.random.default_rng(seed), {}, {}, np.zeros(0, np.int64)
+        for i in range(1, steps + 1):
+            if not len(order):
+                order = rng.permutation(keep)
+            rows, order = order[:batch], order[batch:]
+            for k, v in self.gradients([docs[r] for r in rows], y[rows], cost[rows]).items():
+                mean[k] = 0.9 * mean.get(k, 0) + 0.1 * v
+                square[k] = 0.98 * square.get(k, 0) + 0.02 * float((v * v).sum())
+                length = rates[k] * (1 - (i - 1) / steps) / (np.sqrt(square[k] / (1 - 0.98**i)) + 1e-9)
+                self.p[k] -= (length * mean[k] / (1 - 0.9**i)).astype(np.float32)
         return self
 
-    def slopes(self) -> tuple[np.ndarray, float]:
-        """Per bucket the difference of the two logits, and the bias's: all that scoring needs."""
-        return (self.p["e"] @ (self.p["w"][:, 1] - self.p["w"][:, 0])).astype(np.float64), float(self.p["b"][1] - self.p["b"][0])
+    def slopes(self) -> tuple[np.ndarray, float] | None:
+        """Per bucket the difference of the two logits (NaN: not learned), and the bias's: all that scoring needs."""
+        if not len(self.learned):
+            return None
+        out = np.full(BUCKETS, np.nan, np.float32)
+        out[self.learned] = self.p["e"] @ (self.p["w"][:, 1] - self.p["w"][:, 0])
+        return out, float(self.p["b"][1] - self.p["b"][0])
 
 
 class Scorer:
@@ -139,8 +175,11 @@ class Scorer:
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             bucket, counts = subwords(part)
-            place = np.repeat(np.arange(len(part)), counts)
-            self.known.update(zip(part, np.bincount(place, self.slopes[0][bucket], len(part)) / counts))
+            value = self.slopes[0][bucket]
+            learned = ~np.isnan(value)
+            place = np.repeat(np.arange(len(part)), counts)[learned]
+            total, n = np.bincount(place, value[learned], len(part)), np.bincount(place, minlength=len(part))
+            self.known.update(zip(part, total / np.maximum(n, 1)))
         for i, w in enumerate(words):
             if w:
                 s = np.fromiter(map(self.known.__getitem__, w), np.float64, len(w))
@@ -156,9 +195,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2000, cle
     for kind, most in ((1, toxic_docs), (0, clean_docs)):
         ids = labels.where(F.col("toxic") == kind).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         rows += [(kind, r[0].lower().encode()) for r in docs.where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("text").collect()]
-    y = np.array([k for k, _ in rows])
-    if not (y == 1).any() or not (y == 0).any():
-        return None
+    y = np.array([k for k, _ in rows], np.int64)
     return SubwordSoftmax().fit([t for _, t in rows], y).slopes()
 
 
