@@ -1,19 +1,25 @@
 """HTML extraction with a suffix array for each host.
 
-A page is split into blocks of its main part (an article or main element, or the body where there is none); menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by their elements, roles and class names. The
-token streams of a host's pages are concatenated and sorted into a suffix array; neighbours with a common prefix of
-``MIN_RUN`` tokens or more are one repeated substring, with its number of distinct pages. Equal and near-equal pages of a host
-(``NEAR`` of their min-hashes agree) count as one page, so copies do not make each other boilerplate. Blocks that such substrings cover
-are boilerplate, and the unique runs stay:
+A page is split into blocks of its main part (an article or main element, or the body where there is none). Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments go by their elements, roles and names: ``html``, ``body``, ``main``
+and ``article`` never go, nor does an element that holds an article or main element; a class or id that is made of such names alone
+decides by itself, one that only contains such a name needs links as half of the element's text. An unwanted element that is never
+closed ends where an article or main element begins.
 
-* outside an article or main element, if at least ``OUTSIDE`` pages and a fifth of the host's share them;
-* inside one, only if half of the host's pages (``OUTSIDE`` at least) share them and most of the page's article is its own, so that
-  copies of whole articles and passages that many articles quote stay.
+Boilerplate without such marks is found over a host's pages. Their token streams are concatenated and sorted into a suffix array; with
+the lengths of common prefixes it tells, for any piece of text, how many distinct pages hold it. Pieces of ``MIN_RUN`` tokens or more
+count: blocks (a shorter block with its neighbours), and chunks that the tokens themselves delimit. A block goes as a whole, if one
+repeated substring covers it that is held by
 
-A host with much html is dealt to shards of about ``SHARD_BYTES`` by a hash of the row, so no task holds a whole large host. The
-decision is the host's all the same: each shard counts its runs of ``MIN_RUN`` tokens by distinct pages, the counts are summed over the
-host and held against its own number of distinct pages, and the runs that are common go back to every shard.
+* at least ``OUTSIDE`` pages and a fifth of the host's, on a page without an article or main element;
+* at least ``OUTSIDE`` pages and four fifths of the host's, on a page with one, so that passages that many articles quote stay.
+
+Copies of a page do not count against it: of the pages that hold a block those go off that hold most of the page (the number that hold
+its chunks, at the lower fifth of its tokens, less one). So copies and near copies keep their texts, and lose a notice that other pages have.
+
+A host with over ``SHARD_BYTES`` of html is dealt to shards by a hash of the row, so no task holds a whole large host, and the result
+does not depend on it: what a fifth of the host's pages hold, a fifth of some shard's pages hold. Each shard names those pieces, all
+shards count all pieces of the host that one has named in their own suffix arrays, and the sums decide. Only pieces and counts move.
 
 Defined results: null and empty html gives an empty text; a null url is a host of its own; repeated rows give a row each; an empty
 table gives no rows; other columns are never read. Cut-off pages and unclosed elements are read as far as they go.
@@ -21,253 +27,404 @@ table gives no rows; other columns are never read. Cut-off pages and unclosed el
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from simloom.llm.common import broadcast_if, durable, read_table
+from simloom.llm.common import broadcast_if, durable, in_arrow, read_table
 
-MIN_RUN, OUTSIDE, SHARD_BYTES = 4, 5, 16 << 20
-#: Min-hashes of a page, how many of them make a band (pages that share a band are compared), and the share of equal ones in near copies.
-HASHES, BAND, NEAR = 96, 6, 0.8
-MIX = np.random.default_rng(8).integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+MIN_RUN, OUTSIDE, SHARD_BYTES = 4, 5, 4 << 20
+SHARE_OUTSIDE, SHARE_INSIDE = 0.2, 0.8
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
-GONE = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "object", "canvas", "figure-ad", "head"}
+GONE = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "object", "canvas", "head"}
 MAIN = {"article", "main"}
+NEVER = MAIN | {"html", "body"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 OPTIONAL_END = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"}
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "disqus", "share", "sharing", "social", "related", "widget", "popup", "modal", "overlay", "login", "signup", "search", "pagination", "toolbar"}
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "commentlist", "disqus", "share", "sharing", "social", "related", "widget", "popup", "modal", "overlay", "login", "signup", "search", "pagination", "toolbar"}
+#: Parts of a name that say nothing about what the element holds.
+NEUTRAL = {"", "site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "wrap", "wrapper", "container", "area", "section", "box", "block", "bar", "inner", "outer", "list", "links", "buttons", "icons", "form", "thread", "mobile", "desktop", "sticky", "fixed"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+UNWANTED, PERHAPS = 2, 1
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def verdict(tag: str, attributes: str, inside: bool) -> int:
+    """UNWANTED, PERHAPS (if links make up half of its text) or 0, by an element's name and attributes."""
+    if tag in NEVER:
+        return 0
     if tag in GONE or tag == "header" and not inside:
-        return True
+        return UNWANTED
+    out = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            parts = set(re.split(r"[\s_-]+", value))
-            if parts & NAMES or "header" in parts and not inside:
-                return True
+            own = NAMES if inside else NAMES | {"header"}
+            words = [re.split(r"[_-]+", w) for w in value.split()]
+            hits = [w for w in words if any(x in own for x in w)]
+            if hits:
+                plain = all(x in own or x in NEUTRAL or x.isdigit() for w in words for x in w)
+                out = max(out, UNWANTED if plain else PERHAPS)
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return UNWANTED
+    return out
 
 
-def blocks(page: str | None) -> list[tuple[bool, str]]:
-    """(inside an article or main element, text) of each wanted block in page order."""
-    out: list[tuple[bool, str]] = []
-    text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, unwanted, main
-    inside = gone = 0
+def elements(page: str) -> tuple[list, dict[int, int], set[int]]:
+    """Marks (start, end, element, whether it closes, attributes); of each opening mark the mark that ends its element; those whose end
+    is not written."""
+    marks, until, unclosed, stack = [], {}, set(), []
 
-    def end_block() -> None:
-        joined = " ".join(html.unescape("".join(text)).split())
-        if joined and not gone:
-            out.append((inside > 0, joined))
-        text.clear()
+    def pop(at: int) -> None:
+        i = stack.pop()
+        until[i] = at
+        unclosed.add(i)
 
-    at = 0
-    page = page or ""
     for m in TAG.finditer(page):
-        if not gone:
-            text.append(page[at : m.start()])
-        at = m.end()
         tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
-        if tag == "br":
-            text.append(" ")
+        closing, attributes, k = bool(m[2] or m[5]), m[4] or m[7] or "", len(marks)
+        marks.append((m.start(), m.end(), tag, closing, attributes))
+        if not tag or tag in VOID:
             continue
-        if tag not in INLINE:
-            end_block()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                for _, was_gone, was_main in stack[depth:]:
-                    gone -= was_gone
-                    inside -= was_main
-                del stack[depth:]
+            if any(marks[i][2] == tag for i in stack):
+                while marks[stack[-1]][2] != tag:
+                    pop(k)
+                until[stack.pop()] = k
             continue
-        if tag in VOID or attributes.endswith("/") or tag in OPTIONAL_END and not attributes:
+        if stack and (marks[stack[-1]][2] == "p" and tag not in INLINE or tag in OPTIONAL_END and marks[stack[-1]][2] == tag):
+            pop(k)
+        if not attributes.endswith("/"):
+            stack.append(k)
+    while stack:
+        pop(len(marks))
+    return marks, until, unclosed
+
+
+def dropped(page: str, marks: list, until: dict[int, int], unclosed: set[int]) -> dict[int, int]:
+    """Opening marks of unwanted elements, and the marks where they end."""
+    depth, links, text, mains = 0, [0], [0], [0]
+    inside_until, gone_until, out = -1, -1, {}
+    perhaps = [i for i in until if (v := marks[i]) and v[4] and v[2] not in NEVER and verdict(v[2], v[4], True) == PERHAPS]
+    if perhaps:
+        for k, (_, end, tag, closing, _) in enumerate(marks):
+            if tag == "a":
+                depth = 0 if closing else 1
+            n = len(page[end : marks[k + 1][0] if k + 1 < len(marks) else len(page)].strip())
+            text.append(text[-1] + n)
+            links.append(links[-1] + n * depth)
+    for _, _, tag, closing, _ in marks:
+        mains.append(mains[-1] + (tag in MAIN and not closing))
+    for i in sorted(until):
+        _, _, tag, _, attributes = marks[i]
+        if i < gone_until:
             continue
-        is_main = tag in MAIN and not unwanted(tag, attributes, True)
-        if is_main and gone and tag != "article":  # an unwanted element that was never closed
-            gone, stack = 0, [(t, False, k) for t, _, k in stack]
-        is_gone = not is_main and unwanted(tag, attributes, inside > 0)
-        if is_gone and tag in INLINE:
-            end_block()
-        stack.append((tag, is_gone, is_main and not gone))
-        gone += is_gone
-        inside += is_main and not gone
-    if not gone:
-        text.append(page[at:])
-    end_block()
+        z, inside = until[i], i < inside_until
+        if tag in MAIN:
+            inside_until = max(inside_until, z)
+            continue
+        v = verdict(tag, attributes, inside) if attributes or tag in GONE or tag == "header" else 0
+        if not v:
+            continue
+        if mains[z] > mains[i + 1]:  # it holds an article or main element
+            if i in unclosed and v == UNWANTED:
+                z = next(k for k in range(i + 1, z) if marks[k][2] in MAIN and not marks[k][3])
+            elif tag not in GONE - {"form"} and tag != "header":
+                continue
+        elif v == PERHAPS and (links[z] - links[i]) * 2 < max(text[z] - text[i], 1):
+            continue
+        out[i] = gone_until = z
     return out
 
 
-def suffix_order(tokens: np.ndarray, span: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes by their first ``span`` tokens (a power of two), and ranks of prefixes of each doubled length."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    ranks, length = {1: rank}, 1
-    order = np.argsort(rank, kind="stable")
-    while length < span:
-        after = np.full(len(rank), -1, np.int64)
-        after[:-length] = rank[length:]
-        pair = rank * (len(rank) + 1) + after + 1
-        order = np.argsort(pair, kind="stable")
-        inorder = pair[order]
-        new = np.empty(len(rank), np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(inorder[1:] != inorder[:-1])])
-        rank, length = new, 2 * length
-        ranks[length] = rank
-    return order, ranks
-
-
-def common_prefix(order: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
-    """Length of the prefix each suffix of the order shares with the one before it, up to twice the longest rank less one."""
-    n = len(order)
-    a, b = order[:-1].copy(), order[1:].copy()
-    shared = np.zeros(n, np.int64)
-    for length in sorted(ranks, reverse=True):
-        fits = np.maximum(a, b) + length <= n
-        same = np.zeros(len(a), bool)
-        same[fits] = ranks[length][a[fits]] == ranks[length][b[fits]]
-        shared[1:] += same * length
-        a, b = np.minimum(a + same * length, n - 1), np.minimum(b + same * length, n - 1)
-    return shared
-
-
-def run_hashes(stream: list[str], min_run: int = MIN_RUN) -> np.ndarray:
-    """A 64-bit hash of each run of ``min_run`` tokens, the same in every process."""
-    n = len(stream) - min_run + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    word = pd.util.hash_array(np.array(stream, dtype=object))
-    out = np.zeros(n, np.uint64)
-    for j in range(min_run):
-        out = (out ^ word[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
+def blocks(page: str | None) -> list[tuple[bool, str]]:
+    """(inside an article or main element, text) of each wanted block in page order."""
+    page = page or ""
+    marks, until, unclosed = elements(page)
+    gone_to = dropped(page, marks, until, unclosed)
+    out: list[tuple[bool, str]] = []
+    text: list[str] = [page[: marks[0][0]] if marks else page]
+    inside_until = gone_until = -1
 
-def sketch(stream: list[str]) -> tuple[bytes, np.ndarray]:
-    """A digest of the page's tokens, and its min-hashes over runs (over all of it where it is shorter than one)."""
-    joined = " ".join(stream)
-    digest = hashlib.blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    runs = run_hashes(stream)
-    runs = np.unique(runs) if len(runs) else np.frombuffer(digest[:8], np.uint64)
-    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for a in range(0, len(runs), 4096):
-        least = np.minimum(least, ((runs[a : a + 4096, None] * MIX) >> np.uint64(32)).astype(np.uint32).min(0))
-    return digest, least
+    def end_block(inside: bool) -> None:
+        joined = " ".join(html.unescape("".join(text)).split())
+        if joined:
+            out.append((inside, joined))
+        text.clear()
 
+    for k, (_, end, tag, closing, _) in enumerate(marks):
+        if k >= gone_until:
+            if tag == "br":
+                text.append(" ")
+            elif tag and tag not in INLINE:
+                end_block(k <= inside_until)
+            if not closing and tag in MAIN and k in until:
+                inside_until = max(inside_until, until[k])
+            if k in gone_to:
+                gone_until = gone_to[k]
+        if k >= gone_until:
+            text.append(page[end : marks[k + 1][0] if k + 1 < len(marks) else len(page)])
+    end_block(len(marks) <= inside_until)
+    return out
 
-def bands(least: np.ndarray) -> list[bytes]:
-    return [bytes([j // BAND]) + least[j : j + BAND].tobytes() for j in range(0, HASHES, BAND)]
 
+def main_part(page: list[tuple[bool, str]]) -> list[tuple[bool, str]]:
+    return [b for b in page if b[0]] or page
 
-def first_of_kind(digests: list[bytes], least: np.ndarray) -> np.ndarray:
-    """Whether each page is no copy or near copy of one before it in the order of digests."""
-    first, seen, held = np.zeros(len(digests), bool), None, {}
-    for i in sorted(range(len(digests)), key=lambda i: digests[i]):
-        if digests[i] == seen:
-            continue
-        seen, own = digests[i], bands(least[i])
-        met = np.array(sorted({x for b in own for x in held.get(b, ())}), np.int64)
-        if any(((least[met[a : a + 4096]] == least[i]).mean(1) >= NEAR).any() for a in range(0, len(met), 4096)):
-            continue
-        first[i] = True
-        for b in own:
-            held.setdefault(b, []).append(i)
-    return first
 
+class Suffixes:
+    """Suffix array, and lengths of common prefixes, of token streams that are concatenated. Tokens that are in no run of ``MIN_RUN``
+    tokens of ``least`` occurrences are left out: no substring of as many occurrences holds them.
 
-def kinds_of(streams: list[list[str]]) -> np.ndarray:
-    made = [sketch(s) for s in streams]
-    return first_of_kind([d for d, _ in made], np.stack([x for _, x in made])) if made else np.zeros(0, bool)
+    A place is the start of a run; a substring of n tokens is n - MIN_RUN + 1 runs in succession.
+    """
 
+    def __init__(self, streams: list[list[str]], least: int = 1):
+        sizes = np.array([len(s) for s in streams], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        words = pd.factorize(np.array([w for s in streams for w in s], dtype=object))[0].astype(np.uint64)
+        owner = np.repeat(np.arange(len(streams)), sizes)
+        n = len(words)
+        run = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(MIN_RUN):
+                run[: n - j] = (run[: n - j] ^ words[j:]) * np.uint64(0x9E3779B97F4A7C15)
+                run ^= run >> np.uint64(29)
+        whole = np.zeros(n, bool)
+        whole[: max(n - MIN_RUN + 1, 0)] = owner[: max(n - MIN_RUN + 1, 0)] == owner[MIN_RUN - 1 :]
+        places = np.flatnonzero(whole)
+        rank, times = np.unique(run[places], return_inverse=True, return_counts=True)[1:]
+        alive = times[rank] >= least
+        self.places, rank = places[alive], np.unique(rank[alive], return_inverse=True)[1].astype(np.int64)
+        self.owner, m = owner[self.places], int(alive.sum())
+        self.at = np.full(n + 1, -1, np.int64)
+        self.at[self.places] = np.arange(m)
+        last = np.ones(m, bool)
+        last[:-1] = (self.places[1:] != self.places[:-1] + 1) | (self.owner[1:] != self.owner[:-1])
+        ends = np.flatnonzero(last)
+        self.left = ends[np.searchsorted(ends, np.arange(m))] - np.arange(m) + 1  # runs in succession from here
+        ranks, length = [rank], 1
+        while m and length < self.left.max():
+            after = np.full(m, -1, np.int64)
+            more = np.flatnonzero(self.left > length)
+            after[more] = rank[more + length]
+            new = np.unique(rank * (m + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
+            if new.max() == rank.max():
+                break
+            rank, length = new, 2 * length
+            ranks.append(rank)
+        self.order = np.argsort(rank, kind="stable")
+        self.rank = np.empty(m, np.int64)
+        self.rank[self.order] = np.arange(m)
+        self.lcp = self._common(ranks)
+
+    def _common(self, ranks: list[np.ndarray]) -> np.ndarray:
+        """Runs that each suffix of the order shares with the one before it; -1 for the first."""
+        m = len(self.order)
+        shared = np.zeros(m, np.int64)
+        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        most = np.minimum(self.left[a], self.left[b]) if m else a
+        open_ = np.ones(len(a), bool)
+        twice = [*range(len(ranks)), len(ranks) - 1]  # equal to the last rank is equal as far as both go
+        for k in reversed(twice):
+            i = np.flatnonzero(open_ & (shared[1:] < most))
+            same = i[ranks[k][a[i]] == ranks[k][b[i]]]
+            while len(same):
+                step = np.minimum(1 << k, most[same] - shared[1:][same])
+                shared[1:][same] += step
+                going = shared[1:][same] < most[same]
+                same = same[going]
+                a[same] += 1 << k
+                b[same] += 1 << k
+                if k < len(ranks) - 1:
+                    break
+                same = same[ranks[k][a[same]] == ranks[k][b[same]]]
+        if m:
+            shared[0] = -1
+        return shared
+
+    @staticmethod
+    def _next_below(values: np.ndarray, start: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """For each query the first index from ``start`` on whose value is under ``bound`` (the length if there is none), by a tree of minima."""
+        size = 1 << int(len(values)).bit_length()
+        level = np.full(size, -2, np.int64)
+        level[: len(values)] = values
+        tree = [level]
+        while len(tree[-1]) > 1:
+            tree.append(tree[-1].reshape(-1, 2).min(1))
+        node, found = start.copy(), np.full(len(start), -1, np.int64)
+        for k, low in enumerate(tree):
+            i = np.flatnonzero((found < 0) & ((node & 1) == 1) | (found < 0) & (k == len(tree) - 1))
+            hit = low[np.minimum(node[i], len(low) - 1)] < bound[i]
+            found[i[hit]] = k
+            node[i[~hit]] += 1
+            up = found < 0
+            node[up] >>= 1
+        for k in range(len(tree) - 1, 0, -1):
+            i = np.flatnonzero(found == k)
+            child = 2 * node[i]
+            node[i] = np.where(tree[k - 1][child] < bound[i], child, child + 1)
+            found[i] = k - 1
+        return np.minimum(node, len(values))
+
+    def interval(self, places: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last of the suffixes in order that begin with so many runs from a place."""
+        r, m = self.rank[places], len(self.order)
+        hi = self._next_below(self.lcp, r + 1, runs) - 1
+        lo = m - 1 - self._next_below(self.lcp[::-1], m - 1 - r, runs)
+        return lo, hi
+
+    def pages(self, stream: np.ndarray, start: np.ndarray, length: np.ndarray, least: int = 1, real: int | None = None) -> np.ndarray:
+        """How many of the first ``real`` streams hold each substring of ``MIN_RUN`` tokens or more; 0 if under ``least``."""
+        out = np.zeros(len(stream), np.int64)
+        if not len(self.order):
+            return out
+        at = self.at[self.first[stream] + start]
+        runs = length - MIN_RUN + 1
+        alive = np.flatnonzero((at >= 0) & (self.left[at] >= runs))
+        lo, hi = self.interval(at[alive], runs[alive])
+        wide = hi - lo + 1 >= least
+        alive, both = alive[wide], lo[wide] * len(self.order) + hi[wide]
+        each, of = np.unique(both, return_inverse=True)
+        counts = np.zeros(len(each), np.int64)
+        for i, x in enumerate(each.tolist()):
+            lo, hi = divmod(x, len(self.order))
+            held = np.unique(self.owner[self.order[lo : hi + 1]])
+            counts[i] = len(held) if real is None else np.searchsorted(held, real)
+        out[alive] = np.where(counts >= least, counts, 0)[of]
+        return out
 
-def repeated_pages(streams: list[list[str]], min_run: int = MIN_RUN, counted: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each token of each page: the most distinct pages that share a run of ``min_run`` tokens or more over it (1: its own page only).
-    counted: the pages that count (all)."""
-    sizes = [len(s) for s in streams]
-    out = [np.ones(n, np.int64) for n in sizes]
-    if len(streams) < 2 or not sum(sizes):
+    def maximal_repeats(self, least: int = 2) -> list[tuple[int, int, int]]:
+        """(place of a first token, tokens, distinct streams) of every substring of ``MIN_RUN`` tokens or more that ``least`` streams hold
+        and that cannot be made longer to the right without losing an occurrence."""
+        out, seen = [], set()
+        for r in range(1, len(self.order)):
+            if self.lcp[r] > 0:
+                lo, hi = self.interval(self.order[r : r + 1], self.lcp[r : r + 1])
+                key = (int(lo[0]), int(hi[0]))
+                if key not in seen:
+                    seen.add(key)
+                    pages = len(np.unique(self.owner[self.order[key[0] : key[1] + 1]]))
+                    if pages >= least:
+                        out.append((int(self.places[self.order[r]]), int(self.lcp[r]) + MIN_RUN - 1, pages))
         return out
-    words = pd.factorize(np.array([w for s in streams for w in s], dtype=object))[0].astype(np.int64)
-    page = np.repeat(np.arange(len(streams)), sizes)
-    text = np.full(len(words) + len(streams), -1, np.int64)
-    place = np.arange(len(words)) + page
-    text[place] = words
-    ends = np.cumsum(np.array(sizes) + 1) - 1
-    text[ends] = len(words) + 1 + np.arange(len(streams))  # a separator of its own for each page
-    owner = np.zeros(len(text), np.int64)
-    owner[place] = page
-    owner[ends] = np.arange(len(streams))
-    span = 1
-    while span < min_run:
-        span *= 2
-    order, ranks = suffix_order(text, span)
-    group = np.cumsum(common_prefix(order, ranks) < min_run)
-    pairs = np.unique(group * len(streams) + owner[order])
-    if counted is not None:
-        pairs = pairs[counted[pairs % len(streams)]]
-    pages = np.bincount(pairs // len(streams), minlength=int(group[-1]) + 1)
-    most = np.ones(len(text), np.int64)
-    start = np.ones(len(text), np.int64)
-    start[order] = pages[group]
-    for j in range(min_run):
-        most[j:] = np.maximum(most[j:], start[: len(start) - j])
-    flat = most[place]
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    return [flat[a:z] for a, z in zip(edges[:-1], edges[1:])]
 
 
-def main_part(page: list[tuple[bool, str]]) -> list[tuple[bool, str]]:
-    return [b for b in page if b[0]] or page
+class Page:
+    """Blocks, tokens and pieces of a page's main part. A piece is a start and a length in tokens."""
+
+    def __init__(self, cell: bytes | None):
+        self.blocks = main_part(unpacked(cell))
+        split = [t.split() for _, t in self.blocks]
+        self.tokens = [w for t in split for w in t]
+        self.inside = bool(self.blocks) and self.blocks[0][0]
+        self.ends = np.cumsum([0, *(len(t) for t in split)]).tolist()
+        self.of_block = [self._around(i) for i in range(len(split))]
+        self.chunks = self._chunks()
+
+    def _around(self, i: int) -> list[tuple[int, int]]:
+        """A block of ``MIN_RUN`` tokens, or the shortest pieces from or up to a shorter one that have as many."""
+        a, z = self.ends[i], self.ends[i + 1]
+        if z - a >= MIN_RUN:
+            return [(a, z - a)]
+        up = next((e for e in self.ends[i + 1 :] if e - a >= MIN_RUN), None)
+        down = next((e for e in reversed(self.ends[: i + 1]) if z - e >= MIN_RUN), None)
+        return ([(a, up - a)] if up is not None else []) + ([(down, z - down)] if down is not None else [])
+
+    def _chunks(self) -> list[tuple[int, int]]:
+        """Pieces of ``MIN_RUN`` tokens or more that begin at tokens whose checksum says so, so that equal passages are cut alike."""
+        cuts, n = [0], len(self.tokens)
+        for i, w in enumerate(self.tokens):
+            if i - cuts[-1] >= MIN_RUN and n - i >= MIN_RUN and zlib.crc32(w.encode("utf-8", "surrogatepass")) % 8 == 0:
+                cuts.append(i)
+        return [(a, z - a) for a, z in zip(cuts, [*cuts[1:], n])] if n >= MIN_RUN else []
+
+    def pieces(self) -> list[tuple[int, int]]:
+        return list(dict.fromkeys([*(p for own in self.of_block for p in own), *self.chunks]))
+
+    def text(self, piece: tuple[int, int]) -> str:
+        return " ".join(self.tokens[piece[0] : piece[0] + piece[1]])
+
+    def plain(self) -> str:
+        return "\n".join(t for _, t in self.blocks)
+
+    def kept(self, held: dict[tuple[int, int], int], pages: int) -> str:
+        """Its text. held: how many of the host's ``pages`` pages hold a piece, of pieces that enough do."""
+        need = needed(pages, SHARE_INSIDE if self.inside else SHARE_OUTSIDE)
+        if not any(held.values()):
+            return self.plain()
+        copies, below = 1, 0
+        for n, length in sorted((held.get(c, 1), c[1]) for c in self.chunks):
+            copies, below = n, below + length
+            if below * 5 > len(self.tokens):
+                break
+        common = [max((held.get(p, 1) for p in own), default=1) - copies + 1 >= need for own in self.of_block]
+        return "\n".join(t for (_, t), c in zip(self.blocks, common) if not c)
+
+
+def needed(pages: int, share: float) -> int:
+    return max(OUTSIDE, int(np.ceil(share * pages - 1e-9)))
+
+
+def page_counts(pages: list[Page], least: int) -> list[dict[tuple[int, int], int]]:
+    """For each page's pieces how many of the pages hold them, where ``least`` do."""
+    own = [p.pieces() for p in pages]
+    flat = np.array([(i, *x) for i, pieces in enumerate(own) for x in pieces], np.int64).reshape(-1, 3)
+    found = Suffixes([p.tokens for p in pages], least).pages(*flat.T, least=least).tolist()
+    out: list[dict[tuple[int, int], int]] = [{} for _ in pages]
+    for (i, a, n), held in zip(flat.tolist(), found):
+        if held:
+            out[i][a, n] = held
+    return out
+
 
+def host_texts(cells: list[bytes | None]) -> list[str]:
+    """Texts of a host's pages, given their packed blocks."""
+    pages = [Page(c) for c in cells]
+    if len(pages) < OUTSIDE:
+        return [p.plain() for p in pages]
+    return [p.kept(held, len(pages)) for p, held in zip(pages, page_counts(pages, needed(len(pages), SHARE_OUTSIDE)))]
 
-def stream_of(page: list[tuple[bool, str]]) -> list[str]:
-    return [w for _, t in page for w in t.split()]
 
+def named_pieces(cells: list[bytes | None]) -> list[str]:
+    """The pieces that a fifth of a shard's pages hold."""
+    pages = [Page(c) for c in cells]
+    least = max(1, int(np.ceil(SHARE_OUTSIDE * len(pages) - 1e-9)))
+    return sorted({p.text(x) for p, held in zip(pages, page_counts(pages, least)) for x in held})
 
-def kept_text(page: list[tuple[bool, str]], shared: np.ndarray, pages: int) -> str:
-    """A page's text. shared: for each token, how many of the host's ``pages`` distinct pages share a run over it."""
-    split = [t.split() for _, t in page]
-    ends = np.cumsum([len(t) for t in split])
-    least = [int(shared[z - len(t) : z].min()) if t else 1 for t, z in zip(split, ends)]
-    common = [n >= max(OUTSIDE, pages * (0.5 if inside else 0.2)) for n, (inside, _) in zip(least, page)]
-    covered = sum(len(t) for t, c in zip(split, common) if c)
-    copied = covered * 2 >= len(shared)
-    return "\n".join(t for (inside, t), c in zip(page, common) if not c or inside and copied)
 
+def counted_pieces(cells: list[bytes | None], pieces: list[str]) -> list[int]:
+    """How many of a shard's pages hold each piece."""
+    pages, asked = [Page(c).tokens for c in cells], [p.split(" ") for p in pieces]
+    own = np.arange(len(asked))
+    found = Suffixes([*pages, *asked]).pages(len(pages) + own, 0 * own, np.array([len(a) for a in asked], np.int64), real=len(pages))
+    return found.tolist()
 
-def main_texts(pages: list[list[tuple[bool, str]]]) -> list[str]:
-    """Texts of a host's pages, given their blocks."""
-    kept = [main_part(page) for page in pages]
-    streams = [stream_of(page) for page in kept]
-    first = kinds_of(streams) if len(pages) >= OUTSIDE else np.ones(len(pages), bool)
-    if first.sum() < OUTSIDE:
-        return ["\n".join(t for _, t in page) for page in kept]
-    return [kept_text(page, shared, int(first.sum())) for page, shared in zip(kept, repeated_pages(streams, counted=first))]
+
+def shard_texts(cells: list[bytes | None], common: dict[str, int], pages: int) -> list[str]:
+    """Texts of a shard's pages, given the common pieces of the host and its number of pages."""
+    out = []
+    for cell in cells:
+        p = Page(cell)
+        out.append(p.kept({x: n for x in p.pieces() if (n := common.get(p.text(x)))}, pages) if common else p.plain())
+    return out
 
 
-def packed(page: list[tuple[bool, str]]) -> str:
-    return "\x1e".join(f"{int(i)}{t}" for i, t in ((i, t.replace("\x1e", " ")) for i, t in page))
+def packed(page: list[tuple[bool, str]]) -> bytes:
+    return zlib.compress("\x1e".join(f"{int(i)}{t}" for i, t in ((i, t.replace("\x1e", " ")) for i, t in page)).encode("utf-8", "surrogatepass"), 1)
 
 
-def unpacked(cell: str) -> list[tuple[bool, str]]:
-    return [(x[0] == "1", x[1:]) for x in cell.split("\x1e")] if cell else []
+def unpacked(cell: bytes | None) -> list[tuple[bool, str]]:
+    whole = zlib.decompress(cell).decode("utf-8", "surrogatepass") if cell else ""
+    return [(x[0] == "1", x[1:]) for x in whole.split("\x1e")] if whole else []
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -279,75 +436,54 @@ def parsed(rows: DataFrame) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                cells = pa.array([packed(blocks(h)) for h in part.column(at).to_pylist()], pa.string())
+                cells = pa.array([packed(blocks(h)) for h in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in names), cells], [*names, "blocks"])
 
-    return rows.mapInArrow(parse, rows.select(*names).schema.add("blocks", "string"))
+    return in_arrow(rows, parse, rows.select(*names).schema.add("blocks", "binary"))
 
 
-def result(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"].astype(object), "text": np.array(texts, dtype=object), "n_chars": [len(t) for t in texts]})
+def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> DataFrame:
+    """Texts of the pages of large hosts. large: host and shards. A shard is a row from its first pass on, so its pages move once."""
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "shards")).select("page_id", "url", "html", "host", "shard")
+    ids, one = schema["page_id"].dataType, T.StructType().add("host", "string").add("shard", "long")
+    kept = T.StructType([*one]).add("page_id", T.ArrayType(ids)).add("url", T.ArrayType(T.StringType())).add("blocks", T.ArrayType(T.BinaryType())).add("named", T.ArrayType(T.StringType()))
 
+    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = list(pdf["blocks"])
+        row = {"host": pdf["host"].iloc[0], "shard": pdf["shard"].iloc[0], "page_id": [None if pd.isna(x) else x for x in pdf["page_id"]], "url": [None if pd.isna(x) else x for x in pdf["url"]], "blocks": cells, "named": named_pieces(cells)}
+        return pd.DataFrame({k: pd.Series([v], dtype=object if isinstance(v, (list, str)) else None) for k, v in row.items()})
 
-def shard_firsts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Host, row, digest and min-hashes of the pages of a shard that are no copies of others there."""
-    pdf = pdf.sort_values("row")
-    made = [sketch(stream_of(main_part(unpacked(p)))) for p in pdf["blocks"]]
-    first = first_of_kind([d for d, _ in made], np.stack([x for _, x in made]))
-    kept = [(row, d, x.tobytes()) for row, (d, x), yes in zip(pdf["row"], made, first) if yes]
-    return pd.DataFrame([(pdf["host"].iloc[0], *x) for x in kept], columns=["host", "row", "digest", "least"]).astype({"host": object})
+    shards = durable(parsed(dealt).groupBy("host", "shard").applyInPandas(gathered, kept))
+    sizes = shards.groupBy("host").agg(F.sum(F.size("page_id")).alias("pages"))
+    named = durable(shards.select("host", F.explode("named").alias("piece")).distinct())
+    every = large.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
 
+    def to_shards(pieces: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows of each host as a list, for each of its shards."""
+        lists = pieces.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("pieces"))
+        lists = every.join(lists, "host")
+        return broadcast_if(lists, every.count() if pieces.count() <= 20_000 else 1 << 60, 10_000)
 
-def band_copies(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of pages that are copies of others of their band."""
-    pdf = pdf.sort_values("row")
-    first = first_of_kind(list(pdf["digest"]), np.stack([np.frombuffer(x, np.uint32) for x in pdf["least"]]))
-    return pdf.loc[~first, ["row"]]
-
+    def count(batches):
+        for b in batches:
+            for host, cells, pieces in zip(*(b.column(i).to_pylist() for i in range(3))):
+                pieces = [p["piece"] for p in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(pieces), pa.string()), pa.array(pieces, pa.string()), pa.array(counted_pieces(cells, pieces), pa.int64())], ["host", "piece", "n"])
 
-def shard_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Host, run and n, the pages of a shard that hold the run."""
-    each = [np.unique(run_hashes(stream_of(main_part(unpacked(p))))) for p in pdf["blocks"]]
-    runs, n = np.unique(np.concatenate(each), return_counts=True)
-    return pd.DataFrame({"host": np.full(len(runs), pdf["host"].iloc[0], dtype=object), "run": runs.view(np.int64), "n": n})
+    asked = shards.select("host", "shard", "blocks").join(to_shards(named, ["piece"]), ["host", "shard"]).select("host", "blocks", "pieces")
+    sums = in_arrow(asked, count, "host string, piece string, n long").groupBy("host", "piece").agg(F.sum("n").alias("n"))
+    common = durable(sums.join(broadcast_if(sizes, large.count(), 100_000), "host").where((F.col("n") >= OUTSIDE) & (F.col("n") >= F.col("pages") * SHARE_OUTSIDE - 1e-9)).select("host", "piece", "n"))
 
+    def texts(batches):
+        for b in batches:
+            for page_ids, urls, cells, pieces, pages in zip(*(b.column(i).to_pylist() for i in range(5))):
+                made = shard_texts(cells, {p["piece"]: p["n"] for p in pieces or []}, pages)
+                for a in range(0, len(made), 256):
+                    part = made[a : a + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array(page_ids[a : a + 256], b.schema.field(0).type.value_type), pa.array(urls[a : a + 256], pa.string()), pa.array(part, pa.string()), pa.array([len(t) for t in part], pa.int64())], [f.name for f in schema])
 
-def shard_texts(pdf: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a shard's pages, given the common runs of the host."""
-    runs, at = np.unique(common["run"].to_numpy(np.int64), return_index=True)
-    counts = common["n"].to_numpy(np.int64)[at]
-    texts = []
-    for p in pdf["blocks"]:
-        page = main_part(unpacked(p))
-        stream = stream_of(page)
-        shared = np.ones(len(stream), np.int64)
-        own = run_hashes(stream).view(np.int64)
-        if len(runs) and len(own):
-            i = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
-            n = np.where(runs[i] == own, counts[i], 1)
-            for j in range(MIN_RUN):
-                shared[j : j + len(n)] = np.maximum(shared[j : j + len(n)], n)
-        texts.append(kept_text(page, shared, int(common["pages"].iloc[0])) if len(runs) else "\n".join(t for _, t in page))
-    return result(pdf, texts)
-
-
-def large_hosts(rows: DataFrame, large: DataFrame, schema) -> DataFrame:
-    """Texts of the pages of large hosts. large: host and shards."""
-    dealt = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row"), "shards"))
-    pages = durable(parsed(dealt.select("row", "page_id", "url", "html", "host", "shard")))
-    firsts = durable(pages.select("host", "shard", "row", "blocks").groupBy("host", "shard").applyInPandas(shard_firsts, "host string, row long, digest binary, least binary"))
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda j: F.xxhash64(j, F.substring("least", j * (4 * BAND) + 1, F.lit(4 * BAND))))
-    in_band = firsts.select("host", "row", F.explode(cuts).alias("band"))
-    crowded = in_band.groupBy("host", "band").count().where("count > 1").select("host", "band")
-    met = in_band.join(crowded, ["host", "band"]).join(firsts.select("row", "digest", "least"), "row")
-    copies = durable(met.groupBy("host", "band").applyInPandas(band_copies, "row long").distinct())
-    counted = durable(firsts.select("host", "row").join(copies, "row", "left_anti"))
-    once = pages.select("host", "shard", "row", "blocks").join(broadcast_if(counted.select("row"), counted.count(), 2_000_000), "row", "left_semi")
-    runs = once.groupBy("host", "shard").applyInPandas(shard_runs, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
-    sizes = counted.groupBy("host").agg(F.count("*").alias("pages"))
-    common = runs.where(F.col("n") >= OUTSIDE).join(sizes, "host").where(F.col("n") >= F.col("pages") * 0.2)
-    known = durable(common.join(large, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run", "n", "pages"))
-    return pages.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInPandas(shard_texts, schema)
+    known = shards.select("host", "shard", "page_id", "url", "blocks").join(to_shards(common, ["piece", "n"]), ["host", "shard"], "left").join(broadcast_if(sizes, large.count(), 100_000), "host")
+    return in_arrow(known.select("page_id", "url", "blocks", "pieces", "pages"), texts, schema)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -359,7 +495,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def by_host(pdf: pd.DataFrame) -> pd.DataFrame:
-        return result(pdf, main_texts([unpacked(p) for p in pdf["blocks"]]))
+        texts = host_texts(list(pdf["blocks"]))
+        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"].astype(object), "text": np.array(texts, dtype=object), "n_chars": [len(t) for t in texts]})
 
     if not n_large:
         return parsed(rows).groupBy("host").applyInPandas(by_host, schema)

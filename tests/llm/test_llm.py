@@ -149,13 +149,39 @@ def test_op8(spark):
     got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")).collect()}
     assert got[3] == "Title 3\nOwn text & more 3 here <b>\n" + " ".join(f"w3x{j}" for j in range(20))
     assert got[100] == "only page a1 says a1 words" and got[200] == got[201] == "" and got[202] == "cut off &am"
+
+
+def test_op8_suffix_array_equals_brute_force():
     rng = random.Random(1)
-    streams = [[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(6)]
-    for own, shared in zip(streams, html_text.repeated_pages(streams, 4)):
-        for i in range(len(own)):
-            runs = [tuple(own[a : a + 4]) for a in range(max(0, i - 3), i + 1) if a + 4 <= len(own)]
-            want = max([1, *(sum(any(tuple(s[b : b + 4]) == r for b in range(len(s) - 3)) for s in streams) for r in runs)])
-            assert shared[i] == want
+    for trial in range(40):
+        streams = [[rng.choice("ab" if trial % 2 else "abc") for _ in range(rng.randint(0, 22))] for _ in range(rng.randint(1, 6))]
+        texts = ["".join(s) for s in streams]
+        pieces = [(i, a, n) for i, t in enumerate(texts) for a in range(len(t)) for n in range(4, len(t) - a + 1)]
+        pages = {(i, a, n): sum(texts[i][a : a + n] in t for t in texts) for i, a, n in pieces}
+        for least in (1, 3):
+            got = html_text.Suffixes(streams, least).pages(*np.array(pieces, np.int64).reshape(-1, 3).T, least=least).tolist()
+            assert got == [pages[p] if pages[p] >= least else 0 for p in pieces]
+        times = lambda x: sum(t.startswith(x, a) for t in texts for a in range(len(t)))
+        held = {texts[i][a : a + n]: c for (i, a, n), c in pages.items() if c > 1}
+        want = {(x, c) for x, c in held.items() if all(times(x + y) < times(x) for y in "abc")}
+        whole = "".join(texts)
+        assert {(whole[p : p + n], c) for p, n, c in html_text.Suffixes(streams).maximal_repeats(2)} == want
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body class='home page-template sidebar-right'><article><p>A b</p></article></body>", "A b"),
+    ("<body class='single-post nav-open'><div class='has-cookie-banner'><article>A</article></div></body>", "A"),
+    ("<article class='post social-post'><p>A</p></article>", "A"),
+    ("<main id='search'><p>A</p></main>", "A"),
+    ("<nav><ul><li>x<article><p>A</p></article>", "A"),
+    ("<nav>x</nav><form id='aspnet'><article>A</article></form>", "A"),
+    ("<aside><article>teaser</article></aside><article>A <span class='ad'>buy</span> b<br>c</article>", "A b c"),
+    ("<body><p class='share price'>The price</p><div class='ad'>no</div><div class='share-links x'><a href=1>f</a> <a>g</a></div></body>", "The price"),
+    ("<article>A<header><h1>T</h1></header><p class=ad>no<p>b<div class='comments'><p>no</div>c</article>", "A\nT\nb\nc"),
+    ("<div data-id='ad'>A</div><p hidden>no</p><p style='display: none'>no</p>", "A"),
+])
+def test_op8_elements(page, want):
+    assert "\n".join(t for _, t in html_text.main_part(html_text.blocks(page))) == want
 
 
 def test_op8_keeps_copies_without_article(spark):
