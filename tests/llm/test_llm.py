@@ -240,6 +240,41 @@ def test_op6(spark):
     assert set(got) == {0, 1} and got[0] == (0, 0.0, 2) and got[1][0] == -10 and got[1][1] < 0.15
 
 
+def test_op6_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    songs = [audio.melody(rng.normal(0, 1, 24).tolist()) for _ in range(5)]
+    tone = np.sin(2 * np.pi * 440 * np.arange(4 * audio.RATE) / audio.RATE).astype(np.float32)
+    cells = [*songs, *(x[audio.HOP * 6 :] + rng.normal(0, 0.05, len(x) - audio.HOP * 6).astype(np.float32) for x in songs), songs[0][: audio.FRAME], np.zeros(3 * audio.RATE, np.float32), tone, tone]
+    rows = [(i, x.tolist(), 7, "x") for i, x in enumerate(cells)]
+    prints = audio.fingerprints(spark.createDataFrame(rows, "id long, pcm array<float>, at int, fp string"), "id", "pcm")
+    fp = {r.id: np.array(r.fp, np.int32).view(np.uint32) for r in prints.collect()}
+    got = {(r.query_id, r.class_id): (r.offset, r.votes, r.bit_error) for r in audio.align(prints, prints).collect()}
+
+    def pairs(x):
+        s = np.uint32(audio.SILENT & 0xFFFFFFFF)
+        return [(lag, i, (x[i], x[i + lag])) for lag in audio.LAGS for i in range(len(x) - lag) if (i == 0 or (x[i - 1], x[i - 1 + lag]) != (x[i], x[i + lag])) and not x[i] == x[i + lag] == s]
+
+    want = {}
+    for q, a in fp.items():
+        for c, b in fp.items():
+            if c == 13 or not len(a) or not len(b):  # 13 is of the class of 12
+                continue
+            votes = {}
+            for lag, i, x in pairs(a):
+                for other, j, y in pairs(b):
+                    if (lag, x) == (other, y):
+                        votes[j - i] = votes.get(j - i, 0) + 1
+            if votes:
+                shift = min(votes, key=lambda k: (-votes[k], k))
+                lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+                error = sum(bin(int(x ^ y)).count("1") for x, y in zip(a[lo:hi], b[lo + shift : hi + shift])) / 32 / (hi - lo)
+                if error <= 0.3:
+                    want[q, c] = (shift, votes[shift], error)
+    assert got == want and all((i, 5 + i) in got and got[i, 5 + i][0] == -6 for i in range(5))
+    assert not any(11 in k for k in got) and (12, 12) in got and (13, 12) in got
+    assert audio.align(prints.where("id < 0"), prints).count() == audio.align(prints, prints.where("id < 0")).count() == audio.members(prints.where("id < 0")).count() == 0
+
+
 def test_op6_covers_whole_vectors():
     vector = np.random.default_rng(4).normal(0, 1, 64).tolist()
     late = vector[:48] + [x + 0.005 for x in vector[48:]]
