@@ -3,10 +3,12 @@
 The network reads the UTF-8 bytes of each word in both directions, labels every byte position with
 a distribution over the languages, and a document's probabilities are the mean over all its
 positions. The state starts anew at each word, so a word's labels do not depend on its neighbours:
-each distinct word of a batch is run once and weighted by its occurrences, over the whole text.
+each distinct word of a batch is run once and weighted by its occurrences, over the whole text. A word of over ``SPAN``
+bytes (scripts without spaces) is run in windows that begin ``CONTEXT`` bytes before and end ``CONTEXT`` bytes behind the up to ``SPAN``
+bytes they label, so every byte is labelled once, with that much of the word on either side at least.
 
-Training is backpropagation through time in numpy on a bounded sample of labelled words
-(``docs_per_lang`` documents and ``words_per_lang`` words of each language).
+Training is backpropagation through time in numpy on a bounded sample of labelled words: of the ``most_langs`` most frequent languages
+the ``docs_per_lang`` documents of lowest id hash and their ``words_per_lang`` most frequent words, long ones by the same windows.
 
 Defined results: null text or text without a letter gives ``und`` and score 0; nulls in other
 columns do not matter; repeated rows are scored alike; an empty table gives no rows; other columns
@@ -17,12 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simloom.llm.common import fold, in_arrow, read_table
 
-PIECE = 24
+SPAN, CONTEXT = 64, 32
 HIDDEN = 16
 
 
@@ -39,6 +41,14 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(words), width).astype(np.int64), lengths
 
 
+def word_windows(word: bytes) -> list[tuple[bytes, int, int]]:
+    """Windows of a word, and of each the first and the end of the bytes it labels."""
+    if len(word) <= SPAN:
+        return [(word, 0, len(word))]
+    starts = range(0, len(word), SPAN)
+    return [(word[max(a - CONTEXT, 0) : a + SPAN + CONTEXT], min(a, CONTEXT), min(a, CONTEXT) + min(SPAN, len(word) - a)) for a in starts]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -137,14 +147,15 @@ class BiGru:
         out = np.zeros((len(words), self.n_out + 1), np.float64)
         if not words:
             return out
-        pieces = [(i, w[a : a + PIECE]) for i, w in enumerate(words) for a in range(0, len(w), PIECE)]
-        pieces.sort(key=lambda q: len(q[1]))
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            x, lengths = padded([w for _, w in part])
-            rows = np.fromiter((i for i, _ in part), np.int64, len(part))
-            np.add.at(out[:, :-1], rows, self.positions(x, lengths).sum(0))
-            np.add.at(out[:, -1], rows, lengths)
+        parts = [(i, *window) for i, w in enumerate(words) for window in word_windows(w)]
+        parts.sort(key=lambda q: len(q[1]))
+        for a in range(0, len(parts), 4096):
+            rows, texts, first, end = zip(*parts[a : a + 4096])
+            x, lengths = padded(list(texts))
+            at, first, end = np.arange(x.shape[1])[:, None], np.array(first), np.array(end)
+            labelled = (at >= first) & (at < end)
+            np.add.at(out[:, :-1], list(rows), (self.positions(x, lengths) * labelled[:, :, None]).sum(0))
+            np.add.at(out[:, -1], list(rows), end - first)
         return out
 
 
@@ -198,17 +209,20 @@ class DocumentLabeller:
         return langs, scores
 
 
-def training_words(docs: DataFrame, docs_per_lang: int = 1200, words_per_lang: int = 12_000) -> list[tuple[str, str, int]]:
-    """(lang, word, occurrences) of a bounded sample: the documents of lowest id hash of each language, and their most frequent words."""
-    langs = sorted(r[0] for r in docs.select("lang").where("lang is not null").distinct().collect())
-    out = []
-    for lang in langs:
-        own = docs.where(F.col("lang") == lang)
-        ids = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_lang).distinct()
-        words = own.join(F.broadcast(ids), "doc_id").select(F.explode(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7b-\x7f]+", " "), " ")).alias("word")).where("word != ''")
-        top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(words_per_lang).collect()
-        out += [(lang, r.word, r.n) for r in top]
-    return out
+def training_words(docs: DataFrame, docs_per_lang: int = 1200, words_per_lang: int = 12_000, most_langs: int = 200) -> list[tuple[str, str, int]]:
+    """(lang, word, occurrences) of the bounded sample. A language's rows are thinned by their hashes before any sort, so a frequent
+    language is not sorted whole."""
+    docs = docs.where("lang is not null")
+    counts = docs.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_langs)
+    counts = docs.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    hashed = F.xxhash64("doc_id")
+    thinned = docs.select("lang", "doc_id").join(F.broadcast(counts), "lang").where(hashed / 2.0**64 + 0.5 <= (2.0 * docs_per_lang + 100) / F.col("rows"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    ids = thinned.select("lang", "doc_id", first.alias("k")).where(F.col("k") <= docs_per_lang).select("lang", "doc_id").distinct()
+    words = docs.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", F.explode(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7b-\x7f]+", " "), " ")).alias("word")).where("word != ''")
+    often = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", often).where(F.col("k") <= words_per_lang)
+    return sorted((r.lang, r.word, r.n) for r in top.collect())
 
 
 def fit_language_model(docs: DataFrame, **bounds: int) -> tuple[BiGru | None, list[str]]:
@@ -220,9 +234,10 @@ def fit_language_model(docs: DataFrame, **bounds: int) -> tuple[BiGru | None, li
     words, y, weight = [], [], []
     share = {k: sum(r[2] ** 0.5 for r in rows if r[0] == k) for k in langs}
     for lang, word, n in rows:
-        words.append(word.encode()[:PIECE])
-        y.append(langs.index(lang))
-        weight.append(n**0.5 / share[lang])
+        for window, _, _ in word_windows(word.encode()):
+            words.append(window)
+            y.append(langs.index(lang))
+            weight.append(n**0.5 / share[lang])
     return BiGru(len(langs)).fit(words, np.array(y), np.array(weight)), langs
 
 
