@@ -17,7 +17,8 @@ sets are one class from the start. A key's places in two sets bound what they sh
 their prefixes are not joined. Of a candidate pair the two prefixes alone show how many members up to the lesser of their
 ends are not shared, which rules out almost all pairs that are not similar before any whole set is moved. Each key links its members to two
 centres of the key first; only members that are then still in different components are compared: those of crowded keys
-block by block where they meet, the others pair by pair. Every link is verified by exact intersection.
+block by block, at the key of most members first and then at the others that members from different such keys meet at, those of
+small keys pair by pair. A block is bounded in sets and in their members. Every link is verified by exact intersection.
 
 Defined results: null, empty and white-space-only texts have no shingles and are linked with nothing; repeated
 rows are one class; repeated ids count as one document for links; an empty table gives no rows; other columns
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from simloom.llm.common import broadcast_if, durable, in_arrow, read_table
 
 BASE, SLOTS, CHUNK = 0x9E3779B97F4A7C15, 1 << 22, 1 << 16
-CROWD, BLOCK = 64, 512
+CROWD, BLOCK, BLOCK_MEMBERS = 64, 512, 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -310,25 +311,26 @@ def home_groups(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Where the members of crowded keys are compared. left: key, rep, n, component and the key's members.
 
     A member's home is its key of most members. First result: for each key that is a home, all its members, and whether it is their
-    own home. Second: each member's home, and the homes it is a guest of; two members meet if one is a guest of the other's home.
+    own home. Second: each member's home.
     """
     crowded = left.where(F.col("members") >= CROWD)
     home = crowded.groupBy("rep").agg(F.max(F.struct("members", "key")).alias("h")).select("rep", F.col("h.key").alias("home"))
     home = durable(home)
-    guests = durable(crowded.join(home.select(F.col("home").alias("key")).distinct(), "key").join(home, "rep").select("key", "rep", "n", "component", "members", (F.col("home") == F.col("key")).alias("own")))
-    used = guests.groupBy("rep").agg(F.collect_set("key").alias("used"))
-    return guests, home.join(used, "rep")
+    guests = crowded.join(home.select(F.col("home").alias("key")).distinct(), "key").join(home, "rep")
+    return guests.select("key", "rep", "n", "component", (F.col("home") == F.col("key")).alias("own")), home
 
 
-def compared_at_home(guests: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Links (x, y) between members of a home in different components, one of whom lives there.
+def compared_in_blocks(guests: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links (x, y) between members of a key in different components, one of whom is its own.
 
-    A home's members are dealt to blocks of about ``BLOCK``; a task holds two blocks and counts shared members of all their sets as a product of
+    A key's members are dealt to blocks of about ``BLOCK``, or of ``BLOCK_MEMBERS`` members of their sets; a task holds two blocks and counts shared members of all their sets as a product of
     0/1 matrices, so near misses of a crowded group are compared without a row for each pair. The sets move as half hashes; what hashes
     a set loses by that counts as shared, so no link is lost, and the few pairs found are verified with whole hashes.
     """
-    blocks = F.ceil(F.col("members") / BLOCK)
-    dealt = guests.withColumn("b", F.pmod(F.xxhash64("rep"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    guests = durable(guests)
+    sizes = guests.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("all")).where("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all") / BLOCK_MEMBERS))
+    dealt = guests.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("rep"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", F.col("rep").alias("id"), "n", "component", "own")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -382,16 +384,20 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members")
     left = durable(labelled.join(open_keys, "key"))
     guests, homes = home_groups(left)
-    at_home = durable(compared_at_home(guests, docs, k, per_cent))
-
-    left = left.join(homes, "rep", "left")
-    names = ("rep", "n", "place", "component", "home", "used")
-    p, q = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "pq")
+    at_home = durable(compared_in_blocks(guests, docs, k, per_cent))
+
+    # Who is at home at a key has met all there, and so have those of one home. The others meet at the key.
+    away = left.join(homes, "rep", "left").where(F.col("home").isNull() | (F.col("home") != F.col("key"))).drop("members")
+    open_keys = away.groupBy("key").agg(F.count("*").alias("members"), F.min("home").alias("lo"), F.max("home").alias("hi"), F.count("home").alias("homed"))
+    open_keys = open_keys.where((F.col("members") > 1) & ~((F.col("homed") == F.col("members")) & (F.col("lo") == F.col("hi")))).select("key", "members")
+    away = durable(away.join(open_keys, "key"))
+    met_away = durable(compared_in_blocks(away.where(F.col("members") >= CROWD).select("key", "rep", "n", "component", F.lit(True).alias("own")), docs, k, per_cent))
+    names = ("rep", "n", "place", "component")
+    p, q = (away.where(F.col("members") < CROWD).select("key", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "pq")
     close = may_match("p_n", "p_place", "q_n", "q_place", per_cent) & (F.col("p_component") != F.col("q_component")) & (F.col("p_rep") < F.col("q_rep"))
-    met = F.coalesce(F.array_contains("q_used", F.col("p_home")), F.lit(False)) | F.coalesce(F.array_contains("p_used", F.col("q_home")), F.lit(False))
-    rest = p.join(q, "key").where(close & ~met).select(F.col("p_rep").alias("x"), F.col("q_rep").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    rest = p.join(q, "key").where(close).select(F.col("p_rep").alias("x"), F.col("q_rep").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
     more = verified(possible(rest, classes, per_cent), docs, k, per_cent)
-    final = durable(components(links.union(at_home).union(more)))
+    final = durable(components(links.union(at_home).union(met_away).union(more)))
 
     of_class = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", F.col("n").alias("n_shingles"), "n", "a", "b").join(of_class, ["n", "a", "b"], "left")
@@ -400,9 +406,20 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
 
 
 def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, without those whose component has a lesser id."""
-    gone = durable(ngram_components(docs, k, per_cent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return docs.join(broadcast_if(gone, gone.count(), 2_000_000), id_col, "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, with all columns: that of least id (null ids last). Rows without a word are in no group
+    and stay. Rows that share an id, and rows without one, are told apart by a number of their own, so one of each group stays of them too.
+    """
+    ids = docs.groupBy(id_col).agg(F.count("*").alias("rows"))
+    if ids.where(F.col(id_col).isNull() | (F.col("rows") > 1)).isEmpty():
+        gone = durable(ngram_components(docs, k, per_cent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+        return docs.join(broadcast_if(gone, gone.count(), 2_000_000), id_col, "left_anti").select(*docs.columns)
+    row = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = ngram_components(numbered, k, per_cent, row, text_col).where("n_shingles > 0").select(row, "component_id")
+    order = F.struct(F.col(id_col).isNull(), id_col, row)
+    best = durable(classes.join(numbered.select(id_col, row), row).groupBy("component_id").agg(F.min(order).alias("least")).select(F.col(f"least.{row}").alias(row)))
+    gone = durable(classes.select(row).join(best, row, "left_anti"))
+    return numbered.join(broadcast_if(gone, gone.count(), 2_000_000), row, "left_anti").select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
