@@ -2,8 +2,9 @@
 
 Each partition tokenizes its documents, cuts only those over ``capacity`` into pieces, and packs its pieces
 best-fit, longest first. Bins whose residual is at most ``slack`` are final. Underfull bins go on as items:
-rounds merge partitions ``fan_in`` to one and pack best-fit again, until one partition holds the rest or
-each would hold over ``most_items``. A round moves bin numbers and sizes only; places within a bin are
+rounds merge partitions ``fan_in`` to one and pack best-fit again, until one partition holds the rest. No task
+holds over about ``most_items`` bins: where more are left, rounds go on over as many partitions as they need, dealt anew
+each time, until a round saves less than a thousandth of its bins. A round moves bin numbers and sizes only; places within a bin are
 composed by joins on the bin number.
 
 Defined results: null and empty texts are the single id 0; null ids stay null; repeated rows are packed each;
@@ -88,20 +89,21 @@ def merge_round(items: DataFrame, level: int, parts: int, capacity: int) -> Data
         number = (level << 56) + (TaskContext.get().partitionId() << 32) + bins
         yield pd.DataFrame({"bin": got["bin"].to_numpy(), "parent": number, "shift": places, "parent_size": sizes[bins] if len(bins) else bins})
 
-    return items.repartition(parts).mapInPandas(run, "bin long, parent long, shift long, parent_size long")
+    return items.repartition(parts, F.xxhash64("bin", F.lit(level))).mapInPandas(run, "bin long, parent long, shift long, parent_size long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, slack: int = 4, fan_in: int = 8, most_items: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     out = durable(pieces(docs, path, capacity, id_col, text_col)).withColumnsRenamed({"bin": "sequence_id", "place": "offset"})
     open_bins = out.where(F.col("first") & (F.col("bin_size") < capacity - slack)).select(F.col("sequence_id").alias("bin"), "bin_size")
-    parts, level = docs.rdd.getNumPartitions(), 0
+    parts, level, before = docs.rdd.getNumPartitions(), 0, None
     while True:
         count = open_bins.count()
-        fewer = max(-(-parts // fan_in), -(-count // most_items), 1)
-        if count == 0 or (level and fewer >= parts):
+        fewest = max(-(-count // most_items), 1)
+        if count == 0 or level and parts == 1 or parts <= fewest and before is not None and count > 0.999 * before:
             break
-        parts, level = fewer, level + 1
+        before = count if parts <= fewest else None
+        parts, level = max(-(-parts // fan_in), fewest), level + 1
         moved = durable(merge_round(open_bins, level, parts, capacity))
         out = out.join(moved.withColumnRenamed("bin", "sequence_id"), "sequence_id", "left")
         out = out.withColumns({"offset": F.col("offset") + F.coalesce("shift", F.lit(0)), "sequence_id": F.coalesce("parent", "sequence_id")}).drop("parent", "shift", "parent_size")
