@@ -23,6 +23,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +72,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def class_moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sum and sum of outer products of ``stats`` by ``label``: a partial sum for each partition, then one row a class."""
+    """Count, sum and sum of outer products of ``stats`` by ``label``: a partial sum for each partition, sums of 64 groups of those, then
+    one row a class."""
 
     def partial(parts):
         sums: dict[int, list] = {}
@@ -82,13 +84,14 @@ def class_moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndar
                 old[0] += len(x)
                 old[1] += x.sum(0)
                 old[2] += x.T @ x
-        yield pd.DataFrame([(k, n, s, ss.ravel()) for k, (n, s, ss) in sums.items()], columns=["label", "n", "s", "ss"])
+        yield pd.DataFrame([(k, TaskContext.get().partitionId() % 64, n, s, ss.ravel()) for k, (n, s, ss) in sums.items()], columns=["label", "part", "n", "s", "ss"])
 
     def total(pdf):
-        return pd.DataFrame([(pdf["label"].iloc[0], pdf["n"].sum(), np.sum(np.stack(pdf["s"]), axis=0), np.sum(np.stack(pdf["ss"]), axis=0))], columns=["label", "n", "s", "ss"])
+        return pd.DataFrame([(pdf["label"].iloc[0], pdf["part"].iloc[0], pdf["n"].sum(), np.sum(np.stack(pdf["s"]), axis=0), np.sum(np.stack(pdf["ss"]), axis=0))], columns=["label", "part", "n", "s", "ss"])
 
-    schema = "label int, n double, s array<double>, ss array<double>"
-    got = rows.select("label", "stats").mapInPandas(partial, schema).groupBy("label").applyInPandas(total, schema).collect()
+    schema = "label int, part int, n double, s array<double>, ss array<double>"
+    parts = rows.select("label", "stats").mapInPandas(partial, schema).groupBy("label", "part").applyInPandas(total, schema)
+    got = parts.groupBy("label").applyInPandas(total, schema).collect()
     return {r.label: (r.n, np.array(r.s), np.array(r.ss).reshape(len(r.s), -1)) for r in got}
 
 
