@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import read_table
+from simloom.llm.common import in_arrow, read_table
 
 CONTROL = re.compile(r"(<(?=/?s>)|\[(?=/?INST\]))")
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
+BATCH_CHARS = 1 << 22
 
 
 def escape(text: str) -> str:
@@ -36,20 +38,20 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def examples(turns: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
-    """Formatted text of each example and the span of its reply; an empty span if nothing is trainable."""
-    out, text, after = [], "", False
+def examples(turns: Iterable[tuple[str, str]]) -> Iterator[tuple[str, int, int]]:
+    """Formatted text of each example and the span of its reply; an empty span if nothing is trainable. One after the other: by the
+    method all examples of a conversation are, together, as long as the square of its turns."""
+    text, after = "", False
     for role, words in turns:
         text += OPEN + escape(role) + CLOSE
         start = len(text)
         text += escape(words)
         after = role != "assistant"
         if not after:
-            out.append((text + END, start, len(text)))
+            yield text + END, start, len(text)
         text += END
     if after:
-        out.append((text, len(text), len(text)))
-    return out
+        yield text, len(text), len(text)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -68,14 +70,23 @@ def chat_examples(conversations: DataFrame) -> DataFrame:
     schema = conversations.select("conv_id").schema.add("example", "integer").add("text", "string").add("loss_start", "long").add("loss_end", "long")
 
     def run(batches):
+        def batch(b, made):
+            columns = list(zip(*made)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (b.schema.field(0).type, pa.int32(), pa.string(), pa.int64(), pa.int64()))], [f.name for f in schema])
+
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                made = [(key, i, *e) for key, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for i, e in enumerate(examples([(t["role"], t["text"]) for t in turns]))]
-                columns = list(zip(*made)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (part.schema.field(0).type, pa.int32(), pa.string(), pa.int64(), pa.int64()))], [f.name for f in schema])
+            made, size = [], 0
+            for i in range(b.num_rows):
+                key, turns = (b.column(j)[i].as_py() for j in (0, 1))
+                for k, e in enumerate(examples((t["role"], t["text"]) for t in turns)):
+                    made.append((key, k, *e))
+                    size += len(e[0])
+                    if size >= BATCH_CHARS:
+                        yield batch(b, made)
+                        made, size = [], 0
+            yield batch(b, made)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def read_back(made: DataFrame) -> DataFrame:
@@ -90,7 +101,7 @@ def read_back(made: DataFrame) -> DataFrame:
             loss = [unescape(t[a:z]) for t, a, z in zip(rows["text"], rows["loss_start"], rows["loss_end"])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in turns], pa.int64()), pa.array(said, pa.string()), pa.array(loss, pa.string()), pa.array([len(t) for t in rows["text"]], pa.int64())], [f.name for f in schema])
 
-    each = made.mapInArrow(run, schema)
+    each = in_arrow(made, run, schema)
     loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
     out = each.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max_by("turns_sha256", "n_turns").alias("turns_sha256"), loss.alias("loss"), F.sum("chars").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
