@@ -55,6 +55,10 @@ def test_op4_equals_brute_force(spark, odd, monkeypatch):
     texts = odd + near + short + [s + " more" for s in short]
     monkeypatch.setattr(ngram_join, "CROWD", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 500)
+    # Common runs in sets that are else different, so that keys of many members have members from several homes.
+    shared = [prose(rng, 9) for _ in range(4)]
+    texts += [" ".join(rng.sample(shared, 2)) + " " + prose(rng, rng.randint(0, 4)) for _ in range(70)]
     for k, t in ((4, 85), (2, 60)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs_of(spark, texts), k, t).collect()}
         assert [got[i] for i in range(len(texts))] == brute_components(texts, k, t)
@@ -301,3 +305,70 @@ def test_pipeline_near_duplicates_equal_brute_force(spark, odd):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     want = [i for i, (_, least) in enumerate(brute_components(odd, 5, 80)) if i == least]
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
+
+
+def test_one_of_each_of_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    one, two, three = (prose(rng, 40) for _ in range(3))
+    rows = [(5, one), (5, one), (2, one + " more"), (None, one), (None, two), (None, two), (7, three), (7, two + " x"), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row0 int")
+    kept = ngram_join.one_of_each(docs)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    assert got == sorted([(2, one + " more"), (7, two + " x"), (7, three), (None, None), (9, ""), (9, "")], key=str)
+
+
+def test_op5_count_of_sequences(spark):
+    """As few as one global best-fit makes, by about one in a hundred, however the bins are dealt."""
+    rng = random.Random(12)
+    texts = [prose(rng, rng.choice([3, 10, 40, 150, 300, 450])) for _ in range(500)]
+    docs, path = docs_of(spark, texts).repartition(12), tokens.tokenizer_path()
+    counts = {}
+    for most in (10**6, 40, 15):
+        rows = packing.pack(docs, path, slack=4, fan_in=3, most_items=most).select("sequence_id", "length", "offset").collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(sum(n for _, n in x) <= 2048 and [a for a, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))] for x in by.values())
+        counts[most] = len(by)
+        sizes = np.array([r.length for r in rows])
+    best = len(packing.best_fit(sizes, 2048)[2])
+    assert best >= -(-sizes.sum() // 2048)
+    assert all(best <= n <= best * 1.03 + 1 for n in counts.values())
+
+
+def test_op7_long_words_by_windows():
+    net = language_id.BiGru(2, hidden=3)
+    word = bytes(np.random.default_rng(1).integers(97, 123, 3 * language_id.SPAN + 5))
+    windows = language_id.word_windows(word)
+    assert b"".join(w[a:z] for w, a, z in windows) == word and all(len(w) <= language_id.SPAN + 2 * language_id.CONTEXT for w, _, _ in windows)
+    want = np.zeros(2)
+    for w, a, z in windows:
+        want += net.positions(*language_id.padded([w]))[a:z, 0].sum(0)
+    got = net.word_sums([b"x", word, b"yy"])[1]
+    assert np.allclose(got[:2], want, atol=1e-5) and got[2] == len(word)
+
+
+def test_op7_pooling_equals_whole_texts(spark, odd):
+    """Scores against a plain loop over every word of every text, without the cache of words."""
+    net, langs = language_id.BiGru(3, hidden=4, seed=2), ["aa", "bb", "cc"]
+    texts = [t for t in odd if t is not None and len(t) < 5000] + ["ab Cd ab, e1f", "語" * 70 + " é"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict_language(docs_of(spark, [*texts, *texts[-2:]]), (net, langs)).collect()}
+    for i, t in enumerate(texts):
+        total, n = np.zeros(3), 0
+        for w in re.findall(rb"[a-z\x80-\xff]+", t.lower().encode()):
+            for part, a, z in language_id.word_windows(w):
+                total += net.positions(*language_id.padded([part]))[a:z, 0].sum(0)
+                n += z - a
+        letters = any(c.isalpha() for c in t)
+        assert got[i][0] == (langs[int((total / n).argmax())] if letters else "und")
+        assert abs(got[i][1] - ((total / n).max() if letters else 0)) < 1e-5
+    assert got[len(texts)] == got[len(texts) - 2] and got[len(texts) + 1] == got[len(texts) - 1]
+
+
+def test_op10_long_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BATCH_CHARS", 300)
+    rows = [(1, i, "assistant" if i % 2 else "user", "w" * 40) for i in range(60)]
+    made = chat.chat_examples(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    back = chat.read_back(made).collect()
+    assert made.count() == 30 and [(r.n_turns, r.loss_chars) for r in back] == [(60, 1200)]
