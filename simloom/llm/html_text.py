@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from simloom.llm.common import broadcast_if, durable, in_arrow, read_table
 
-MIN_RUN, OUTSIDE, SHARD_BYTES = 4, 5, 4 << 20
+MIN_RUN, OUTSIDE, SHARD_BYTES = 4, 5, 1 << 20
 SHARE_OUTSIDE, SHARE_INSIDE = 0.2, 0.8
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
 GONE = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "object", "canvas", "head"}
