@@ -1,27 +1,92 @@
-"""Written intermediates and counted broadcasts."""
+"""Written intermediates, counted broadcasts, and Arrow passes of bounded batches."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import simloom
 
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+# Executors get this package's functions with the task, so they need no copy of it on their path.
 cloudpickle.register_pickle_by_value(simloom)
 
+_scopes: list[list[str]] = []
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir`` (a temporary one in local mode, where none is set)."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="simloom-"))
-        top = spark.sparkContext.getCheckpointDir()
-    path = f"{top.rstrip('/')}/settled/{uuid.uuid4().hex}"
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: the lineage is cut, and no executor's loss undoes it. The table goes when the
+    driver ends, or with the ``scratch`` it was made in."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/simloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``settled`` writes within go at the end. What is to be kept must be written before, by other means."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            system, where = _file_system(spark, path)
+            system.delete(where, True)
+
+
+def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """Broadcast hint only where the counted rows are within ``limit``; beyond it the planner shuffles."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` over batches of about ``BATCH_BYTES``: batches of a number of rows would grow with the rows. The bound is a setting
+    of the session, which is read when the frame runs; it is set here for good, unless the session has one already."""
+    conf = df.sparkSession.conf
+    if BATCH_KEY not in conf.getAll:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def in_parts(rows: list, row_bytes: int) -> Iterator[list]:
+    """``rows`` in lists of about ``BATCH_BYTES``."""
+    step = max(1, BATCH_BYTES // max(row_bytes, 1))
+    for a in range(0, len(rows), step):
+        yield rows[a : a + step]
+
+
+def integer_lists(arrays: list) -> pa.ListArray:
+    """numpy integer arrays of one type as a column of lists."""
+    import numpy as np
+
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))

@@ -64,6 +64,41 @@ def rolling(data: np.ndarray, size: int, kind: str = "djb2") -> np.ndarray:
 
 
 ONE = {"djb2": djb2, "sdbm": sdbm, "jenkins": jenkins}
+#: Multiplier and start of the polynomial hashes.
+POLYNOMIAL = {"djb2": (33, 5381), "sdbm": (65599, 0)}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint32), np.cumprod(np.full(n, base & MASK, np.uint32), dtype=np.uint32)])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, first: np.ndarray, kind: str = "djb2") -> np.ndarray:
+    """Hash of the bytes of each run of ``size`` spans, all runs at once (uint32). first: of each run its first span."""
+    if not len(first):
+        return np.zeros(0, np.uint32)
+    lengths = ends - starts
+    if kind in POLYNOMIAL:
+        base, start = POLYNOMIAL[kind]
+        power, back = _powers(base, int(max(len(data), lengths.max() * size)) + 1), _powers(pow(base, -1, 1 << 32), len(data))
+        run = np.concatenate([np.zeros(1, np.uint32), np.cumsum(data.astype(np.uint32) * back[:-1], dtype=np.uint32)])
+        sums = (run[ends] - run[starts]) * power[ends] * back[1] if len(data) else np.zeros(len(starts), np.uint32)
+        h = np.full(len(first), start, np.uint32)
+        for j in range(size):
+            h = h * power[lengths[first + j]] + sums[first + j]
+        return h
+    h = np.zeros(len(first), np.uint32)
+    for j in range(size):
+        span = first + j
+        order = np.argsort(-lengths[span], kind="stable")
+        sizes, at = lengths[span][order], starts[span][order]
+        for i in range(int(sizes[0])):
+            live = order[: np.searchsorted(-sizes, -i)]  # those longer than i
+            x = h[live] + data[at[: len(live)] + i]
+            x = x + (x << np.uint32(10))
+            h[live] = x ^ (x >> np.uint32(6))
+    h = h + (h << np.uint32(3))
+    h ^= h >> np.uint32(11)
+    return h + (h << np.uint32(15))
 
 
 def byte_values(data: Column) -> Column:
@@ -96,7 +131,3 @@ def hash_column(data: Column, kind: str = "djb2") -> Column:
 
     values = F.when(F.octet_length(data) > 0, byte_values(data)).otherwise(F.array().cast("array<bigint>"))
     return F.aggregate(values, F.lit(start).cast("bigint"), step, finish)
-
-
-def bit_index(h: Column, fp_bits: int) -> Column:
-    return h.bitwiseAND(F.lit(fp_bits - 1).cast("bigint")).cast("int")

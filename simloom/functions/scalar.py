@@ -24,11 +24,6 @@ def entropy_bits(n1: float, n0: float) -> float:
     return n1 * math.log2(n / n1) + n0 * math.log2(n / n0)
 
 
-def entropy_column(n1: Column, n0: Column) -> Column:
-    n = (n1 + n0).cast("double")
-    return F.when((n1 > 0) & (n0 > 0), n1 * F.log2(n / n1) + n0 * F.log2(n / n0)).otherwise(F.lit(0.0))
-
-
 def short_name(path: Column) -> Column:
     """Last path component, 32 characters at most."""
     return F.substring(F.element_at(F.split(path, "/"), -1), 1, 32)

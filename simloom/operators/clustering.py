@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.common import settled
+from simloom.operators.fingerprint import with_vids
+from simloom.operators.similarity import similarity_links
 
 
-def connected(vids: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """vid and root (the least vid of its component) of every vid. Least-label propagation with pointer jumping, each round written out."""
-    both = settled(edges.select(F.col("vid_a").alias("x"), F.col("vid_b").alias("y")).union(edges.select("vid_b", "vid_a")).distinct())
+def connected(vids: DataFrame, edges: DataFrame) -> DataFrame:
+    """vid and root (the least vid of its component) of every vid. Least-label propagation with pointer jumping, each round written out,
+    until a round changes nothing."""
+    edges = settled(edges.select(F.col("vid_a").alias("x"), F.col("vid_b").alias("y")))
+    both = settled(edges.union(edges.select("y", "x")).distinct())
     labels = settled(both.select("x").distinct().select(F.col("x").alias("vid"), F.col("x").alias("root")))
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(labels.select(F.col("vid").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        lower = labels.join(heard, labels["vid"] == heard["x"], "left").select("vid", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        lower = settled(labels.join(heard, labels["vid"] == heard["x"], "left").select("vid", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")))
         jumped = lower.join(lower.select(F.col("vid").alias("root"), F.col("root").alias("far")), "root", "left").select("vid", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
         jumped = settled(jumped)
         labels = jumped.select("vid", "root")
@@ -25,8 +29,6 @@ def connected(vids: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Data
 
 def numbered(components: DataFrame, base: int = 0) -> DataFrame:
     """cid and vid: clusters in the order of their least member. Ranks are made from the roots alone."""
-    from simloom.operators.fingerprint import with_vids
-
     roots = with_vids(components.where("vid = root").select("root"), "root", base).withColumnRenamed("vid", "cid")
     return components.join(roots, "root").select("cid", "vid")
 
@@ -37,6 +39,12 @@ def cluster(vids: DataFrame, pairs: DataFrame, t: float, base: int = 0, round_di
     return numbered(connected(vids, pairs.where(sim >= t)), base)
 
 
+def similarity_clusters(fps: DataFrame, t: float, base: int = 0, **how: str) -> DataFrame:
+    """Clusters of fingerprints within a threshold: as ``cluster`` of all their pairs, without a row for each pair of copies."""
+    fps = settled(fps)
+    return numbered(connected(fps.select("vid"), similarity_links(fps, t, **how)), base)
+
+
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cid").agg(F.count("*").alias("n"), F.min("vid").alias("first_vid"))
 
@@ -70,9 +78,3 @@ def cluster_tree(clusters: DataFrame, names: DataFrame) -> DataFrame:
 
 def search(names: DataFrame, text: str) -> DataFrame:
     return names.where(F.col("name").contains(text) | F.col("vlabel").contains(text))
-
-
-def ranked(rows: DataFrame, by: str, n: int) -> DataFrame:
-    """The ``n`` rows of highest ``by``, numbered from 0."""
-    top = rows.orderBy(F.desc(by)).limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by))) - 1)

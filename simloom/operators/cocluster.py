@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simloom.common import settled
 from simloom.functions.scalar import entropy_bits, log_star
+from simloom.operators.fingerprint import with_vids
 
 
 @dataclass
@@ -25,28 +26,39 @@ class State:
     k: int
     l: int  # noqa: E741
     cost: float = math.inf
+    #: Block counts and group sizes, once they are known.
+    g: np.ndarray | None = None
+    rows: np.ndarray | None = None
+    cols: np.ndarray | None = None
 
 
 def random_cuts(n: int, groups: int, seed: int) -> list[int]:
-    """One cut in each stripe of n // groups items; labels of items are the number of cuts at or below them."""
+    """One cut anywhere in each stripe of n // groups items; an item's label is the number of cuts at or below it, so a cut at 0 leaves the
+    first group empty."""
     rng, stripe = np.random.default_rng(seed), n // groups
-    return [int(rng.integers(i * stripe + stripe // 2, (i + 1) * stripe)) + 1 if stripe > 1 else i + 1 for i in range(groups - 1)]
+    return [int(rng.integers(i * stripe, (i + 1) * stripe)) for i in range(groups - 1)]
 
 
 def even_cuts(n: int, groups: int) -> list[int]:
     return [n * i // groups for i in range(1, groups)]
 
 
-def cut_label(index, cuts: list[int]):
-    out = F.lit(0)
-    for c in cuts:
-        out = out + (index >= c).cast("int")
-    return out
+def cut_label(index: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``index``, however many there are."""
+    cuts = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def label(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(np.int64), side="right").astype(np.int32))
+
+    return label(index.cast("long"))
 
 
 def initial(spark: SparkSession, vids: DataFrame, fp_bits: int, k: int, l: int, seed: int | None = 0) -> State:  # noqa: E741
     """Contiguous groups of dense vids from 0 and of bits; seed None: even cuts."""
     n = vids.count()
+    if not 1 <= k <= n or not 1 <= l <= fp_bits:
+        raise ValueError(f"{k} x {l} groups of {n} samples and {fp_bits} bits")
     rows, cols = (even_cuts(n, k), even_cuts(fp_bits, l)) if seed is None else (random_cuts(n, k, seed), random_cuts(fp_bits, l, seed + 1))
     r = vids.select("vid", cut_label(F.col("vid"), rows).alias("rg"))
     c = spark.range(fp_bits).select(F.col("id").cast("int").alias("bit"), cut_label(F.col("id"), cols).alias("cg"))
@@ -102,10 +114,10 @@ def best_groups(current: np.ndarray, stats: np.ndarray, g: np.ndarray, own: np.n
 
 
 def move(postings: DataFrame, labels: DataFrame, others: DataFrame, g: np.ndarray, own: np.ndarray, other: np.ndarray, item: str, by: str, mine: str, theirs: str, ties: str) -> DataFrame:
-    """Labels after one pass against frozen blocks. Items without a one take part; those of one label and equal statistics decide once."""
+    """Labels after one pass against frozen blocks. Items without a one take part too: those of one label decide once, on the driver."""
     width = len(other)
     counts = line_statistics(postings, others, item, by, theirs).groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct(theirs, "n"))).alias("m"))
-    wide = labels.join(counts, item, "left").select(item, mine, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("bigint")).alias("stats"))
+    wide = labels.join(counts, item).select(item, mine, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("bigint")).alias("stats"))
 
     @F.pandas_udf("int")
     def choose(current: pd.Series, stats: pd.Series) -> pd.Series:
@@ -113,28 +125,44 @@ def move(postings: DataFrame, labels: DataFrame, others: DataFrame, g: np.ndarra
             return pd.Series([], dtype="int32")
         return pd.Series(best_groups(current.to_numpy(np.int64), np.stack(stats.to_numpy()), g, own, other, ties).astype(np.int32))
 
-    return wide.select(item, choose(mine, "stats").alias(mine))
+    decided = wide.select(item, choose(mine, "stats").alias("new"))
+    held = np.flatnonzero(own)
+    empty = best_groups(held, np.zeros((len(held), width), np.int64), g, own, other, ties)
+    table = labels.sparkSession.createDataFrame([(int(x), int(y)) for x, y in zip(held, empty)] or [(-1, -1)], f"{mine} int, without int")
+    return labels.join(F.broadcast(table), mine, "left").join(decided, item, "left").select(item, F.coalesce("new", "without").alias(mine))
 
 
-def without_empty(labels: DataFrame, group: str) -> tuple[DataFrame, int]:
-    """Labels renumbered in order without empty groups, and how many remain."""
-    used = sorted(x[0] for x in labels.select(group).distinct().collect())
-    if used == list(range(len(used))):
-        return labels, len(used)
-    lookup = F.create_map(*[F.lit(x) for pair in ((g, i) for i, g in enumerate(used)) for x in pair])
-    return labels.withColumn(group, lookup[F.col(group)]), len(used)
+def blocks(postings: DataFrame, s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block counts, row group sizes and column group sizes of a state, each counted once."""
+    if s.g is None:
+        s.g = matrix(block_counts(postings, s.r, s.c), s.k, s.l)
+    if s.rows is None:
+        s.rows = sizes(s.r, "rg", s.k)
+    if s.cols is None:
+        s.cols = sizes(s.c, "cg", s.l)
+    return s.g, s.rows, s.cols
+
+
+def without_empty(labels: DataFrame, group: str, n: int) -> tuple[DataFrame, np.ndarray]:
+    """Labels renumbered in order without empty groups, and the sizes of those that remain."""
+    counts = sizes(labels, group, n)
+    used = np.flatnonzero(counts)
+    if len(used) < n:
+        table = labels.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(used)], f"{group} int, now int")
+        labels = labels.join(F.broadcast(table), group).drop(group).withColumnRenamed("now", group)
+    return labels, counts[used]
 
 
 def row_pass(postings: DataFrame, s: State, ties: str = "lowest") -> State:
-    g, own, other = matrix(block_counts(postings, s.r, s.c), s.k, s.l), sizes(s.r, "rg", s.k), sizes(s.c, "cg", s.l)
-    r, k = without_empty(settled(move(postings, s.r, s.c, g, own, other, "vid", "bit", "rg", "cg", ties)), "rg")
-    return State(r, s.c, k, s.l)
+    g, own, other = blocks(postings, s)
+    r, rows = without_empty(settled(move(postings, s.r, s.c, g, own, other, "vid", "bit", "rg", "cg", ties)), "rg", s.k)
+    return State(r, s.c, len(rows), s.l, rows=rows, cols=other)
 
 
 def column_pass(postings: DataFrame, s: State, ties: str = "lowest") -> State:
-    g, own, other = matrix(block_counts(postings, s.r, s.c), s.k, s.l), sizes(s.r, "rg", s.k), sizes(s.c, "cg", s.l)
-    c, l = without_empty(settled(move(postings, s.c, s.r, g.T, other, own, "bit", "vid", "cg", "rg", ties)), "cg")  # noqa: E741
-    return State(s.r, c, s.k, l)
+    g, own, other = blocks(postings, s)
+    c, cols = without_empty(settled(move(postings, s.c, s.r, g.T, other, own, "bit", "vid", "cg", "rg", ties)), "cg", s.l)
+    return State(s.r, c, s.k, len(cols), rows=own, cols=cols)
 
 
 def description_cost(g: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> float:
@@ -156,14 +184,14 @@ def content_cost(g: np.ndarray, rows: np.ndarray, cols: np.ndarray, base: float
 
 
 def cost_of(postings: DataFrame, s: State, kind: str = "description") -> float:
-    g, rows, cols = matrix(block_counts(postings, s.r, s.c), s.k, s.l), sizes(s.r, "rg", s.k), sizes(s.c, "cg", s.l)
+    g, rows, cols = blocks(postings, s)
     return description_cost(g, rows, cols) if kind == "description" else content_cost(g, rows, cols, math.e)
 
 
-def refine(postings: DataFrame, s: State, factor: float = 1.0, ties: str = "lowest", kind: str = "description", most: int = 50) -> tuple[State, float]:
+def refine(postings: DataFrame, s: State, factor: float = 1.0, ties: str = "lowest", kind: str = "description") -> tuple[State, float]:
     """Row and column passes until the cost is not below ``factor`` times the last. The state is that of the last pass; also the least cost seen."""
     before, postings = math.inf, settled(postings)
-    for _ in range(most):
+    while True:
         s = column_pass(postings, row_pass(postings, s, ties), ties)
         s.cost = cost_of(postings, s, kind)
         if s.cost >= before * factor:
@@ -174,7 +202,7 @@ def refine(postings: DataFrame, s: State, factor: float = 1.0, ties: str = "lowe
 
 def split(postings: DataFrame, s: State, side: str, n: int) -> State:
     """The n groups of highest code length (lower label first) give the first half of their members, by id, to new groups at the end."""
-    g, rows, cols = matrix(block_counts(postings, s.r, s.c), s.k, s.l), sizes(s.r, "rg", s.k), sizes(s.c, "cg", s.l)
+    g, rows, cols = blocks(postings, s)
     lengths = code_lengths(g, np.outer(rows, cols)).sum(1 if side == "row" else 0)
     top = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))[:n]
     labels, item, group, old, size = (s.r, "vid", "rg", s.k, rows) if side == "row" else (s.c, "bit", "cg", s.l, cols)
@@ -186,12 +214,12 @@ def split(postings: DataFrame, s: State, side: str, n: int) -> State:
     return State(moved, s.c, s.k + len(top), s.l) if side == "row" else State(s.r, moved, s.k, s.l + len(top))
 
 
-def search(postings: DataFrame, s: State, most: int = 40) -> State:
+def search(postings: DataFrame, s: State) -> State:
     """Grows the groups by splits: rows first; a gain doubles the number of splits, a loss halves it and, at one, changes sides;
     it ends when both sides have failed one after the other."""
     postings = settled(postings)
     best, side, n, failed, doubled_too_far = None, "row", 1, {"row": False, "col": False}, False
-    for _ in range(most):
+    while True:
         s, _ = refine(postings, s)
         other = "col" if side == "row" else "row"
         if best is None:
@@ -212,20 +240,39 @@ def search(postings: DataFrame, s: State, most: int = 40) -> State:
     return best
 
 
-def grid_search(spark: SparkSession, postings: DataFrame, vids: DataFrame, fp_bits: int, k: int, l: int, seed: int = 0, most: int = 12) -> State:  # noqa: E741
-    """The other search: each time new contiguous groups, rows by eight more and columns by twice as many, until both have failed."""
-    best, low, side, failed = None, math.inf, "row", 0
-    for i in range(most):
-        s, cost = refine(postings, initial(spark, vids, fp_bits, k, l, seed + i), 0.999, "current", "content")
-        if cost < low:
-            best, low, failed = s, cost, 0
+def grid_search(spark: SparkSession, postings: DataFrame, vids: DataFrame, fp_bits: int, k: int, l: int, seed: int = 0) -> State:  # noqa: E741
+    """The other search: each time new contiguous groups, rows by eight more and columns by twice as many than were asked for last, until both
+    have failed one after the other. More groups than there are items fail."""
+    n, postings = vids.count(), settled(postings)
+    asked, side, stopped, best, tries = {"row": k, "col": l}, "row", {"row": False, "col": False}, None, 0
+    while True:
+        s = None
+        if asked["row"] <= n and asked["col"] <= fp_bits or best is None:
+            s, cost = refine(postings, initial(spark, vids, fp_bits, asked["row"], asked["col"], seed + 2 * tries), 0.999, "current", "content")
+            tries += 1
+        other = "col" if side == "row" else "row"
+        if s is not None and (best is None or cost < best.cost):
+            stopped[other] = stopped[other] and best is None
+            best = s
+            best.cost = cost
         else:
-            failed, side = failed + 1, "col" if side == "row" else "row"
-            if failed == 2:
-                break
-        k, l = (best.k + 8, best.l) if side == "row" else (best.k, best.l * 2)  # noqa: E741
-    best.cost = low
-    return best
+            asked[side] = asked[side] - 8 if side == "row" else asked[side] // 2
+            stopped[side] = True
+            if stopped[other]:
+                return best
+            side = other
+        asked[side] = asked[side] + 8 if side == "row" else asked[side] * 2
+
+
+def cocluster(fps: DataFrame, fp_bits: int, k: int, l: int, seed: int | None = 0, how: str = "split", id_col: str = "vid") -> tuple[DataFrame, DataFrame, State]:  # noqa: E741
+    """From fingerprints (of samples, or of a stored matrix) to co-clusters: ids with their dense vid and row group, postings, and the state.
+    how: split (grows the best state by splits) or grid (starts anew with more groups)."""
+    spark = fps.sparkSession
+    ids = settled(with_vids(fps.select(F.col(id_col).alias("id")), "id", 0))
+    posts = settled(fps.select(F.col(id_col).alias("id"), F.explode("bits").alias("bit")).join(ids, "id").select("vid", "bit"))
+    vids = ids.select("vid")
+    s = search(posts, initial(spark, vids, fp_bits, k, l, seed)) if how == "split" else grid_search(spark, posts, vids, fp_bits, k, l, seed or 0)
+    return ids.join(s.r, "vid").select("id", "vid", "rg"), posts, s
 
 
 def permutation(g: np.ndarray, rows: np.ndarray, cols: np.ndarray, dense: float = 0.95) -> tuple[list[int], list[int]]:
@@ -241,7 +288,7 @@ def permutation(g: np.ndarray, rows: np.ndarray, cols: np.ndarray, dense: float
 
 
 def permute(postings: DataFrame, s: State) -> State:
-    rows, cols = permutation(matrix(block_counts(postings, s.r, s.c), s.k, s.l), sizes(s.r, "rg", s.k), sizes(s.c, "cg", s.l))
+    rows, cols = permutation(*blocks(postings, s))
     at = lambda column, new: F.element_at(F.array(*map(F.lit, new)), F.col(column) + 1)
     return State(s.r.withColumn("rg", at("rg", rows)), s.c.withColumn("cg", at("cg", cols)), s.k, s.l, s.cost)
 
@@ -267,7 +314,7 @@ def merge(a: State, b: State, bits_a: DataFrame, bits_b: DataFrame) -> tuple[Dat
 
 def coordinates(postings: DataFrame, s: State) -> DataFrame:
     """Dot-plot place of every one: x and y in group order with a gap of one between groups, y from the bottom."""
-    rows, cols = sizes(s.r, "rg", s.k), sizes(s.c, "cg", s.l)
+    _, rows, cols = blocks(postings, s)
     offset = lambda n: (np.concatenate([[0], np.cumsum(n)[:-1]]) + np.arange(len(n))).tolist()
     at = lambda group, n: F.element_at(F.array(*map(F.lit, offset(n))), F.col(group) + 1)
     y = s.r.withColumn("y", at("rg", rows) + F.row_number().over(Window.partitionBy("rg").orderBy("vid")) - 1)

@@ -10,24 +10,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from simloom.functions.hashing import ONE, rolling
+from simloom.common import in_arrow, in_parts, integer_lists, settled
+from simloom.functions.hashing import rolling, span_hashes
 from simloom.params import Params
 
 LINE_BYTES = 8190  #: Fixed value: a longer line is read in pieces of so many bytes.
 
 
-def text_pieces(data: bytes) -> list[bytes]:
-    """Lines with their newline, in pieces of ``LINE_BYTES``, each up to its first NUL byte."""
-    lines = data.split(b"\n")
-    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
-    return [x[a : a + LINE_BYTES].split(b"\0", 1)[0] for x in lines for a in range(0, len(x), LINE_BYTES)]
-
-
-def text_shreds(data: bytes, size: int, kind: str = "djb2") -> np.ndarray:
-    """Hash of each run of ``size`` lines."""
-    pieces = text_pieces(data)
-    return np.array([ONE[kind](b"".join(pieces[i : i + size])) for i in range(len(pieces) - size + 1)], np.uint32)
+def text_spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each line with its newline, in pieces of ``LINE_BYTES``, each up to its first NUL byte; and of each text between
+    ``edges`` its first piece."""
+    line = np.unique(np.concatenate([edges, np.flatnonzero(data == 10) + 1]))
+    begin, size = line[:-1], np.diff(line)
+    parts = -(-size // LINE_BYTES)
+    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(begin, parts) + number * LINE_BYTES
+    ends = np.minimum(starts + LINE_BYTES, np.repeat(begin + size, parts))
+    nul = np.flatnonzero(data == 0)
+    if len(nul):
+        next_nul = np.append(nul, len(data))[np.searchsorted(nul, starts)]
+        ends = np.minimum(ends, next_nul)
+    return starts, ends, np.searchsorted(starts, edges)
+
+
+def text_shreds(texts: list[bytes], size: int, kind: str = "djb2") -> list[np.ndarray]:
+    """Of each text the hash of each run of ``size`` lines."""
+    if not texts:
+        return []
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    starts, ends, place = text_spans(data, edges)
+    counts = np.maximum(np.diff(place) - size + 1, 0)
+    cuts = np.cumsum(counts)
+    first = np.arange(int(counts.sum())) + np.repeat(place[:-1] - (cuts - counts), counts)
+    return np.split(span_hashes(data, starts, ends, size, first, kind), cuts[:-1])
 
 
 def byte_shreds(sections: list[bytes], size: int, kind: str = "djb2") -> np.ndarray:
@@ -45,31 +63,27 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + window - 1 - view[:, ::-1].argmin(axis=1))
 
 
-def shreds(samples: DataFrame, params: Params, mode: str = "text", id_col: str = "vid", data_col: str = "data", kind: str = "djb2", keep: str = "all") -> DataFrame:
-    """id and ``hashes`` array<bigint>, ``at`` array<int>: all shreds of a sample, or those that winnowing selects."""
-    schema = samples.select(id_col).schema.add("nshred", "long").add("hashes", pa_list("bigint")).add("at", pa_list("int"))
+def shreds(samples: DataFrame, params: Params, mode: str = "text", id_col: str = "vid", data_col: str = "data", kind: str | tuple[str, ...] = "djb2", keep: str = "all") -> DataFrame:
+    """id and ``hashes`` array<bigint>, ``at`` array<int>: all shreds of a sample, or those that winnowing selects. Of several hash functions
+    the hashes of one follow those of the other."""
+    kinds = (kind,) if isinstance(kind, str) else kind
+    schema = samples.select(id_col).schema.add("nshred", "long").add("hashes", T.ArrayType(T.LongType())).add("at", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
-                if mode == "text":
-                    h = text_shreds(as_bytes(x), params.shred_size, kind)
-                else:
-                    h = byte_shreds([as_bytes(s) for s in x] if isinstance(x, list) else [as_bytes(x)], params.shred_size, kind)
-                at = winnow(h, params.window_size) if keep == "winnowed" else np.arange(len(h))
-                out.append((len(h), h[at].astype(np.int64), at.astype(np.int32)))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(o[1]) for o in out])]).astype(np.int32))
-            flat = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, t) for j, t in ((1, np.int64), (2, np.int32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(f)) for f in flat)], [id_col, "nshred", "hashes", "at"])
-
-    return samples.select(id_col, data_col).mapInArrow(run, schema)
-
+            cells = b.column(1).to_pylist()
+            if mode == "text":
+                texts = [as_bytes(x) for x in cells]
+                each = [text_shreds(texts, params.shred_size, k) for k in kinds]
+            else:
+                sections = [[as_bytes(s) for s in x] if isinstance(x, list) else [as_bytes(x)] for x in cells]
+                each = [[byte_shreds(x, params.shred_size, k) for x in sections] for k in kinds]
+            found = [np.concatenate(x) for x in zip(*each)] if len(kinds) > 1 else each[0]
+            places = [winnow(h, params.window_size) if keep == "winnowed" else np.arange(len(h)) for h in found]
+            hashes = integer_lists([h[at].astype(np.int64) for h, at in zip(found, places)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) // len(kinds) for h in found], pa.int64()), hashes, integer_lists([at.astype(np.int32) for at in places])], [id_col, "nshred", "hashes", "at"])
 
-def pa_list(kind: str):
-    from pyspark.sql import types as T
-
-    return T.ArrayType(T.LongType() if kind == "bigint" else T.IntegerType())
+    return in_arrow(samples.select(id_col, data_col), run, schema)
 
 
 def as_bytes(x: str | bytes | None) -> bytes:
@@ -96,13 +110,10 @@ def fingerprints(samples: DataFrame, params: Params, mode: str = "text", id_col:
     def bits(column: Column) -> Column:
         return F.array_sort(F.array_distinct(F.transform(column, lambda h: h.bitwiseAND(F.lit(mask).cast("bigint")).cast("int"))))
 
-    base = shreds(samples, params, mode, id_col, data_col, params.hashes[0], "winnowed").where(F.col("nshred") >= params.window_size)
-    out = base.select(id_col, "nshred", F.size("hashes").cast("long").alias("nhash"), bits(F.col("hashes")).alias("bits"))
-    for kind in params.hashes[1:]:  # further hash functions of the same shreds
-        more = shreds(samples, params, mode, id_col, data_col, kind, "all").select(id_col, bits(F.col("hashes")).alias("more"))
-        if params.window_size > 1:
-            raise ValueError("several hash functions need a window of 1")
-        out = out.join(more, id_col).withColumn("bits", F.array_sort(F.array_union("bits", "more"))).drop("more")
+    if len(params.hashes) > 1 and params.window_size > 1:
+        raise ValueError("several hash functions need a window of 1")
+    base = shreds(samples, params, mode, id_col, data_col, params.hashes, "winnowed").where(F.col("nshred") >= params.window_size)
+    out = base.select(id_col, "nshred", (F.size("hashes") / len(params.hashes)).cast("long").alias("nhash"), bits(F.col("hashes")).alias("bits"))
     return out.withColumn("nbits", F.size("bits").cast("long")).where("nhash > 0").select(id_col, "nshred", "nhash", "nbits", "bits")
 
 
@@ -117,19 +128,18 @@ def accepted(fps: DataFrame, params: Params) -> DataFrame:
     return fps if params.max_set_ratio is None else fps.where(F.col("nbits") <= params.fp_bits * params.max_set_ratio)
 
 
-def with_vids(rows: DataFrame, key: str, base: int = 0) -> DataFrame:
+def with_vids(rows: DataFrame, key: str | list[str], base: int = 0, name: str = "vid") -> DataFrame:
     """Dense ids in the order of ``key``: sorted partitions, each offset by the rows before it; only one count a partition goes to the driver."""
-    from simloom.common import settled
-
-    ranged = settled(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()))
+    keys = [key] if isinstance(key, str) else key
+    ranged = settled(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
     counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
     offsets, total = [], base
     for part, n in counts:
         offsets.append((part, total))
         total += n
     table = rows.sparkSession.createDataFrame(offsets or [(0, base)], "part int, before long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(key))
-    return ranged.withColumn("place", place).join(F.broadcast(table), "part").select((F.col("before") + F.col("place") - 1).alias("vid"), *rows.columns)
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    return ranged.withColumn("place", place).join(F.broadcast(table), "part").select((F.col("before") + F.col("place") - 1).alias(name), *rows.columns)
 
 
 def postings(fps: DataFrame, id_col: str = "vid") -> DataFrame:
@@ -149,31 +159,34 @@ def zero_columns(fps: DataFrame, params: Params) -> DataFrame:
 def dense(fps: DataFrame, params: Params, id_col: str = "vid") -> DataFrame:
     """id and ``fp`` BINARY of fp_bits / 8 bytes, least significant bit first."""
 
+    def packed(bits: list[int] | None) -> bytes:
+        v = np.zeros(params.fp_bits, np.uint8)
+        v[bits or []] = 1
+        return np.packbits(v, bitorder="little").tobytes()
+
     def run(batches):
         for b in batches:
-            out = []
-            for bits in b.column(1).to_pylist():
-                v = np.zeros(params.fp_bits, np.uint8)
-                v[bits or []] = 1
-                out.append(np.packbits(v, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_col, "fp"])
+            for rows in in_parts(list(range(b.num_rows)), params.fp_bits // 8):
+                part = b.slice(rows[0], len(rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(x) for x in part.column(1).to_pylist()], pa.binary())], [id_col, "fp"])
 
-    return fps.select(id_col, "bits").mapInArrow(run, fps.select(id_col).schema.add("fp", "binary"))
+    return in_arrow(fps.select(id_col, "bits"), run, fps.select(id_col).schema.add("fp", "binary"))
 
 
 def from_dense(rows: DataFrame, params: Params, id_col: str = "path", data_col: str = "content") -> DataFrame:
     """Fingerprints of files that hold one dense matrix each: file, row in file, nbits and bits."""
     size = params.fp_bits // 8
-    schema = rows.select(id_col).schema.add("row", "long").add("nbits", "long").add("bits", pa_list("int"))
+    schema = rows.select(id_col).schema.add("row", "long").add("nbits", "long").add("bits", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         for b in batches:
-            for key, data in zip(b.column(0), b.column(1).to_pylist()):
-                n = len(data or b"") // size
-                rows = [np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, i * size), bitorder="little")).astype(np.int32) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, b.column(0).type), pa.array(range(n), pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], [id_col, "row", "nbits", "bits"])
+            for i in range(b.num_rows):
+                data = b.column(1)[i].as_buffer() if b.column(1)[i].is_valid else b""
+                for numbers in in_parts(list(range(len(data) // size)), 4 * params.fp_bits):
+                    found = [np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, j * size), bitorder="little")).astype(np.int32) for j in numbers]
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(found), b.column(0).type), pa.array(numbers, pa.int64()), pa.array([len(r) for r in found], pa.int64()), integer_lists(found)], [id_col, "row", "nbits", "bits"])
 
-    return rows.select(id_col, data_col).mapInArrow(run, schema)
+    return in_arrow(rows.select(id_col, data_col), run, schema)
 
 
 def ascii_matrix(fps: DataFrame, params: Params, id_col: str = "vid") -> DataFrame:

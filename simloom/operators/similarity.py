@@ -1,17 +1,22 @@
-"""Similarity joins over fingerprints: thresholded self-join, all pairs, incremental pairs, nearest neighbour.
+"""Similarity joins over fingerprints: thresholded self-join, all pairs, incremental pairs, nearest neighbour, links for clustering.
 
-The thresholded join is exact. Equal fingerprints are joined once, as a class. Bits are ordered rarest first, and two fingerprints
-within the threshold share a bit of their prefixes, so only prefixes are joined; candidates are verified with whole fingerprints.
+The thresholded join is exact. Fingerprints are written once; equal ones (by size and 128 bits of hashes) are one class and are joined once.
+Bits are ordered rarest first, by a count of each bit's classes in ``SLOTS`` slots at most, and two fingerprints within the threshold share
+a bit of their prefixes. Prefixes are joined with the places of their bits, which bound what a pair can share; what is left is verified
+with whole fingerprints. Containment needs the whole order of the larger side, cut where too few bits are left to hold the smaller's share.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from simloom.common import settled
+from simloom.common import broadcast_if, in_arrow, integer_lists, settled
 
-SLACK = 1e-6
+SLACK, SLOTS = 1e-6, 1 << 20
 
 
 def measured(inter: Column, na: Column, nb: Column, measure: str = "jaccard") -> Column:
@@ -25,43 +30,110 @@ def reaches(sim: Column, t: float, numeric: str = "exact") -> Column:
     return sim.cast("float").cast("double") >= F.lit(float(t)) if numeric == "float32" else sim >= F.lit(float(t))
 
 
+def equal_classes(fps: DataFrame, id_col: str = "vid") -> tuple[DataFrame, DataFrame]:
+    """Classes of equal fingerprints (rep: the least id, n, bits, copies, newest: the greatest id) and members (vid, rep, copies), both
+    written out. Empty fingerprints are in none."""
+    own = settled(fps.where(F.size("bits") > 0).select(F.col(id_col).alias("vid"), F.size("bits").alias("n"), F.xxhash64("bits").alias("h"), F.xxhash64(F.lit(1), "bits").alias("g"), "bits"))
+    groups = own.groupBy("n", "h", "g").agg(F.min("vid").alias("rep"), F.max("vid").alias("newest"), F.count("*").alias("copies"))
+    groups = settled(groups)
+    classes = groups.join(own.select(F.col("vid").alias("rep"), "bits"), "rep").select("rep", "n", "copies", "newest", "bits")
+    members = own.select("vid", "n", "h", "g").join(groups, ["n", "h", "g"]).select("vid", "rep", "copies")
+    return settled(classes), settled(members)
+
+
+def rarity(classes: DataFrame) -> np.ndarray:
+    """How many classes set the bits of each slot. At most ``SLOTS`` numbers come to the driver."""
+    slot = F.col("bit").bitwiseAND(F.lit(SLOTS - 1))
+    counts = classes.select(F.explode("bits").alias("bit")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    return out
+
+
+def ordered(classes: DataFrame, counts: np.ndarray, low: float | None) -> DataFrame:
+    """rep, n and ``order``: the bits rarest first; low: only the prefix that a fingerprint within that threshold must meet."""
+    shared = classes.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for n, bits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                bits = np.array(bits, np.int32)
+                bits = bits[np.lexsort((bits, shared.value[bits & (SLOTS - 1)]))]
+                made.append(bits if low is None else bits[: n - max(int(np.ceil(n * low - SLACK)), 1) + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), integer_lists(made)], ["rep", "n", "order"])
+
+    return in_arrow(classes.select("rep", "n", "bits"), run, classes.select("rep", "n").schema.add("order", T.ArrayType(T.IntegerType())))
+
+
+def posted(orders: DataFrame, side: str) -> DataFrame:
+    """One row for each bit: bit, and id, size and place (from 0) with the side's name."""
+    return orders.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.posexplode("order").alias(f"p{side}", "bit"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, measure: str) -> DataFrame:
+    """a, b, na, nb, inter and sim of pairs (a, b)."""
+    whole = classes.select("rep", "bits", "n")
+    both = pairs.join(whole.toDF("a", "bits_a", "na"), "a").join(whole.toDF("b", "bits_b", "nb"), "b")
+    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("bits_a", "bits_b")).alias("inter"))
+    return counted.withColumn("sim", measured(F.col("inter"), F.col("na"), F.col("nb"), measure))
+
+
+def close_classes(classes: DataFrame, t: float, measure: str = "jaccard", numeric: str = "exact", through: int | None = None) -> DataFrame:
+    """a < b, inter, uni and sim of all pairs of different classes within the threshold; through: of those with a member of a greater id."""
+    low = t - 1e-6 if numeric == "float32" else t
+    counts = rarity(classes)
+    prefix = settled(ordered(classes, counts, low))
+    newer = classes.where(F.col("newest") > through).select("rep") if through is not None else None
+    left_is_new = prefix.join(newer, "rep", "left_semi") if newer is not None else prefix
+    least_left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # what a pair whose first common bit this is can share
+    if measure == "jaccard":
+        found = posted(left_is_new, "a").join(posted(prefix, "b"), "bit")
+        fits = (F.least("na", "nb") >= F.lit(low) * F.greatest("na", "nb") - SLACK) & (least_left * (1 + low) >= F.lit(low) * (F.col("na") + F.col("nb")) - 2 * SLACK * F.greatest("na", "nb"))
+        found = found.where((F.col("a") != F.col("b") if newer is not None else F.col("a") < F.col("b")) & fits)
+    else:
+        whole = settled(ordered(classes, counts, None))
+        smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+        fits = smaller & (least_left >= F.lit(low) * F.col("na") - SLACK * F.col("na"))
+        found = posted(prefix, "a").join(posted(whole, "b"), "bit").where(fits)
+        if newer is not None:
+            found = found.select("a", "b").distinct()
+            new_a, new_b = newer.select(F.col("rep").alias("a"), F.lit(1).alias("x")), newer.select(F.col("rep").alias("b"), F.lit(1).alias("y"))
+            found = found.join(new_a, "a", "left").join(new_b, "b", "left").where("x is not null or y is not null")
+    pairs = settled(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sims = verified(pairs, classes, measure)
+    return sims.where(reaches(F.col("sim"), t, numeric)).withColumn("uni", F.col("na") + F.col("nb") - F.col("inter")).select("a", "b", "inter", "uni", "sim")
+
+
 def similarity_join(fps: DataFrame, t: float, measure: str = "jaccard", numeric: str = "exact", id_col: str = "vid") -> DataFrame:
     """vid_a < vid_b, inter, uni and sim of all pairs with a similarity of ``t`` > 0 or more."""
     if t <= 0:
         return all_pairs(fps, measure, id_col)
-    own = fps.where(F.size("bits") > 0).select(F.col(id_col).alias("vid"), "bits")
-    classes = settled(own.groupBy("bits").agg(F.min("vid").alias("rep"), F.count("*").alias("copies")).withColumn("n", F.size("bits")))
-    members = own.join(classes.select("bits", "rep", "copies"), "bits").select("vid", "rep", "copies")
-    tokens = classes.select("rep", "n", F.explode("bits").alias("bit"))
-    df = tokens.groupBy("bit").agg(F.count("*").alias("df"))
-    ordered = tokens.join(df, "bit").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "bit"))).alias("order"))
-    low = t - 1e-6 if numeric == "float32" else t
-    keep = (F.col("n") - F.ceil(F.col("n") * low - SLACK) + 1).cast("int")
-    prefix = ordered.select("rep", "n", F.explode(F.slice("order", 1, F.least(keep, F.col("n")))).alias("k")).select("rep", "n", F.col("k.bit").alias("bit"))
-    a = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "bit")
-    if measure == "jaccard":
-        b = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "bit")
-        found = a.join(b, "bit").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(low) * F.greatest("na", "nb") - SLACK))
-    else:
-        b = tokens.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "bit")
-        found = a.join(b, "bit").where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    whole = classes.select("rep", "bits", "n")
-    both = pairs.join(whole.toDF("a", "bits_a", "na"), "a").join(whole.toDF("b", "bits_b", "nb"), "b")
-    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("bits_a", "bits_b")).alias("inter"))
-    sim = measured(F.col("inter"), F.col("na"), F.col("nb"), measure)
-    close = counted.withColumn("sim", sim).where(reaches(F.col("sim"), t, numeric)).withColumn("uni", F.col("na") + F.col("nb") - F.col("inter"))
+    classes, members = equal_classes(fps, id_col)
+    close = close_classes(classes, t, measure, numeric)
     one, two = members.select(F.col("rep").alias("a"), F.col("vid").alias("x")), members.select(F.col("rep").alias("b"), F.col("vid").alias("y"))
     across = close.join(one, "a").join(two, "b").select("x", "y", "inter", "uni", "sim")
-    copies = members.where("copies > 1").select("rep", F.col("vid").alias("x"))
-    within = copies.join(copies.withColumnRenamed("x", "y"), "rep").where("x < y").join(classes.select("rep", "n"), "rep").select("x", "y", F.col("n").alias("inter"), F.col("n").alias("uni"), F.lit(1.0).alias("sim"))
-    return finished(across.union(within))
+    return finished(across.union(within_classes(classes, members, F.lit(True), F.lit(True)).where("x < y")))
+
+
+def within_classes(classes: DataFrame, members: DataFrame, left: Column, right: Column) -> DataFrame:
+    """Pairs of different members of one class: x of those that ``left`` holds of, y of those that ``right`` does."""
+    copies = members.where("copies > 1").select("rep", "vid")
+    pairs = copies.where(left).withColumnRenamed("vid", "x").join(copies.where(right).withColumnRenamed("vid", "y"), "rep").where("x != y")
+    return pairs.join(classes.select("rep", "n"), "rep").select("x", "y", F.col("n").alias("inter"), F.col("n").alias("uni"), F.lit(1.0).alias("sim"))
 
 
 def finished(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("vid_a"), F.greatest("x", "y").alias("vid_b"), F.col("inter").cast("long").alias("inter"), F.col("uni").cast("long").alias("uni"), F.col("sim").cast("double").alias("sim"))
 
 
+def similarity_links(fps: DataFrame, t: float, measure: str = "jaccard", numeric: str = "exact", id_col: str = "vid") -> DataFrame:
+    """vid_a and vid_b of links that join the same samples as all pairs within the threshold ``t`` > 0 do: between classes those of their
+    representatives, and from each copy to its own. For clusters; as many rows as copies and close classes."""
+    classes, members = equal_classes(fps, id_col)
+    return close_classes(classes, t, measure, numeric).select(F.col("a").alias("vid_a"), F.col("b").alias("vid_b")).union(members.where("vid != rep").select("rep", "vid"))
+
+
 def all_pairs(fps: DataFrame, measure: str = "jaccard", id_col: str = "vid") -> DataFrame:
     """Every pair, those without a common bit too: what the unthresholded comparison is asked for. Quadratic by contract."""
     own = fps.select(F.col(id_col).alias("vid"), "bits", F.size("bits").alias("n"))
@@ -72,24 +144,48 @@ def all_pairs(fps: DataFrame, measure: str = "jaccard", id_col: str = "vid") ->
 
 
 def incremental_join(fps: DataFrame, compared_through: int, t: float, measure: str = "jaccard", id_col: str = "vid") -> DataFrame:
-    """Pairs with at least one sample whose id is over ``compared_through``: old with new and new with new, never old with old."""
-    tokens = fps.where(F.size("bits") > 0).select(F.col(id_col).alias("vid"), F.size("bits").alias("n"), F.explode("bits").alias("bit"))
-    new = tokens.where(F.col("vid") > compared_through).toDF("y", "ny", "bit")
-    old = tokens.toDF("x", "nx", "bit")
-    near = F.least("nx", "ny") >= F.lit(t) * F.greatest("nx", "ny") - SLACK if measure == "jaccard" else F.lit(True)
-    shared = old.join(new, "bit").where((F.col("x") < F.col("y")) & near).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("inter"))
-    sim = measured(F.col("inter"), F.col("nx"), F.col("ny"), measure)
-    return finished(shared.withColumn("sim", sim).where(reaches(F.col("sim"), t)).withColumn("uni", F.col("nx") + F.col("ny") - F.col("inter")))
-
-
-def nearest(queries: DataFrame, fps: DataFrame, query_col: str = "vid", id_col: str = "vid", none_id: int = 0) -> DataFrame:
-    """Of each query the sample of highest similarity, the least id of equals; ``none_id`` with 0 if no bit is shared."""
-    asked = queries.select(F.col(query_col).alias("q"), F.size("bits").alias("nq"), "bits")
-    stored = fps.select(F.col(id_col).alias("vid"), F.size("bits").alias("nv"), F.explode("bits").alias("bit"))
-    shared = asked.select("q", "nq", F.explode("bits").alias("bit")).join(stored, "bit").groupBy("q", "nq", "vid", "nv").agg(F.count("*").alias("inter"))
-    sim = F.col("inter") / (F.col("nq") + F.col("nv") - F.col("inter"))
-    best = shared.groupBy("q").agg(F.max_by(F.struct("vid", sim.alias("sim")), F.struct(sim, -F.col("vid"))).alias("m"))
-    return asked.select("q").join(best, "q", "left").select(F.col("q").alias("query"), F.coalesce("m.vid", F.lit(none_id)).cast("long").alias("vid"), F.coalesce("m.sim", F.lit(0.0)).alias("sim"))
+    """Pairs with at least one sample whose id is over ``compared_through``: old with new and new with new, never old with old. ``t`` > 0."""
+    classes, members = equal_classes(fps, id_col)
+    close = close_classes(classes, t, measure, through=compared_through)
+    new, old = F.col("vid") > compared_through, F.col("vid") <= compared_through
+    side = lambda name, which: members.where(which).select(F.col("rep").alias(name), F.col("vid").alias({"a": "x", "b": "y"}[name]))
+    every = F.lit(True)
+    across = [close.join(side("a", p), "a").join(side("b", q), "b").select("x", "y", "inter", "uni", "sim") for p, q in ((new, every), (old, new))]
+    within = within_classes(classes, members, new, every).where((F.col("y") <= compared_through) | (F.col("x") < F.col("y")))
+    return finished(across[0].union(across[1]).union(within))
+
+
+def nearest(queries: DataFrame, fps: DataFrame, query_col: str = "vid", id_col: str = "vid", none_id: int | None = -1, steps: tuple[float, ...] = (0.5,), broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Of each query the sample of highest Jaccard similarity, the least id of equals; ``none_id`` with 0 if no bit is shared.
+
+    Queries are looked up by prefixes at falling thresholds: one that finds a sample there has its best among those. Only the queries that
+    find none meet all bits, and of those each bit's list once for all queries with equal fingerprints.
+    """
+    classes, _ = equal_classes(fps, id_col)
+    asked_classes, asked = equal_classes(queries, query_col)
+    counts, open_, found = rarity(classes), asked_classes, []
+    for low in (*steps, None):
+        n = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        one, two = posted(ordered(open_, counts, low), "a"), posted(settled(ordered(classes, counts, low)), "b")
+        met = two.join(broadcast_if(one, n, broadcast_rows), "bit")
+        if low is None:
+            sims = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("inter")).withColumn("sim", measured(F.col("inter"), F.col("na"), F.col("nb")))
+        else:
+            fits = F.least("na", "nb") >= F.lit(low) * F.greatest("na", "nb") - SLACK
+            pairs = met.where(fits).select("a", "b").distinct()
+            whole = lambda rows, side: rows.select("rep", "bits", "n").toDF(side, f"bits_{side}", f"n{side}")
+            both = pairs.join(whole(open_, "a"), "a").join(whole(classes, "b"), "b")
+            sims = both.select("a", "b", "na", "nb", F.size(F.array_intersect("bits_a", "bits_b")).alias("inter")).withColumn("sim", measured(F.col("inter"), F.col("na"), F.col("nb"))).where(F.col("sim") >= low)
+        found.append(settled(sims.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("back"))).alias("m")).select(F.col("a").alias("rep"), "m.sim", (-F.col("m.back")).alias("found"))))
+        open_ = settled(open_.join(found[-1], "rep", "left_anti"))
+        if open_.isEmpty():
+            break
+    best = found[0]
+    for more in found[1:]:
+        best = best.union(more)
+    answers = asked.join(best, "rep").select(F.col("vid").alias("query"), "found", "sim")
+    every = queries.select(F.col(query_col).alias("query")).join(answers, "query", "left")
+    return every.select("query", F.coalesce("found", F.lit(none_id)).cast("long").alias("vid"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def sorted_pairs(pairs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import dataclasses
+import struct
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simloom.common import settled, shared_dir
+
 from simloom.functions.hashing import hash_column
+from simloom.functions.scalar import short_name
 from simloom.operators import clustering as cl
 from simloom.operators import cocluster as cc
 from simloom.operators import fingerprint as fp
 from simloom.operators import similarity as sim
 from simloom.params import PRESETS, Params
+from simloom.sources import readers as rd
 from simloom.sources import writers as wr
 
 TEXT = PRESETS["single_text"]
@@ -132,8 +138,8 @@ def pairs_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs_sorted(spark: SparkSession, d: str) -> DataFrame:
-    pairs = sim.sorted_pairs(rounded(sim.similarity_join(prints(spark, d), 0.5)))
-    return pairs.withColumn("rank", F.row_number().over(Window.orderBy("sim", "vid_a", "vid_b")).cast("long"))
+    """Pairs with their rank: range partitions are sorted, and each is offset by the pairs before it."""
+    return fp.with_vids(rounded(sim.similarity_join(prints(spark, d), 0.5)), ["sim", "vid_a", "vid_b"], 1, "rank")
 
 
 def pairs_incremental(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +154,8 @@ def nearest_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return sim.nearest(asked, fp.fingerprints(samples(spark, d), BYTES, "bytes")).withColumn("sim", F.round("sim", 6))
 
 
-def clustered(spark: SparkSession, d: str, t: float = 0.6) -> DataFrame:
-    own = prints(spark, d)
-    return cl.cluster(own.select("vid"), sim.similarity_join(own, 0.6), t)
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    return cl.similarity_clusters(prints(spark, d), 0.6)
 
 
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +167,9 @@ def size_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recluster_08(spark: SparkSession, d: str) -> DataFrame:
-    return clustered(spark, d, 0.8)
+    """Clusters of stored pairs at a higher threshold than they were found at."""
+    own = settled(prints(spark, d))
+    return cl.cluster(own.select("vid"), sim.similarity_join(own, 0.6), 0.8)
 
 
 def quality_precision_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +199,7 @@ def vdb_list(spark: SparkSession, d: str) -> DataFrame:
 def grid(spark: SparkSession, d: str) -> tuple[DataFrame, cc.State]:
     own = fp.fingerprints(samples(spark, d), MATRIX)
     vids = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("vid"))
-    return fp.postings(own).select("vid", "bit"), cc.initial(spark, vids, MATRIX.fp_bits, K, L, seed=None)
+    return settled(fp.postings(own).select("vid", "bit")), cc.initial(spark, vids, MATRIX.fp_bits, K, L, seed=None)
 
 
 def cc_init_g(spark: SparkSession, d: str) -> DataFrame:
@@ -231,10 +238,7 @@ def cc_permute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cc_merge(spark: SparkSession, d: str) -> DataFrame:
-    post, a = grid(spark, d)
-    cuts = cc.even_cuts(a.r.count(), 2)
-    b = cc.State(a.r.select("vid", cc.cut_label(F.col("vid"), cuts).alias("rg")), a.c.select("bit", (F.col("bit") % 3).alias("cg")), 2, 3)
-    return cc.merge(a, b, post, post)[1].r
+    return merged(spark, d)[1].r
 
 
 def cc_rowgroup_listing(spark: SparkSession, d: str) -> DataFrame:
@@ -263,6 +267,108 @@ def cc_refine(spark: SparkSession, d: str) -> DataFrame:
     return cc.refine(post, s)[0].r
 
 
+def multi_hash_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints that two hash functions set bits of."""
+    return fp.fingerprints(samples(spark, d), dataclasses.replace(TEXT, hashes=("djb2", "sdbm"))).select("vid", "nshred", "nhash", "nbits")
+
+
+def little(n: Column) -> Column:
+    """An integer column as four bytes, the lowest first."""
+    digits = F.lpad(F.hex(n), 8, "0")
+    return F.unhex(F.concat(*(F.substring(digits, i, 2) for i in (7, 5, 3, 1))))
+
+
+def executables(spark: SparkSession, d: str) -> DataFrame:
+    """An executable of three sections made from each document: data, code around the entry point (the text), and a section named as code
+    (the text with capital vowels). Documents without a text give none."""
+    head = b"MZ" + b"\0" * 58 + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HH", 0x14C, 3) + b"\0" * 12 + struct.pack("<HH", 32, 0) + (b"\0" * 16 + struct.pack("<I", 0x10000004)).ljust(32, b"\0")
+    text, capitals = F.encode("data", "utf-8"), F.encode(F.translate("data", "aeiou", "AEIOU"), "utf-8")
+    at, n, m = len(head) + 3 * 40, F.octet_length(text), F.octet_length(capitals)
+
+    def section(name: bytes, va: int, size: Column, where: Column, flags: int) -> Column:
+        return F.concat(F.lit(name.ljust(8, b"\0")), little(size), F.lit(struct.pack("<I", va)), little(size), little(where), F.lit(b"\0" * 12 + struct.pack("<I", flags)))
+
+    table = F.concat(section(b".data", 0x40000000, F.lit(16), F.lit(at), 0x40), section(b"own", 0x10000000, n, F.lit(at + 16), 0x20), section(b".text", 0x20000000, m, F.lit(at + 16) + n, 0x20))
+    return samples(spark, d).select("vid", F.concat(F.lit(head), table, F.lit(b"d" * 16), text, capitals).alias("data"))
+
+
+def pe_fingerprint_stats(spark: SparkSession, d: str) -> DataFrame:
+    """From executables to fingerprints of their entry sections."""
+    own = rd.executable_samples(executables(spark, d), "entry", id_col="vid", data_col="data")
+    return fp.fingerprints(own, BYTES, "bytes").select("vid", "nshred", "nhash", "nbits")
+
+
+def pe_both_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of all code sections; shreds never cross sections."""
+    own = rd.executable_samples(executables(spark, d), "entry_or_named", id_col="vid", data_col="data")
+    return fp.fingerprints(own, Params(), "bytes").select("vid", "nshred", "nhash", "nbits")
+
+
+def pe_pairs(spark: SparkSession, d: str) -> DataFrame:
+    own = rd.executable_samples(executables(spark, d), "named", id_col="vid", data_col="data")
+    return rounded(sim.similarity_join(fp.fingerprints(own, BYTES, "bytes"), BYTES.threshold))
+
+
+def point_read(spark: SparkSession, d: str) -> DataFrame:
+    """Two fingerprints of a stored table that is sorted by vid."""
+    path = f"{shared_dir(spark)}/simloom/{uuid.uuid4().hex}"
+    wr.write_fingerprints(prints(spark, d), path, sort=True)
+    return rd.read_fingerprints(spark, path, [7, 11]).select("vid", "nshred", "nbits", F.array_join("bits", ",").alias("bits"))
+
+
+def short_names(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", short_name(F.col("url")).alias("name"))
+
+
+def name_search(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("vid"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("vlabel"))
+    return cl.search(names, "c1")
+
+
+def cdb_style(style: str):
+    return lambda spark, d: wr.cluster_lines(clustered(spark, d), style)
+
+
+def jdb_style(style: str):
+    return lambda spark, d: wr.pair_lines(sim.similarity_join(prints(spark, d), 0.6), style)
+
+
+def cc_split_columns(spark: SparkSession, d: str) -> DataFrame:
+    post, s = grid(spark, d)
+    return cc.split(post, s, "col", 2).c
+
+
+def merged(spark: SparkSession, d: str) -> tuple[DataFrame, cc.State]:
+    post, a = grid(spark, d)
+    cuts = cc.even_cuts(a.r.count(), 2)
+    b = cc.State(a.r.select("vid", cc.cut_label(F.col("vid"), cuts).alias("rg")), a.c.select("bit", (F.col("bit") % 3).alias("cg")), 2, 3)
+    return cc.merge(a, b, post.where("bit < 200"), post.where("bit >= 100"))
+
+
+def cc_dump_r(spark: SparkSession, d: str) -> DataFrame:
+    return wr.label_line(grid(spark, d)[1].r, "vid", "rg")
+
+
+def cc_dump_c(spark: SparkSession, d: str) -> DataFrame:
+    return wr.label_line(grid(spark, d)[1].c, "bit", "cg")
+
+
+def cc_dump_g(spark: SparkSession, d: str) -> DataFrame:
+    post, s = grid(spark, d)
+    return wr.block_lines(cc.block_counts(post, s.r, s.c), s.k, s.l)
+
+
+def cc_search(spark: SparkSession, d: str) -> DataFrame:
+    """The outer search from samples on, over the benchmark's items."""
+    own = fp.fingerprints(samples(spark, d, "benchmark", "item_id"), dataclasses.replace(MATRIX, shred_size=4, fp_bits=64), "bytes")
+    return cc.cocluster(own, 64, 2, 2, seed=3)[0]
+
+
+def cc_grid(spark: SparkSession, d: str) -> DataFrame:
+    own = fp.fingerprints(samples(spark, d, "benchmark", "item_id"), dataclasses.replace(MATRIX, shred_size=4, fp_bits=32), "bytes")
+    return cc.cocluster(own, 32, 2, 2, seed=3, how="grid")[0]
+
+
 QUERIES = {
     "line_hash": line_hash, "line_shred_s3": line_shred_s3, "sdbm_hash": other_hash("sdbm"), "jenkins_hash": other_hash("jenkins"), "column_hash": column_hash, "byte_shred": byte_shred, "page_shred": page_shred,
     "winnow_select": winnow_select, "winnow_frame": winnow_frame, "fingerprint_stats": fingerprint_stats, "byte_fingerprint_stats": byte_fingerprint_stats, "density_filter": density_filter, "small_samples": small_samples,
@@ -271,7 +377,10 @@ QUERIES = {
     "pairs_incremental": pairs_incremental, "nearest_benchmark": nearest_benchmark, "clusters": clustered, "cluster_sizes": cluster_sizes, "size_histogram": size_histogram, "recluster_08": recluster_08,
     "quality_precision_recall": quality_precision_recall, "cdb_text": cdb_text, "jdb_text": jdb_text, "cluster_tree": cluster_tree, "vdb_list": vdb_list,
     "cc_init_g": cc_init_g, "cc_row_stats": cc_row_stats, "cc_row_step": cc_row_step, "cc_col_step": cc_col_step, "cc_cost": cc_cost, "cc_split_labels": cc_split_labels, "cc_permute": cc_permute, "cc_merge": cc_merge,
-    "cc_rowgroup_listing": cc_rowgroup_listing, "cc_coordinates": cc_coordinates, "cc_dominant": cc_dominant, "cc_features": cc_features, "cc_refine": cc_refine,
+    "cc_rowgroup_listing": cc_rowgroup_listing, "cc_coordinates": cc_coordinates, "cc_dominant": cc_dominant, "cc_features": cc_features, "cc_refine": cc_refine, "cc_search": cc_search, "cc_grid": cc_grid,
+    "multi_hash_stats": multi_hash_stats, "pe_fingerprint_stats": pe_fingerprint_stats, "pe_both_sections": pe_both_sections, "pe_pairs": pe_pairs, "point_read": point_read, "short_names": short_names, "name_search": name_search,
+    "cdb_single": cdb_style("single"), "cdb_openmp": cdb_style("openmp"), "jdb_steps": jdb_style("steps"), "jdb_hadoop": jdb_style("hadoop"),
+    "cc_split_columns": cc_split_columns, "cc_merge_columns": lambda spark, d: merged(spark, d)[1].c, "cc_merge_bits": lambda spark, d: merged(spark, d)[0], "cc_dump_r": cc_dump_r, "cc_dump_c": cc_dump_c, "cc_dump_g": cc_dump_g,
 }
 
 M = 4294967295
@@ -345,6 +454,13 @@ def ent(a: str, n: str) -> str:
     return f"CASE WHEN ({a}) > 0 AND ({n}) - ({a}) > 0 THEN ({a}) * log2(({n})::DOUBLE / ({a})) + (({n}) - ({a})) * log2(({n})::DOUBLE / (({n}) - ({a}))) ELSE 0 END"
 
 
+TURNS = f"{line_hashes().replace('doc_id AS vid', 'conv_id * 1000 + turn AS vid').replace('FROM documents', 'FROM conversations')}, {winnowed(3)}"
+
+
+def both_cases(size: int) -> str:
+    return byte_hashes(size, "(SELECT doc_id * 2 AS k, text FROM documents UNION ALL SELECT doc_id * 2 + 1, translate(text, 'aeiou', 'AEIOU') FROM documents)", "k")
+
+
 GRID = f"""{bit_rows(MATRIX)}, total AS (SELECT count(*) AS n FROM documents), r AS (SELECT doc_id AS vid, {cut_sql('doc_id', 'n', K)} AS rg FROM documents, total),
     c AS (SELECT i AS bit, {cut_sql('i', '256', L)} AS cg FROM range(0, 256) t(i)), rs AS (SELECT rg, count(*) AS m FROM r GROUP BY rg), cs AS (SELECT cg, count(*) AS m FROM c GROUP BY cg),
     ones AS (SELECT rg, cg, count(*) AS n1 FROM bits JOIN r USING (vid) JOIN c USING (bit) GROUP BY 1, 2),
@@ -396,7 +512,7 @@ ORACLE_SQL = {
     "nearest_benchmark": f"""WITH a AS (WITH {byte_hashes(16, 'benchmark', 'item_id')}, {winnowed(12)} SELECT DISTINCT vid, hash & {BYTES.fp_bits - 1} AS bit FROM chosen), b AS (WITH {BYTE_SOURCE} SELECT DISTINCT vid, hash & {BYTES.fp_bits - 1} AS bit FROM chosen),
         na AS (SELECT vid, count(*) AS n FROM a GROUP BY vid), nb AS (SELECT vid, count(*) AS n FROM b GROUP BY vid), s AS (SELECT a.vid AS q, b.vid, count(*) AS c FROM a JOIN b USING (bit) GROUP BY 1, 2),
         k AS (SELECT q, s.vid, c / (na.n + nb.n - c) AS sim, row_number() OVER (PARTITION BY q ORDER BY c / (na.n + nb.n - c) DESC, s.vid) AS r FROM s JOIN na ON na.vid = q JOIN nb ON nb.vid = s.vid)
-        SELECT na.vid AS query, coalesce(k.vid, 0) AS vid, round(coalesce(sim, 0), 6) AS sim FROM na LEFT JOIN k ON k.q = na.vid AND r = 1""",
+        SELECT na.vid AS query, coalesce(k.vid, -1) AS vid, round(coalesce(sim, 0), 6) AS sim FROM na LEFT JOIN k ON k.q = na.vid AND r = 1""",
     "clusters": f"WITH RECURSIVE {cluster_rows()} SELECT cid, vid FROM clusters",
     "recluster_08": f"WITH RECURSIVE {cluster_rows(0.8)} SELECT cid, vid FROM clusters",
     "cluster_sizes": f"WITH RECURSIVE {cluster_rows()} SELECT cid, count(*) AS n, min(vid) AS first_vid FROM clusters GROUP BY cid",
@@ -418,4 +534,28 @@ ORACLE_SQL = {
         SELECT vid, bit, x, n + {K} - 2 - y AS y FROM bits JOIN y USING (vid) JOIN x USING (bit), total""",
     "cc_dominant": f"WITH {GRID} SELECT vid, CASE WHEN rg = 0 THEN s.n ELSE 0 END AS first_bits, CASE WHEN rg = 0 THEN 0 ELSE s.n END AS other_bits FROM sizes s JOIN r USING (vid)",
     "cc_features": f"WITH {GRID} SELECT cg, pos AS address, lower(hex(hash)) AS shred, bit FROM (SELECT *, hash & 255 AS bit FROM shreds WHERE vid = 7) JOIN c USING (bit)",
+    "small_samples": f"""WITH {TURNS}, stat AS ({STATS.format(mask=Params().fp_bits - 1, rows="chosen")})
+        SELECT vid, nshred, nhash, nbits, CASE WHEN nbits IS NULL THEN 'too_small' ELSE 'accepted' END AS status FROM (SELECT conv_id * 1000 + turn AS vid FROM conversations) LEFT JOIN stat USING (vid)""",
+    "multi_hash_stats": f"""WITH hashed AS (SELECT * FROM (WITH {line_hashes()} SELECT vid, hash FROM shreds) UNION ALL SELECT * FROM (WITH {line_hashes('sdbm')} SELECT vid, hash FROM shreds))
+        SELECT vid, count(*) // 2 AS nshred, count(*) // 2 AS nhash, count(DISTINCT hash & {TEXT.fp_bits - 1}) AS nbits FROM hashed GROUP BY vid""",
+    "pe_fingerprint_stats": f"WITH {BYTE_SOURCE} " + STATS.format(mask=BYTES.fp_bits - 1, rows="chosen"),
+    "pe_both_sections": f"WITH {both_cases(4)} SELECT vid // 2 AS vid, count(*) AS nshred, count(*) AS nhash, count(DISTINCT hash & {Params().fp_bits - 1}) AS nbits FROM shreds GROUP BY vid // 2",
+    "pe_pairs": f"WITH {pair_rows(0.7, bits=bit_rows(BYTES, byte_hashes(16, "(SELECT doc_id, translate(text, 'aeiou', 'AEIOU') AS text FROM documents)") + ', ' + winnowed(12)))} {PAIRS}",
+    "point_read": f"WITH {bit_rows()} SELECT vid, any_value(nshred) AS nshred, count(*) AS nbits, string_agg(bit::VARCHAR, ',' ORDER BY bit) AS bits FROM bits JOIN (SELECT vid, count(*) AS nshred FROM shreds GROUP BY vid) USING (vid) WHERE vid IN (7, 11) GROUP BY vid",
+    "short_names": "SELECT page_id, string_split(url, '/')[-1][1:32] AS name FROM pages",
+    "name_search": "SELECT doc_id AS vid, 'doc' || doc_id AS name, source AS vlabel FROM documents WHERE 'doc' || doc_id LIKE '%c1%' OR source LIKE '%c1%'",
+    "cdb_single": f"WITH RECURSIVE {cluster_rows()} SELECT cid, 'C' || cid || ': ' || string_agg(vid::VARCHAR, ' ' ORDER BY vid) AS value FROM clusters GROUP BY cid",
+    "cdb_openmp": f"WITH RECURSIVE {cluster_rows()} SELECT cid, cid || ':' || string_agg(vid::VARCHAR, ' ' ORDER BY vid) || ' :' || count(*) || ':' AS value FROM clusters GROUP BY cid",
+    "jdb_steps": f"WITH {pair_rows(0.6)} SELECT vid_a, vid_b, vid_a || ':' || vid_b || ':' || printf('%.6f', sim) || ':' AS value FROM pairs",
+    "jdb_hadoop": f"WITH {pair_rows(0.6)} SELECT vid_a, vid_b, rtrim(rtrim(printf('%.6f', sim), '0'), '.') || chr(9) || ':' || vid_a || ':' || vid_b || ':' AS value FROM pairs",
+    "cc_permute": f"""WITH {GRID}, dens AS (SELECT rg, cg, rm * cm AS area, n1::FLOAT / (rm * cm)::FLOAT AS dn FROM g), top AS (SELECT rg FROM dens GROUP BY rg ORDER BY sum(CASE WHEN dn > 0.95::FLOAT THEN area ELSE 0 END) DESC, rg LIMIT 1),
+        cols AS (SELECT cg, any_value(dn) FILTER (rg = (SELECT rg FROM top)) AS f, sum(dn) AS total FROM dens GROUP BY cg), ranked AS (SELECT cg, (row_number() OVER (ORDER BY (f = 0), CASE WHEN f > 0 THEN f ELSE total END DESC, cg) - 1)::INT AS new FROM cols)
+        SELECT bit::INT AS bit, new AS cg FROM c JOIN ranked USING (cg)""",
+    "cc_split_columns": f"""WITH {GRID}, top AS (SELECT cg, row_number() OVER (ORDER BY sum({ent('n1', 'rm * cm')}) DESC, cg) - 1 AS i FROM g GROUP BY cg), placed AS (SELECT bit, c.cg, m, row_number() OVER (PARTITION BY c.cg ORDER BY bit) AS k FROM c JOIN cs USING (cg))
+        SELECT bit::INT AS bit, (CASE WHEN i < 2 AND k <= m // 2 THEN {L} + i ELSE cg END)::INT AS cg FROM placed JOIN top USING (cg)""",
+    "cc_merge_columns": f"WITH {GRID} SELECT bit::INT AS bit, (dense_rank() OVER (ORDER BY cg, bit % 3) - 1)::INT AS cg FROM c",
+    "cc_merge_bits": f"WITH {GRID} SELECT vid, bit::INT AS bit FROM bits",
+    "cc_dump_r": f"WITH {GRID} SELECT string_agg(rg::VARCHAR, ',' ORDER BY vid) AS value FROM r",
+    "cc_dump_c": f"WITH {GRID} SELECT string_agg(cg::VARCHAR, ',' ORDER BY bit) AS value FROM c",
+    "cc_dump_g": f"WITH {GRID} SELECT rg::INT AS rg, string_agg(n1::VARCHAR, ',' ORDER BY cg) AS value FROM g GROUP BY rg",
 }

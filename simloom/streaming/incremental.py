@@ -11,14 +11,18 @@ from simloom.params import Params
 
 
 def batch_writer(store: str, pairs: str, params: Params, mode: str = "text", id_col: str = "vid", data_col: str = "data"):
-    """A function for foreachBatch. Ids must grow from batch to batch. A repeated batch replaces its own folders, so results stay whole."""
+    """A function for foreachBatch. Ids must grow from batch to batch, or the batch fails. A repeated batch replaces its own folders, so results stay whole."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = accepted(fingerprints(batch, params, mode, id_col, data_col), params)
         own.write.mode("overwrite").parquet(f"{store}/batch_id={number}")
-        stored = spark.read.parquet(store).where(F.col("batch_id") <= number).drop("batch_id")
-        before = spark.read.parquet(store).where(F.col("batch_id") < number).agg(F.coalesce(F.max(id_col), F.lit(-1))).first()[0]
+        stored = spark.read.parquet(store).where(F.col("batch_id") <= number)
+        before = stored.where(F.col("batch_id") < number).agg(F.coalesce(F.max(id_col), F.lit(-1))).first()[0]
+        least = stored.where(F.col("batch_id") == number).agg(F.min(id_col)).first()[0]
+        if least is not None and least <= before:
+            raise ValueError(f"batch {number} has the id {least}, not over {before} of the batches before")
+        stored = stored.drop("batch_id")
         incremental_join(stored, before, params.threshold, id_col=id_col).write.mode("overwrite").parquet(f"{pairs}/batch_id={number}")
 
     return write

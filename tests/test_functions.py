@@ -11,7 +11,7 @@ from simloom.functions.scalar import entropy_bits, log_star, threshold_name
 from simloom.operators import fingerprint as fp
 from simloom.operators.cocluster import best_groups, code_lengths, description_cost, permutation
 from simloom.params import Params
-from simloom.sources.readers import code_sections, pe_sections
+from simloom.sources.readers import code_sections, file_offset, pe_sections, robust_sections
 
 
 def test_hash_vectors():
@@ -32,10 +32,11 @@ def test_winnow_is_rightmost_minimum(values, w):
 
 
 def test_lines():
-    assert fp.text_pieces(b"a\nb") == [b"a\n", b"b"] and fp.text_pieces(b"a\n") == [b"a\n"] and fp.text_pieces(b"") == []
-    assert [len(x) for x in fp.text_pieces(b"x" * 20000)] == [8190, 8190, 3620]
-    assert fp.text_pieces(b"ab\0cd\n") == [b"ab"]
-    assert len(fp.text_shreds(b"a\nb\n", 3)) == 0
+    pieces = lambda x: [x[a:z] for a, z in zip(*fp.text_spans(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[:2])]
+    assert pieces(b"a\nb") == [b"a\n", b"b"] and pieces(b"a\n") == [b"a\n"] and pieces(b"") == []
+    assert [len(x) for x in pieces(b"x" * 20000)] == [8190, 8190, 3620]
+    assert pieces(b"ab\0cd\n") == [b"ab"]
+    assert [len(x) for x in fp.text_shreds([b"a\nb\n", b"", b"a\nb\nc"], 3)] == [0, 0, 1]
 
 
 def test_params_and_scalars():
@@ -75,3 +76,34 @@ def test_block_decisions():
     assert code_lengths(g, np.outer(own, other)).sum() == 0
     assert description_cost(g, own, other) > 0
     assert permutation(g, own, other)[0] == [0, 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab\n\0é"), max_size=30), max_size=4), st.integers(1, 3), st.sampled_from(["djb2", "sdbm", "jenkins"]))
+def test_text_shreds_equal_plain_loops(texts, size, kind):
+    want = []
+    for t in texts:
+        lines = [x for x in t.encode().split(b"\n")]
+        lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+        pieces = [x.split(b"\0", 1)[0] for x in lines]
+        want.append([h.ONE[kind](b"".join(pieces[i : i + size])) for i in range(len(pieces) - size + 1)])
+    assert [x.tolist() for x in fp.text_shreds([t.encode() for t in texts], size, kind)] == want
+
+
+def wide_image(wide: bool) -> bytes:
+    optional = 240 if wide else 224
+    head = b"MZ" + b"\0" * 58 + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HH", 0x14C, 2) + b"\0" * 12 + struct.pack("<HH", optional, 0)
+    body = struct.pack("<H", 0x20B if wide else 0x10B).ljust(16, b"\0") + struct.pack("<I", 0x1010)
+    body = body.ljust(32, b"\0") + struct.pack("<II", 0x1000, 0x200) + b"\0" * 20 + struct.pack("<I", 0x300)
+    table = b"".join(struct.pack("<8sIIII", name, vsize, va, raw, where) + b"\0" * 12 + struct.pack("<I", 0x20) for name, vsize, va, raw, where in ((b".text", 0, 0x1004, 0x150, 0x400), (b".more", 0x10, 0x2000, 0x900, 0x600)))
+    return (head + body.ljust(optional, b"\0") + table).ljust(0x400, b"\0") + b"t" * 0x200 + b"m" * 0x100
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_robust_headers(wide):
+    data = wide_image(wide)
+    entry, headers, sections = robust_sections(data)
+    assert entry == 0x1010 and headers == 0x1000
+    assert [(s["va"], s["vsize"], s["where"], s["raw"]) for s in sections] == [(0x1000, 0x1000, 0x400, 0x200), (0x2000, 0x1000, 0x600, 0x100)]
+    assert file_offset(data, 0x20) == 0x20 and file_offset(data, 0x1010) == 0x410 and file_offset(data, 0x2100) is None and file_offset(data, 0x2010) == 0x610
+    assert robust_sections(data[:200])[2] == robust_sections(b"")[2] == []

@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 
 from simloom.operators import clustering as cl
@@ -44,7 +46,7 @@ def test_float_edges(spark):
 def test_nearest_keeps_misses_and_lowest(spark):
     db = prints(spark, [{1, 2}, {1, 2}, {9}])
     got = {r["query"]: (r.vid, r.sim) for r in sim.nearest(prints(spark, [{1, 2}, {50}]), db).collect()}
-    assert got == {0: (0, 1.0), 1: (0, 0.0)}
+    assert got == {0: (0, 1.0), 1: (-1, 0.0)}
 
 
 def test_clusters_and_quality(spark):
@@ -113,3 +115,165 @@ def test_stream_equals_batch(spark, tmp_path):
     start(stream, str(tmp_path / "store"), str(tmp_path / "pairs"), str(tmp_path / "check"), params).awaitTermination()
     got = {(r.vid_a, r.vid_b) for r in spark.read.parquet(str(tmp_path / "pairs")).collect()}
     assert got == {(r.vid_a, r.vid_b) for r in whole.collect()} and len(got) == 4
+
+
+def test_copies_and_shared_bits(spark):
+    """Many copies, and a bit that all share: links and clusters need no row for each pair."""
+    rng = random.Random(2)
+    base = sorted({0, *rng.sample(range(1, 5000), 30)})
+    sets = [base] * 10_000 + [sorted({0, *rng.sample(range(1, 5000), 30)}) for _ in range(2000)] + [base[:-1]]
+    fps = prints(spark, sets)
+    links = sim.similarity_links(fps, 0.8)
+    assert links.count() == 10_000
+    got = {r.vid: r.cid for r in cl.similarity_clusters(fps, 0.8).collect()}
+    assert all(got[i] == 0 for i in [*range(10_000), 12_000]) and len(set(got.values())) == 2001
+    assert sim.incremental_join(fps, 11_999, 0.8).count() == 10_000
+    near = sim.nearest(prints(spark, [base[:-1], [0]]), fps).collect()
+    assert {(r["query"], r.vid, round(r.sim, 6)) for r in near} == {(0, 12_000, 1.0), (1, 12_000, round(1 / 30, 6))}
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "containment", "harmony"])
+def test_incremental_and_nearest_equal_brute_force(spark, measure):
+    rng = random.Random(6)
+    base = [set(rng.sample(range(50), rng.randint(1, 15))) for _ in range(20)]
+    sets = base + base[:6] + [set(rng.sample(sorted(b), max(1, len(b) - 1))) for b in base] + [set()]
+    fps = prints(spark, sets)
+    for through in (-1, 10, 22, 100):
+        got = {(r.vid_a, r.vid_b) for r in sim.incremental_join(fps, through, 0.6, measure).collect()}
+        assert got == {(r.vid_a, r.vid_b) for r in sim.similarity_join(fps, 0.6, measure).collect() if r.vid_b > through}
+    if measure == "jaccard":
+        asked = [set(rng.sample(range(60), rng.randint(0, 12))) for _ in range(15)] + base[:2] + [{900}]
+        got = {r["query"]: (r.vid, round(r.sim, 9)) for r in sim.nearest(prints(spark, asked), fps).collect()}
+        for q, a in enumerate(asked):
+            sims = [len(a & b) / len(a | b) if a | b else 0 for b in sets]
+            best = max(sims)
+            assert got[q] == ((sims.index(best), round(best, 9)) if best else (-1, 0.0))
+
+
+def test_long_chains_are_one_component(spark):
+    n = 600
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    pairs = spark.createDataFrame([(min(a, b), max(a, b), 1.0) for a, b in itertools.pairwise(order)], "vid_a long, vid_b long, sim double")
+    got = cl.connected(spark.range(n + 2).withColumnRenamed("id", "vid"), pairs).collect()
+    assert {r.vid: r.root for r in got} == {i: 0 for i in range(n)} | {n: n, n + 1: n + 1}
+
+
+def plain_change(m, r, c, k, l, axis):
+    """Labels after a pass against frozen blocks, cell by cell: lowest tie and the tie that stays."""
+    x, own, other, a, b = (m, r, c, k, l) if axis == 0 else (m.T, c, r, l, k)
+    g = np.array([[x[np.ix_(own == i, other == j)].sum() for j in range(b)] for i in range(a)], float)
+    rows, cols = np.array([(own == i).sum() for i in range(a)]), np.array([(other == j).sum() for j in range(b)])
+
+    def bits(ones, area):
+        return ones * math.log2(area / ones) + (area - ones) * math.log2(area / (area - ones)) if 0 < ones < area else 0.0
+
+    def line(i, extra, size):
+        return sum(bits(g[i, j] + extra[j], size * cols[j]) for j in range(b))
+
+    out = []
+    for item, mine in enumerate(own):
+        stat = np.array([x[item, other == j].sum() for j in range(b)])
+        left = line(mine, -stat, rows[mine] - 1) - line(mine, 0 * stat, rows[mine])
+        cost = [0.0 if i == mine else round(left + line(i, stat, rows[i] + 1) - line(i, 0 * stat, rows[i]), 6) for i in range(a)]
+        out.append((cost.index(min(cost)), cost.index(min(cost)) if min(cost) < 0 else mine))
+    return out
+
+
+def plain_refine(m, r, c, ties, factor, kind):
+    def dense(labels):
+        used = sorted(set(labels.tolist()))
+        return np.array([used.index(x) for x in labels]), len(used)
+
+    before, k, l = math.inf, r.max() + 1, c.max() + 1  # noqa: E741
+    while True:
+        r, k = dense(np.array([x[ties == "current"] for x in plain_change(m, r, c, k, l, 0)]))
+        c, l = dense(np.array([x[ties == "current"] for x in plain_change(m, r, c, k, l, 1)]))  # noqa: E741
+        g = np.array([[m[np.ix_(r == i, c == j)].sum() for j in range(l)] for i in range(k)])
+        sizes = [np.bincount(x) for x in (r, c)]
+        cost = cc.description_cost(g, *sizes) if kind == "description" else cc.content_cost(g, *sizes, math.e)
+        if cost >= before * factor:
+            return r, c, cost, min(before, cost)
+        before = cost
+
+
+@pytest.mark.parametrize("ties, factor, kind", [("lowest", 1.0, "description"), ("current", 0.999, "content")])
+def test_refine_equals_plain_loops(spark, ties, factor, kind):
+    rng = np.random.default_rng(4)
+    m = (rng.random((12, 16)) < np.kron(rng.random((3, 4)), np.ones((4, 4)))).astype(int)
+    m[:, 5] = m[:, 11] = 0
+    post = spark.createDataFrame([(int(v), int(b)) for v, b in zip(*np.nonzero(m))], "vid long, bit int")
+    start = cc.initial(spark, spark.range(12).withColumnRenamed("id", "vid"), 16, 3, 4, None)
+    got, low = cc.refine(post, start, factor, ties, kind)
+    r, c, cost, least = plain_refine(m, np.arange(12) // 4, np.arange(16) // 4, ties, factor, kind)
+    assert [x.rg for x in got.r.orderBy("vid").collect()] == r.tolist()
+    assert [x.cg for x in got.c.orderBy("bit").collect()] == c.tolist()
+    assert abs(got.cost - cost) < 1e-6 and abs(low - least) < 1e-6
+
+
+def test_searches(spark):
+    m = np.kron(np.array([[1, 0, 1], [0, 1, 1], [1, 1, 0]]), np.ones((4, 6), int))
+    fps = spark.createDataFrame([(10 + i, np.flatnonzero(row).tolist()) for i, row in enumerate(m)], "vid long, bits array<int>")
+    for how in ("split", "grid"):
+        ids, post, s = cc.cocluster(fps, 18, 1, 1, seed=5, how=how)
+        assert sorted(r.vid for r in ids.collect()) == list(range(12)) and post.count() == m.sum()
+        r, c = (np.array([x[1] for x in f.orderBy(f.columns[0]).collect()]) for f in (s.r, s.c))
+        g = np.array([[m[np.ix_(r == i, c == j)].sum() for j in range(s.l)] for i in range(s.k)])
+        want = cc.description_cost(g, np.bincount(r), np.bincount(c)) if how == "split" else cc.content_cost(g, np.bincount(r), np.bincount(c), math.e)
+        assert how == "grid" or abs(s.cost - want) < 1e-6
+        if how == "split":  # no worse than it began
+            assert s.cost <= cc.description_cost(np.array([[m.sum()]]), np.array([12]), np.array([18]))
+    with pytest.raises(ValueError):
+        cc.initial(spark, spark.range(3).withColumnRenamed("id", "vid"), 16, 0, 2)
+
+
+def test_random_cuts():
+    for n, groups in ((100, 4), (7, 3), (64, 64)):
+        seen = [cc.random_cuts(n, groups, seed) for seed in range(80)]
+        stripe = n // groups
+        assert all(len(x) == groups - 1 and all(i * stripe <= c < (i + 1) * stripe for i, c in enumerate(x)) for x in seen)
+        if stripe > 1:
+            assert {2 * (c - i * stripe) < stripe for x in seen for i, c in enumerate(x)} == {True, False}
+    assert cc.random_cuts(100, 4, 7) == cc.random_cuts(100, 4, 7)
+
+
+def test_dumps_and_merge(spark):
+    r = spark.createDataFrame([(2, 1), (0, 0), (1, 1)], "vid long, rg int")
+    assert writers.label_line(r, "vid", "rg").first()[0] == "0,1,1"
+    blocks = spark.createDataFrame([(0, 1, 5), (2, 0, 7)], "rg int, cg int, n1 long")
+    assert [x.value for x in writers.block_lines(blocks, 3, 2).orderBy("rg").collect()] == ["0,5", "0,0", "7,0"]
+
+
+def test_numbered_files_and_matrix_folders(spark, tmp_path):
+    params = Params(fp_bits=16, max_set_ratio=None)
+    for name, rows in (("b", [[1, 9]]), ("a", [[0], [], [15, 3]])):
+        (tmp_path / name).write_bytes(b"".join(sum(1 << x for x in row).to_bytes(2, "little") for row in rows))
+    got = readers.matrix_folder(spark, str(tmp_path), params).orderBy("vid").collect()
+    assert [(r.vid, r.nbits, r.bits) for r in got] == [(0, 1, [0]), (1, 0, []), (2, 2, [3, 15]), (3, 2, [1, 9])]
+    assert sorted(r.vid for r in readers.matrix_folder(spark, str(tmp_path), params, 2).collect()) == [0, 1]
+    files = readers.sample_files(spark, str(tmp_path), numbered=True).orderBy("vid").collect()
+    assert [r.path[-1] for r in files] == ["a", "b"] and [r.path[-1] for r in readers.sample_files(spark, str(tmp_path), 1).collect()] == ["a"]
+
+
+def test_stream_refuses_ids_that_do_not_grow(spark, tmp_path):
+    from simloom.streaming.incremental import batch_writer
+
+    write = batch_writer(str(tmp_path / "store"), str(tmp_path / "pairs"), Params(shred_size=1))
+    rows = lambda *ids: spark.createDataFrame([(i, f"a\n{i}\n") for i in ids], "vid long, data string")
+    write(rows(5, 6), 0)
+    write(rows(7), 1)
+    write(rows(7), 1)
+    with pytest.raises(ValueError):
+        write(rows(6, 9), 2)
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from simloom.common import scratch, settled
+
+    with scratch(spark):
+        kept = settled(spark.range(3))
+        path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+        import os
+
+        assert kept.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
