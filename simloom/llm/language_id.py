@@ -26,6 +26,8 @@ from simloom.llm.common import fold, in_arrow, read_table
 
 SPAN, CONTEXT = 64, 32
 HIDDEN = 16
+#: Bytes, with padding, that go through the network at once.
+CELLS = 1 << 16
 
 
 def word_table() -> bytes:
@@ -149,8 +151,11 @@ class BiGru:
             return out
         parts = [(i, *window) for i, w in enumerate(words) for window in word_windows(w)]
         parts.sort(key=lambda q: len(q[1]))
-        for a in range(0, len(parts), 4096):
-            rows, texts, first, end = zip(*parts[a : a + 4096])
+        a = 0
+        while a < len(parts):
+            z = min(len(parts), a + CELLS // len(parts[min(len(parts), a + 4096) - 1][1]))  # by length: the last of them is the longest
+            rows, texts, first, end = zip(*parts[a:z])
+            a = z
             x, lengths = padded(list(texts))
             at, first, end = np.arange(x.shape[1])[:, None], np.array(first), np.array(end)
             labelled = (at >= first) & (at < end)
@@ -250,8 +255,8 @@ def predict_language(docs: DataFrame, model: tuple[BiGru | None, list[str]], id_
     def run(batches):
         tool = DocumentLabeller(net, langs)
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
                 names, scores = tool.label(part.column(1).to_pylist())
                 ids = part.column(0)
                 yield pa.RecordBatch.from_arrays([ids if id_type is None else ids.cast(id_type), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
@@ -267,8 +272,8 @@ def keep_identified(docs: DataFrame, model: tuple[BiGru | None, list[str]], leas
     def run(batches):
         tool = DocumentLabeller(net, langs)
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
                 names, scores = tool.label(part.column(at).to_pylist())
                 yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)]))
 
