@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +32,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s)")
+#: A run of marks between a letter (of ASCII or Latin-1) and white space: the tokenizer keeps such runs together and apart from the letter.
+STOP = re.compile(rb"([.,!?;:#$%&*](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:#$%&*]*)(?=\s)", re.S)
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. Only for tokenizers that lower-case and drop ASCII white space.
 
-    ASCII capitals are lower-cased, and a stop or comma between a letter and white space is set apart, before chunks are
+    ASCII capitals are lower-cased, and marks between a letter and white space are set apart, before chunks are
     looked up: the tokenizer does both too, and there are fewer distinct chunks. Texts with ``<|`` are left as they are,
-    for a special token is recognised before. New chunks that are one lower-case Latin word go to the tokenizer's merges at once,
-    many words in a call (each word's last token bears the word-end suffix); all others go through the whole tokenizer.
+    for a special token is recognised before. New chunks that are one Latin word go to the tokenizer's merges at once, in lower case and
+    many words in a call (each word's last token bears the word-end suffix); all others go through the whole tokenizer. Of ``room`` chunks
+    that are kept, those that came again stay when it is full.
     """
 
     def __init__(self, path: str, room: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tool, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.tool, self.room, self.known, self.again = Tokenizer.from_file(path), room, {}, set()
         self.words = None
         suffix = getattr(self.tool.model, "end_of_word_suffix", None)
         if suffix:
@@ -60,13 +63,17 @@ class ChunkEncoder:
             self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
     def _learn(self, chunks: list[bytes]) -> None:
-        words, rest = [], []
+        words, rest, shown = [], [], []
         for c in chunks:
-            if self.words is not None and (c.isalpha() and c.islower() or not c.isascii() and (t := c.decode()).isalpha() and t.lower() == t and max(t) < "\u02b0"):
+            if self.words is not None and c.isascii() and c.isalpha() and c.islower():
                 words.append(c)
+                shown.append(c)
+            elif self.words is not None and not c.isascii() and (t := c.decode()).isalpha() and (t := t.lower()).isalpha() and max(t) < "\u02b0":
+                words.append(c)
+                shown.append(t.encode())
             else:
                 rest.append(c)
-        joined = [b" ".join(words[a : a + 512]).decode("latin-1").split(" ") for a in range(0, len(words), 512)]
+        joined = [b" ".join(shown[a : a + 512]).decode("latin-1").split(" ") for a in range(0, len(shown), 512)]
         joined = [" ".join(w.translate(self.alphabet) if not w.isascii() else w for w in part) for part in joined]
         ids = np.array([i for e in self.words.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4") if words else np.zeros(0, "<u4")
         raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist() if words else []
@@ -80,12 +87,16 @@ class ChunkEncoder:
         raw = [(t or "").encode() for t in texts]
         chunks = [t.split() if b"<|" in t else STOP.sub(rb" \1", t.lower()).split() for t in raw]
         seen = set().union(*chunks)
-        new = [c for c in seen if c not in self.known]
+        new = seen - self.known.keys()
+        self.again |= seen - new
         if len(self.known) + len(new) > self.room:
-            self.known, new = {}, list(seen)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+            self.known = {c: self.known[c] for c in self.again}
+            if len(self.known) + len(new) > self.room:
+                self.known = {c: self.known[c] for c in seen - new}
+            self.again = set()
+        self._learn(list(new))
+        known = self.known
+        return [b"".join(itemgetter(*c)(known)) if len(c) > 1 else b"".join(known[x] for x in c) for c in chunks]
 
 
 def token_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
