@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -38,22 +39,22 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, keep: bool = False, compression: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage is cut, and no executor's loss undoes it. The table goes when the
-    driver ends, or with the ``scratch`` it was made in."""
+    driver ends, or with the ``scratch`` it was made in unless ``keep``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/simloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     system, where = _file_system(spark, path)
     system.deleteOnExit(where)
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``settled`` writes within go at the end. What is to be kept must be written before, by other means."""
+    """Tables that ``settled`` writes within go at the end; what is to stay is written within with ``keep``."""
     _scopes.append([])
     try:
         yield
@@ -86,7 +87,5 @@ def in_parts(rows: list, row_bytes: int) -> Iterator[list]:
 
 def integer_lists(arrays: list) -> pa.ListArray:
     """numpy integer arrays of one type as a column of lists."""
-    import numpy as np
-
     ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
