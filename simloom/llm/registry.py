@@ -19,8 +19,8 @@ ORACLE_SQL = {
     "op2_decontamination": r"""
         WITH texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
         words AS (SELECT kind, id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM texts),
-        grams AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
-            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+        lens AS (SELECT DISTINCT len(w) AS l FROM words WHERE kind = 1 AND len(w) BETWEEN 1 AND 4 UNION SELECT 5),
+        grams AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i : i + l - 1], ' '))) AS g FROM words, lens WHERE CASE WHEN kind = 1 THEN l = least(len(w), 5) ELSE len(w) >= l END),
         items AS (SELECT id, g, count(*) OVER (PARTITION BY id) AS n_item FROM grams WHERE kind = 1)
         SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item) AS n_item, count(*) AS n_shared, count(*) / any_value(n_item) AS containment
         FROM grams d JOIN items i USING (g) WHERE d.kind = 0 GROUP BY d.id, i.id HAVING count(*) * 100 >= any_value(n_item) * 80""",
