@@ -419,16 +419,15 @@ def shard_texts(cells: list[bytes | None], common: dict[str, int], pages: int) -
 
 
 def packed(page: list[tuple[bool, str]]) -> bytes:
-    return zlib.compress("\x1e".join(f"{int(i)}{t}" for i, t in ((i, t.replace("\x1e", " ")) for i, t in page)).encode("utf-8", "surrogatepass"), 1)
+    return "\x1e".join(f"{int(i)}{t}" for i, t in ((i, t.replace("\x1e", " ")) for i, t in page)).encode("utf-8", "surrogatepass")
 
 
 def unpacked(cell: bytes | None) -> list[tuple[bool, str]]:
-    whole = zlib.decompress(cell).decode("utf-8", "surrogatepass") if cell else ""
-    return [(x[0] == "1", x[1:]) for x in whole.split("\x1e")] if whole else []
+    return [(x[0] == "1", x[1:]) for x in cell.decode("utf-8", "surrogatepass").split("\x1e")] if cell else []
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``blocks`` for html."""
+    """``rows`` with ``blocks`` for html: packed and compressed, for they are shuffled next."""
     columns = rows.columns
     names, at = [c for c in columns if c != "html"], columns.index("html")
 
@@ -436,7 +435,7 @@ def parsed(rows: DataFrame) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                cells = pa.array([packed(blocks(h)) for h in part.column(at).to_pylist()], pa.binary())
+                cells = pa.array([zlib.compress(packed(blocks(h)), 1) for h in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in names), cells], [*names, "blocks"])
 
     return in_arrow(rows, parse, rows.select(*names).schema.add("blocks", "binary"))
@@ -445,15 +444,14 @@ def parsed(rows: DataFrame) -> DataFrame:
 def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> DataFrame:
     """Texts of the pages of large hosts. large: host and shards. A shard is a row from its first pass on, so its pages move once."""
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "shards")).select("page_id", "url", "html", "host", "shard")
-    ids, one = schema["page_id"].dataType, T.StructType().add("host", "string").add("shard", "long")
-    kept = T.StructType([*one]).add("page_id", T.ArrayType(ids)).add("url", T.ArrayType(T.StringType())).add("blocks", T.ArrayType(T.BinaryType())).add("named", T.ArrayType(T.StringType()))
+    kept = T.StructType().add("host", "string").add("shard", "long").add("page_id", T.ArrayType(T.StringType())).add("url", T.ArrayType(T.StringType())).add("blocks", T.ArrayType(T.BinaryType())).add("named", T.ArrayType(T.StringType()))
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = list(pdf["blocks"])
-        row = {"host": pdf["host"].iloc[0], "shard": pdf["shard"].iloc[0], "page_id": [None if pd.isna(x) else x for x in pdf["page_id"]], "url": [None if pd.isna(x) else x for x in pdf["url"]], "blocks": cells, "named": named_pieces(cells)}
+        cells = [zlib.decompress(x) for x in pdf["blocks"]]
+        row = {"host": pdf["host"].iloc[0], "shard": pdf["shard"].iloc[0], "page_id": [x if isinstance(x, str) else None for x in pdf["page_id"]], "url": [x if isinstance(x, str) else None for x in pdf["url"]], "blocks": cells, "named": named_pieces(cells)}
         return pd.DataFrame({k: pd.Series([v], dtype=object if isinstance(v, (list, str)) else None) for k, v in row.items()})
 
-    shards = durable(parsed(dealt).groupBy("host", "shard").applyInPandas(gathered, kept))
+    shards = durable(parsed(dealt).groupBy("host", "shard").applyInPandas(gathered, kept), compression="zstd")
     sizes = shards.groupBy("host").agg(F.sum(F.size("page_id")).alias("pages"))
     named = durable(shards.select("host", F.explode("named").alias("piece")).distinct())
     every = large.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
@@ -480,7 +478,7 @@ def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> Data
                 made = shard_texts(cells, {p["piece"]: p["n"] for p in pieces or []}, pages)
                 for a in range(0, len(made), 256):
                     part = made[a : a + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array(page_ids[a : a + 256], b.schema.field(0).type.value_type), pa.array(urls[a : a + 256], pa.string()), pa.array(part, pa.string()), pa.array([len(t) for t in part], pa.int64())], [f.name for f in schema])
+                    yield pa.RecordBatch.from_arrays([pa.array(page_ids[a : a + 256], pa.string()), pa.array(urls[a : a + 256], pa.string()), pa.array(part, pa.string()), pa.array([len(t) for t in part], pa.int64())], [f.name for f in schema])
 
     known = shards.select("host", "shard", "page_id", "url", "blocks").join(to_shards(common, ["piece", "n"]), ["host", "shard"], "left").join(broadcast_if(sizes, large.count(), 100_000), "host")
     return in_arrow(known.select("page_id", "url", "blocks", "pieces", "pages"), texts, schema)
@@ -488,21 +486,24 @@ def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> Data
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    rows = pages.select("page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
+    key = pages.schema["page_id"].dataType
+    # Ids travel as text, for pandas would turn integers beside nulls into floats.
+    rows = pages.select(F.col("page_id").cast("string"), "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
     large = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > SHARD_BYTES)
     large = durable(large.select("host", F.ceil(F.col("bytes") / SHARD_BYTES).cast("long").alias("shards")))
     n_large = large.count()
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def by_host(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = host_texts(list(pdf["blocks"]))
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"].astype(object), "text": np.array(texts, dtype=object), "n_chars": [len(t) for t in texts]})
+        texts = host_texts([zlib.decompress(x) for x in pdf["blocks"]])
+        return pd.DataFrame({"page_id": pdf["page_id"].astype(object), "url": pdf["url"].astype(object), "text": np.array(texts, dtype=object), "n_chars": [len(t) for t in texts]})
 
-    if not n_large:
-        return parsed(rows).groupBy("host").applyInPandas(by_host, schema)
     names = broadcast_if(large, n_large, 100_000)
-    usual = parsed(rows.join(names, "host", "left_anti").select("page_id", "url", "html", "host")).groupBy("host").applyInPandas(by_host, schema)
-    return usual.unionByName(large_hosts(rows.join(names, "host"), large, schema))
+    usual = rows if not n_large else rows.join(names, "host", "left_anti").select("page_id", "url", "html", "host")
+    out = parsed(usual).groupBy("host").applyInPandas(by_host, schema)
+    if n_large:
+        out = out.unionByName(large_hosts(rows.join(names, "host"), large, schema))
+    return out.withColumn("page_id", F.col("page_id").cast(key))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
