@@ -54,19 +54,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of shingle hashes of many texts at once, in numpy, block by block of about ``block`` bytes."""
+    """Sets of shingle hashes of many texts at once, in numpy, block by block of about ``block`` bytes. A longer text is hashed piece by
+    piece: its words are put together where a piece cuts them, and its shingles are made in runs."""
 
     def __init__(self, k: int, block: int = 1 << 18):
-        self.k, self.block, self.powers = k, block, np.zeros(0, np.uint64)
-
-    def _scale(self, n: int) -> None:
-        if len(self.powers) < n:
-            with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.full(max(n, self.block), BASE, np.uint64))
-                self.inverse = np.cumprod(np.full(len(self.powers), pow(BASE, -1, 1 << 64), np.uint64))
+        self.k, self.block = k, block
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.full(block + 1, BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(block + 1, pow(BASE, -1, 1 << 64), np.uint64))
+            self.factors = np.cumprod(np.full(k, 0xD6E8FEB86659FD93, np.uint64))
 
-    def word_hashes(self, raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and start of each word. first: where a text begins."""
+    def words(self, raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word of a block the sum of its bytes times powers, its length and its start. first: where a text begins."""
         gap = SPACE[raw]
         before = np.empty(len(raw), bool)
         before[0], before[1:] = True, gap[:-1]
@@ -76,44 +75,68 @@ class Shingler:
         after[-1], after[:-1] = True, gap[1:]
         after[first[(first > 0) & (first <= len(raw))] - 1] = True
         ends = np.flatnonzero(after & ~gap) + 1
-        self._scale(len(raw) + 1)
         with np.errstate(over="ignore"):
             run = np.concatenate([[np.uint64(0)], np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)])])
-            return mixed((run[ends] - run[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)), starts
+            return (run[ends] - run[starts]) * self.inverse[starts], ends - starts, starts
+
+    def grams(self, words: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            n = max(len(words) - self.k + 1, 0)
+            return mixed(sum(words[j : j + n] * self.factors[j] for j in range(self.k))) if n else np.zeros(0, np.uint64)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of each text."""
         out: list[np.ndarray] = []
         a = 0
         while a < len(texts):
+            if len(texts[a]) > self.block:
+                out.append(self._long(texts[a]))
+                a += 1
+                continue
             z, size = a, 0
-            while z < len(texts) and (z == a or size + len(texts[z]) <= self.block):
+            while z < len(texts) and size + len(texts[z]) <= self.block:
                 size += len(texts[z])
                 z += 1
             out += self._block(texts[a:z])
             a = z
         return out
 
+    def _short(self, words: np.ndarray) -> np.ndarray:
+        """The one shingle of a text of fewer than ``k`` words."""
+        with np.errstate(over="ignore"):
+            return mixed((words * self.factors[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words)) * np.uint64(BASE))[None] if len(words) else np.zeros(0, np.uint64)
+
     def _block(self, texts: list[bytes]) -> list[np.ndarray]:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         if not len(raw):
             return [np.zeros(0, np.uint64) for _ in texts]
         edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        words, starts = self.word_hashes(raw, edges[:-1])
-        cut = np.searchsorted(starts, edges)
-        with np.errstate(over="ignore"):
-            factors = np.cumprod(np.full(self.k, 0xD6E8FEB86659FD93, np.uint64))
-            n = max(len(words) - self.k + 1, 0)
-            grams = mixed(sum(words[j : j + n] * factors[j] for j in range(self.k))) if n else np.zeros(0, np.uint64)
-            out = []
-            for a, z in zip(cut[:-1], cut[1:]):
-                if z - a >= self.k:
-                    out.append(np.unique(grams[a : z - self.k + 1]))
-                elif z > a:
-                    out.append(mixed((words[a:z] * factors[: z - a]).sum(dtype=np.uint64) + np.uint64(z - a) * np.uint64(BASE))[None])
-                else:
-                    out.append(np.zeros(0, np.uint64))
-        return out
+        sums, lengths, starts = self.words(raw, edges[:-1])
+        words = mixed(sums + lengths.astype(np.uint64))
+        cut, grams = np.searchsorted(starts, edges), self.grams(words)
+        return [np.unique(grams[a : z - self.k + 1]) if z - a >= self.k else self._short(words[a:z]) for a, z in zip(cut[:-1], cut[1:])]
+
+    def _long(self, text: bytes) -> np.ndarray:
+        sums, lengths, joined = [], [], False
+        for a in range(0, len(text), self.block):
+            raw = np.frombuffer(text, np.uint8, min(self.block, len(text) - a), a)
+            s, n, starts = self.words(raw, np.zeros(1, np.int64))
+            if joined and len(starts) and starts[0] == 0:
+                with np.errstate(over="ignore"):
+                    sums[-1][-1:] += np.uint64(pow(BASE, int(lengths[-1][-1]), 1 << 64)) * s[:1]
+                lengths[-1][-1] += n[0]
+                s, n = s[1:], n[1:]
+            if len(s):
+                sums.append(s)
+                lengths.append(n)
+            joined = not SPACE[raw[-1]]
+        if not sums:
+            return np.zeros(0, np.uint64)
+        words = mixed(np.concatenate(sums) + np.concatenate(lengths).astype(np.uint64))
+        if len(words) < self.k:
+            return self._short(words)
+        runs = [np.unique(self.grams(words[a : a + self.block + self.k - 1])) for a in range(0, len(words) - self.k + 1, self.block)]
+        return np.unique(np.concatenate(runs))
 
 
 def raw_texts(column) -> list[bytes]:
@@ -390,7 +413,7 @@ def ngram_components(docs: DataFrame, k: int = 4, per_cent: int = 85, id_col: st
     away = left.join(homes, "rep", "left").where(F.col("home").isNull() | (F.col("home") != F.col("key"))).drop("members")
     open_keys = away.groupBy("key").agg(F.count("*").alias("members"), F.min("home").alias("lo"), F.max("home").alias("hi"), F.count("home").alias("homed"))
     open_keys = open_keys.where((F.col("members") > 1) & ~((F.col("homed") == F.col("members")) & (F.col("lo") == F.col("hi")))).select("key", "members")
-    away = durable(away.join(open_keys, "key"))
+    away = durable(away.join(durable(open_keys), "key"))  # written first, so that a frequent key's rows can be split in the join
     met_away = durable(compared_in_blocks(away.where(F.col("members") >= CROWD).select("key", "rep", "n", "component", F.lit(True).alias("own")), docs, k, per_cent))
     names = ("rep", "n", "place", "component")
     p, q = (away.where(F.col("members") < CROWD).select("key", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "pq")
