@@ -4,21 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import simloom
+from simloom import common
+from simloom.common import broadcast_if, scratch
+from simloom.common import settled as durable
 
-BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
-
-# Executors get this package's functions with the task, so they need no copy of it on their path.
-cloudpickle.register_pickle_by_value(simloom)
+__all__ = ["broadcast_if", "durable", "fold", "give_back", "in_arrow", "read_table", "scratch", "tidy"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,32 +26,6 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="simloom-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage is cut, and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/simloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast hint only where the counted rows are within ``limit``; beyond it the planner shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def tidy(run: Callable) -> Callable:
     """For a function of record batches: gives the memory that a task's caches took back to the system when the task ends."""
 
@@ -74,9 +44,12 @@ def tidy(run: Callable) -> Callable:
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` of a tidy ``run`` over batches of about ``BATCH_BYTES`` (unless the session sets another bound): batches of
-    a number of rows would grow with the texts, in the worker and off the executor's heap."""
-    conf = df.sparkSession.conf
-    if BATCH_KEY not in conf.getAll:
-        conf.set(BATCH_KEY, str(BATCH_BYTES))
-    return df.mapInArrow(tidy(run), schema)
+    """``simloom.common.in_arrow`` of a tidy ``run``: batches are bounded by bytes."""
+    return common.in_arrow(df, tidy(run), schema)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Asks the executors for a full collection, after which the JVM returns heap that it does not need: joins leave it at its bound, and
+    Python workers that read whole texts next share the machine with it. Results do not depend on it, nor on its reaching all executors."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
