@@ -65,6 +65,15 @@ def test_op4_equals_brute_force(spark, odd, monkeypatch):
     assert ngram_join.ngram_components(docs_of(spark, texts).where("doc_id < 0")).count() == 0
 
 
+def test_op4_long_texts_in_pieces(odd):
+    rng = random.Random(4)
+    texts = [(t or "").encode() for t in odd] + [("x" * 900 + " " + prose(rng, 60) + "  " + "y" * 500 + " tail").encode(), b"z" * 2000, b" " * 700 + b"a b"]
+    for k in (2, 4):
+        whole = ngram_join.Shingler(k, 1 << 20).sets(texts)
+        for block in (7, 64, 500):
+            assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_join.Shingler(k, block).sets(texts), strict=True))
+
+
 def test_op1_and_op5_exact(spark, odd):
     from tokenizers import Tokenizer
 
@@ -99,6 +108,10 @@ def test_op2(spark, odd):
     got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in decontaminate.contained_items(docs_of(spark, texts), items).collect()}
     n = len(odd)
     assert got == {(n, 1): (36, 36), (n + 1, 1): (36, 30), (3, 4): (1, 1), (4, 4): (1, 1)}
+    inside = [prose(rng, 50) + " Zig, zag ZOG " + prose(rng, 50), "zig zag", "zag zog zig zag", prose(rng, 3) + " zog"]
+    short = spark.createDataFrame([(1, "zig zag zog"), (2, "zog"), (3, "zig zag")], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in decontaminate.contained_items(docs_of(spark, inside), short).collect()}
+    assert got == {(d, i): (1, 1) for d, i in ((0, 1), (0, 2), (0, 3), (1, 3), (2, 2), (2, 3), (3, 2))}
     kept = decontaminate.decontaminated(docs_of(spark, texts), items)
     assert kept.columns == docs_of(spark, texts).columns and kept.count() == len(texts) - 4
 
