@@ -281,7 +281,7 @@ def little(n: Column) -> Column:
 def executables(spark: SparkSession, d: str) -> DataFrame:
     """An executable of three sections made from each document: data, code around the entry point (the text), and a section named as code
     (the text with capital vowels). Documents without a text give none."""
-    head = b"MZ" + b"\0" * 58 + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HH", 0x14C, 3) + b"\0" * 12 + struct.pack("<HH", 32, 0) + (b"\0" * 16 + struct.pack("<I", 0x10000004)).ljust(32, b"\0")
+    head = b"MZ" + b"\0" * 58 + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HH", 0x14C, 3) + b"\0" * 12 + struct.pack("<HH", 32, 0) + (b"\0" * 16 + struct.pack("<I", 0x10000000)).ljust(32, b"\0")
     text, capitals = F.encode("data", "utf-8"), F.encode(F.translate("data", "aeiou", "AEIOU"), "utf-8")
     at, n, m = len(head) + 3 * 40, F.octet_length(text), F.octet_length(capitals)
 
