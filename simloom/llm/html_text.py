@@ -42,6 +42,7 @@ from simloom.llm.common import broadcast_if, durable, in_arrow, read_table
 
 MIN_RUN, OUTSIDE, SHARD_BYTES = 4, 5, 1 << 20
 SHARE_OUTSIDE, SHARE_INSIDE = 0.2, 0.8
+BROADCAST_BYTES = 16 << 20
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
 GONE = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "object", "canvas", "head"}
 MAIN = {"article", "main"}
@@ -458,9 +459,8 @@ def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> Data
 
     def to_shards(pieces: DataFrame, columns: list[str]) -> DataFrame:
         """The rows of each host as a list, for each of its shards."""
-        lists = pieces.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("pieces"))
-        lists = every.join(lists, "host")
-        return broadcast_if(lists, every.count() if pieces.count() <= 20_000 else 1 << 60, 10_000)
+        whole = pieces.groupBy("host").agg(F.sum(F.octet_length("piece") + 16).alias("bytes")).join(large, "host").agg(F.coalesce(F.sum(F.col("bytes") * F.col("shards")), F.lit(0))).first()[0]
+        return broadcast_if(every.join(pieces.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("pieces")), "host"), whole, BROADCAST_BYTES)
 
     def count(batches):
         for b in batches:
