@@ -8,8 +8,8 @@ closed ends where an article or main element begins.
 
 Boilerplate without such marks is found over a host's pages. Their token streams are concatenated and sorted into a suffix array; with
 the lengths of common prefixes it tells, for any piece of text, how many distinct pages hold it. Pieces of ``MIN_RUN`` tokens or more
-count: blocks (a shorter block with its neighbours), and chunks that the tokens themselves delimit. A block goes as a whole, if one
-repeated substring covers it that is held by
+count: blocks (a shorter block with its neighbours), and chunks that the tokens themselves delimit; those only that at least half as many
+pages have as a piece of their own as must hold them. A block goes as a whole, if one repeated substring covers it that is held by
 
 * at least ``OUTSIDE`` pages and a fifth of the host's, on a page without an article or main element;
 * at least ``OUTSIDE`` pages and four fifths of the host's, on a page with one, so that passages that many articles quote stay.
@@ -18,8 +18,10 @@ Copies of a page do not count against it: of the pages that hold a block those g
 its chunks, at the lower fifth of its tokens, less one). So copies and near copies keep their texts, and lose a notice that other pages have.
 
 A host with over ``SHARD_BYTES`` of html is dealt to shards by a hash of the row, so no task holds a whole large host, and the result
-does not depend on it: what a fifth of the host's pages hold, a fifth of some shard's pages hold. Each shard names those pieces, all
-shards count all pieces of the host that one has named in their own suffix arrays, and the sums decide. Only pieces and counts move.
+does not depend on it: shards count the pages that have a piece of their own, and name the pieces that a twentieth of their pages have. Of a
+piece that a tenth of the host's pages have (half of a fifth), shards that do not name it have less than a twentieth, so the sum of the named counts
+is a twentieth at least. Pieces with such a sum, a few times as many as a page has, are counted by all shards in their own suffix
+arrays, and the sums over all shards decide. Only digests, these pieces, and counts move.
 
 Defined results: null and empty html gives an empty text; a null url is a host of its own; repeated rows give a row each; an empty
 table gives no rows; other columns are never read. Cut-off pages and unclosed elements are read as far as they go.
@@ -27,9 +29,11 @@ table gives no rows; other columns are never read. Cut-off pages and unclosed el
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -372,18 +376,29 @@ class Page:
 
 
 def needed(pages: int, share: float) -> int:
-    return max(OUTSIDE, int(np.ceil(share * pages - 1e-9)))
+    return max(OUTSIDE, at_least(pages, share))
+
+
+def at_least(pages: int, share: float) -> int:
+    return int(np.ceil(share * pages - 1e-9))
+
+
+def own_counts(pages: list[Page]) -> Counter:
+    """How many pages have each text as a piece of their own."""
+    return Counter(t for p in pages for t in {p.text(x) for x in p.pieces()})
 
 
 def page_counts(pages: list[Page], least: int) -> list[dict[tuple[int, int], int]]:
-    """For each page's pieces how many of the pages hold them, where ``least`` do."""
-    own = [p.pieces() for p in pages]
+    """For each page's pieces how many of the pages hold them, where ``least`` do and half as many have them as a piece of their own."""
+    times = own_counts(pages)
+    own = [[x for x in p.pieces() if times[p.text(x)] * 2 >= least] for p in pages]
     flat = np.array([(i, *x) for i, pieces in enumerate(own) for x in pieces], np.int64).reshape(-1, 3)
-    found = Suffixes([p.tokens for p in pages], least).pages(*flat.T, least=least).tolist()
     out: list[dict[tuple[int, int], int]] = [{} for _ in pages]
-    for (i, a, n), held in zip(flat.tolist(), found):
-        if held:
-            out[i][a, n] = held
+    if len(flat):
+        found = Suffixes([p.tokens for p in pages], least).pages(*flat.T, least=least).tolist()
+        for (i, a, n), held in zip(flat.tolist(), found):
+            if held:
+                out[i][a, n] = held
     return out
 
 
@@ -395,11 +410,19 @@ def host_texts(cells: list[bytes | None]) -> list[str]:
     return [p.kept(held, len(pages)) for p, held in zip(pages, page_counts(pages, needed(len(pages), SHARE_OUTSIDE)))]
 
 
-def named_pieces(cells: list[bytes | None]) -> list[str]:
-    """The pieces that a fifth of a shard's pages hold."""
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def named_pieces(cells: list[bytes | None]) -> list[tuple[bytes, int]]:
+    """Digest and count of the pieces that a twentieth of a shard's pages have."""
     pages = [Page(c) for c in cells]
-    least = max(1, int(np.ceil(SHARE_OUTSIDE * len(pages) - 1e-9)))
-    return sorted({p.text(x) for p, held in zip(pages, page_counts(pages, least)) for x in held})
+    return [(digest(t), n) for t, n in own_counts(pages).items() if n >= at_least(len(pages), SHARE_OUTSIDE / 4)]
+
+
+def told_pieces(cells: list[bytes | None], asked: set[bytes]) -> dict[str, int]:
+    """The pieces of a shard's pages whose digests are asked for, and how many pages have them."""
+    return {t: n for t, n in own_counts([Page(c) for c in cells]).items() if digest(t) in asked}
 
 
 def counted_pieces(cells: list[bytes | None], pieces: list[str]) -> list[int]:
@@ -445,32 +468,43 @@ def parsed(rows: DataFrame) -> DataFrame:
 def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> DataFrame:
     """Texts of the pages of large hosts. large: host and shards. A shard is a row from its first pass on, so its pages move once."""
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "shards")).select("page_id", "url", "html", "host", "shard")
-    kept = T.StructType().add("host", "string").add("shard", "long").add("page_id", T.ArrayType(T.StringType())).add("url", T.ArrayType(T.StringType())).add("blocks", T.ArrayType(T.BinaryType())).add("named", T.ArrayType(T.StringType()))
+    named_type = T.ArrayType(T.StructType().add("piece", "binary").add("own", "long"))
+    kept = T.StructType().add("host", "string").add("shard", "long").add("page_id", T.ArrayType(T.StringType())).add("url", T.ArrayType(T.StringType())).add("blocks", T.ArrayType(T.BinaryType())).add("named", named_type)
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = [zlib.decompress(x) for x in pdf["blocks"]]
-        row = {"host": pdf["host"].iloc[0], "shard": pdf["shard"].iloc[0], "page_id": [x if isinstance(x, str) else None for x in pdf["page_id"]], "url": [x if isinstance(x, str) else None for x in pdf["url"]], "blocks": cells, "named": named_pieces(cells)}
+        named = [{"piece": d, "own": n} for d, n in named_pieces(cells)]
+        row = {"host": pdf["host"].iloc[0], "shard": pdf["shard"].iloc[0], "page_id": [x if isinstance(x, str) else None for x in pdf["page_id"]], "url": [x if isinstance(x, str) else None for x in pdf["url"]], "blocks": cells, "named": named}
         return pd.DataFrame({k: pd.Series([v], dtype=object if isinstance(v, (list, str)) else None) for k, v in row.items()})
 
     shards = durable(parsed(dealt).groupBy("host", "shard").applyInPandas(gathered, kept), compression="zstd")
-    sizes = shards.groupBy("host").agg(F.sum(F.size("page_id")).alias("pages"))
-    named = durable(shards.select("host", F.explode("named").alias("piece")).distinct())
+    sizes = durable(shards.groupBy("host").agg(F.sum(F.size("page_id")).alias("pages")).join(large, "host"))
+    of_host = broadcast_if(sizes, large.count(), 100_000)
     every = large.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
 
-    def to_shards(pieces: DataFrame, columns: list[str]) -> DataFrame:
+    def to_shards(pieces: DataFrame, *columns: str) -> DataFrame:
         """The rows of each host as a list, for each of its shards."""
         whole = pieces.groupBy("host").agg(F.sum(F.octet_length("piece") + 16).alias("bytes")).join(large, "host").agg(F.coalesce(F.sum(F.col("bytes") * F.col("shards")), F.lit(0))).first()[0]
         return broadcast_if(every.join(pieces.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("pieces")), "host"), whole, BROADCAST_BYTES)
 
-    def count(batches):
-        for b in batches:
-            for host, cells, pieces in zip(*(b.column(i).to_pylist() for i in range(3))):
-                pieces = [p["piece"] for p in pieces]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(pieces), pa.string()), pa.array(pieces, pa.string()), pa.array(counted_pieces(cells, pieces), pa.int64())], ["host", "piece", "n"])
+    def per_shard(run, pieces: DataFrame) -> DataFrame:
+        """host, piece and n, summed over shards. run: from a shard's blocks and its host's pieces to a dict of counts."""
+
+        def count(batches):
+            for b in batches:
+                for host, cells, asked in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    got = run(cells, [p["piece"] for p in asked])
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(got), pa.string()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["host", "piece", "n"])
+
+        asked = shards.select("host", "shard", "blocks").join(to_shards(pieces, "piece"), ["host", "shard"]).select("host", "blocks", "pieces")
+        return in_arrow(asked, count, "host string, piece string, n long").groupBy("host", "piece").agg(F.sum("n").alias("n"))
 
-    asked = shards.select("host", "shard", "blocks").join(to_shards(named, ["piece"]), ["host", "shard"]).select("host", "blocks", "pieces")
-    sums = in_arrow(asked, count, "host string, piece string, n long").groupBy("host", "piece").agg(F.sum("n").alias("n"))
-    common = durable(sums.join(broadcast_if(sizes, large.count(), 100_000), "host").where((F.col("n") >= OUTSIDE) & (F.col("n") >= F.col("pages") * SHARE_OUTSIDE - 1e-9)).select("host", "piece", "n"))
+    need = F.greatest(F.lit(float(OUTSIDE)), F.col("pages") * SHARE_OUTSIDE - 1e-9)
+    named = shards.select("host", F.explode("named").alias("x")).groupBy("host", F.col("x.piece").alias("piece")).agg(F.sum("x.own").alias("own"))
+    likely = durable(named.join(of_host, "host").where(F.col("own") >= F.col("pages") * SHARE_OUTSIDE / 4 - 1e-9).select("host", "piece"))
+    told = durable(per_shard(lambda cells, asked: told_pieces(cells, set(asked)), likely).join(of_host, "host").where(F.col("n") * 2 >= need).select("host", "piece"))
+    sums = per_shard(lambda cells, asked: dict(zip(asked, counted_pieces(cells, asked))), told)
+    common = durable(sums.join(of_host, "host").where(F.col("n") >= need).select("host", "piece", "n"))
 
     def texts(batches):
         for b in batches:
@@ -480,7 +514,7 @@ def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> Data
                     part = made[a : a + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(page_ids[a : a + 256], pa.string()), pa.array(urls[a : a + 256], pa.string()), pa.array(part, pa.string()), pa.array([len(t) for t in part], pa.int64())], [f.name for f in schema])
 
-    known = shards.select("host", "shard", "page_id", "url", "blocks").join(to_shards(common, ["piece", "n"]), ["host", "shard"], "left").join(broadcast_if(sizes, large.count(), 100_000), "host")
+    known = shards.select("host", "shard", "page_id", "url", "blocks").join(to_shards(common, "piece", "n"), ["host", "shard"], "left").join(of_host, "host")
     return in_arrow(known.select("page_id", "url", "blocks", "pieces", "pages"), texts, schema)
 
 
