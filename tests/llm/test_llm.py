@@ -223,14 +223,21 @@ def test_op8_decides_by_whole_hosts(spark, monkeypatch):
     long, copy = [prose(rng, 120) for _ in range(6)], prose(rng, 150).split()
     rows = [("http://h/", page(x)) for x in long] + [("http://small/", page("one page"))]
     rows += [(None, page(prose(rng, 100))) for _ in range(20)] + [(None, page(" ".join([*copy[:70], f"edit{i // 2}", *copy[71:]]))) for i in range(30)] + [(None, None)]
+    # A text that some pages have as a block and others within a longer one, so that no shard need have enough of either.
+    rows += [("http://part/", f"<body><p>{notice + (' ' + prose(rng, 5) if i % 3 else '')}</p><p>{prose(rng, 50)}</p></body>") for i in range(24)]
     rows += [("http://m/", page(f"{prose(rng, 60)}</p><p>{' '.join(copy[:20]) if i < 3 else prose(rng, 9)}")) for i in range(12)]
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
     whole = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    for size in (7000, 300):
+        monkeypatch.setattr(html_text, "SHARD_BYTES", size)
+        assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == whole
     monkeypatch.setattr(html_text, "SHARD_BYTES", 1000)
     made = html_text.extract_text(df).collect()
     got = {r.page_id: r.text for r in made}
     assert len(made) == len(rows) and [got[i] for i in range(6)] == long
-    assert got == whole and notice in got[6] and not any(notice in t for i, t in got.items() if i != 6)
+    part = range(58, 82)
+    assert got == whole and notice in got[6] and not any(notice in t for i, t in got.items() if i != 6 and i not in part)
+    assert [notice in got[i] for i in part] == [True] * 24 or [notice in got[i] for i in part] == [bool(i % 3) for i in range(24)]
     assert all(len(got[i].split()) == 150 for i in range(27, 57)) and [r.n_chars for r in made] == [len(r.text) for r in made]
 
 
