@@ -60,11 +60,11 @@ class ChunkEncoder:
             self.last[[i for t, i in self.tool.get_vocab().items() if t.endswith(suffix)]] = True
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabets keep these and move the others up
             hidden = [b for b in range(256) if b not in set(shown)]
-            self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
+            self.alphabet = {b: 256 + i for i, b in enumerate(hidden) if b != 32}
 
     def _learn(self, chunks: list[bytes]) -> None:
         words, rest, shown = [], [], []
-        for c in chunks:
+        for c in sorted(chunks, key=bytes.isascii):
             if self.words is not None and c.isascii() and c.isalpha() and c.islower():
                 words.append(c)
                 shown.append(c)
@@ -73,8 +73,8 @@ class ChunkEncoder:
                 shown.append(t.encode())
             else:
                 rest.append(c)
-        joined = [b" ".join(shown[a : a + 512]).decode("latin-1").split(" ") for a in range(0, len(shown), 512)]
-        joined = [" ".join(w.translate(self.alphabet) if not w.isascii() else w for w in part) for part in joined]
+        joined = [b" ".join(shown[a : a + 512]).decode("latin-1") for a in range(0, len(shown), 512)]
+        joined = [t if t.isascii() else t.translate(self.alphabet) for t in joined]
         ids = np.array([i for e in self.words.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4") if words else np.zeros(0, "<u4")
         raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist() if words else []
         self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *ends], ends)], strict=True))
@@ -87,7 +87,7 @@ class ChunkEncoder:
         raw = [(t or "").encode() for t in texts]
         chunks = [t.split() if b"<|" in t else STOP.sub(rb" \1", t.lower()).split() for t in raw]
         seen = set().union(*chunks)
-        new = seen - self.known.keys()
+        new = {c for c in seen if c not in self.known}
         self.again |= seen - new
         if len(self.known) + len(new) > self.room:
             self.known = {c: self.known[c] for c in self.again}
