@@ -10,21 +10,30 @@ from simloom.operators.fingerprint import with_vids
 from simloom.operators.similarity import similarity_links
 
 
-def connected(vids: DataFrame, edges: DataFrame) -> DataFrame:
-    """vid and root (the least vid of its component) of every vid. Least-label propagation with pointer jumping, each round written out,
-    until a round changes nothing."""
-    edges = settled(edges.select(F.col("vid_a").alias("x"), F.col("vid_b").alias("y")))
-    both = settled(edges.union(edges.select("y", "x")).distinct())
-    labels = settled(both.select("x").distinct().select(F.col("x").alias("vid"), F.col("x").alias("root")))
+def components(links: DataFrame) -> DataFrame:
+    """id and component (its least id) of every id that a link (x, y) names, by alternating large-star and small-star rounds, each written
+    out, until a round changes nothing."""
+    edges = settled(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct())
+    before = None
     while True:
-        heard = both.join(labels.select(F.col("vid").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        lower = settled(labels.join(heard, labels["vid"] == heard["x"], "left").select("vid", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")))
-        jumped = lower.join(lower.select(F.col("vid").alias("root"), F.col("root").alias("far")), "root", "left").select("vid", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
-        jumped = settled(jumped)
-        labels = jumped.select("vid", "root")
-        if jumped.where("old != root").isEmpty():
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        edges = settled(small)
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
             break
-    return vids.select("vid").join(labels, "vid", "left").select("vid", F.coalesce("root", "vid").alias("root"))
+        before = state
+    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(edges.select("v", "v").distinct())
+
+
+def connected(vids: DataFrame, edges: DataFrame) -> DataFrame:
+    """vid and root (the least vid of its component) of every vid."""
+    found = components(edges.select(F.col("vid_a").alias("x"), F.col("vid_b").alias("y"))).select(F.col("id").alias("vid"), F.col("component").alias("root"))
+    return vids.select("vid").join(found, "vid", "left").select("vid", F.coalesce("root", "vid").alias("root"))
 
 
 def numbered(components: DataFrame, base: int = 0) -> DataFrame:
