@@ -192,7 +192,8 @@ class Suffixes:
     A place is the start of a run; a substring of n tokens is n - MIN_RUN + 1 runs in succession.
     """
 
-    def __init__(self, streams: list[list[str]], least: int = 1):
+    def __init__(self, streams: list[list[str]], least: int = 1, asked: int | None = None):
+        """asked: only runs that a stream from this one on has count."""
         sizes = np.array([len(s) for s in streams], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         words = pd.factorize(np.array([w for s in streams for w in s], dtype=object))[0].astype(np.uint64)
@@ -208,6 +209,10 @@ class Suffixes:
         places = np.flatnonzero(whole)
         rank, times = np.unique(run[places], return_inverse=True, return_counts=True)[1:]
         alive = times[rank] >= least
+        if asked is not None:
+            wanted = np.zeros(len(times), bool)
+            wanted[rank[owner[places] >= asked]] = True
+            alive &= wanted[rank]
         self.places, rank = places[alive], np.unique(rank[alive], return_inverse=True)[1].astype(np.int64)
         self.owner, m = owner[self.places], int(alive.sum())
         self.at = np.full(n + 1, -1, np.int64)
@@ -323,17 +328,25 @@ class Suffixes:
         return out
 
 
+class Cuts(dict):
+    """Whether a chunk begins at a token: each token's checksum is taken once."""
+
+    def __missing__(self, token: str) -> bool:
+        self[token] = cut = zlib.crc32(token.encode("utf-8", "surrogatepass")) % 8 == 0
+        return cut
+
+
 class Page:
     """Blocks, tokens and pieces of a page's main part. A piece is a start and a length in tokens."""
 
-    def __init__(self, cell: bytes | None):
+    def __init__(self, cell: bytes | None, begins: Cuts):
         self.blocks = main_part(unpacked(cell))
         split = [t.split() for _, t in self.blocks]
         self.tokens = [w for t in split for w in t]
         self.inside = bool(self.blocks) and self.blocks[0][0]
         self.ends = np.cumsum([0, *(len(t) for t in split)]).tolist()
         self.of_block = [self._around(i) for i in range(len(split))]
-        self.chunks = self._chunks()
+        self.chunks = self._chunks(begins)
 
     def _around(self, i: int) -> list[tuple[int, int]]:
         """A block of ``MIN_RUN`` tokens, or the shortest pieces from or up to a shorter one that have as many."""
@@ -344,11 +357,11 @@ class Page:
         down = next((e for e in reversed(self.ends[: i + 1]) if z - e >= MIN_RUN), None)
         return ([(a, up - a)] if up is not None else []) + ([(down, z - down)] if down is not None else [])
 
-    def _chunks(self) -> list[tuple[int, int]]:
+    def _chunks(self, begins: Cuts) -> list[tuple[int, int]]:
         """Pieces of ``MIN_RUN`` tokens or more that begin at tokens whose checksum says so, so that equal passages are cut alike."""
         cuts, n = [0], len(self.tokens)
-        for i, w in enumerate(self.tokens):
-            if i - cuts[-1] >= MIN_RUN and n - i >= MIN_RUN and zlib.crc32(w.encode("utf-8", "surrogatepass")) % 8 == 0:
+        for i in [i for i, w in enumerate(self.tokens) if begins[w]]:
+            if MIN_RUN <= i - cuts[-1] and i <= n - MIN_RUN:
                 cuts.append(i)
         return [(a, z - a) for a, z in zip(cuts, [*cuts[1:], n])] if n >= MIN_RUN else []
 
@@ -375,6 +388,11 @@ class Page:
         return "\n".join(t for (_, t), c in zip(self.blocks, common) if not c)
 
 
+def pages_of(cells: list[bytes | None]) -> list[Page]:
+    begins = Cuts()
+    return [Page(c, begins) for c in cells]
+
+
 def needed(pages: int, share: float) -> int:
     return max(OUTSIDE, at_least(pages, share))
 
@@ -404,52 +422,64 @@ def page_counts(pages: list[Page], least: int) -> list[dict[tuple[int, int], int
 
 def host_texts(cells: list[bytes | None]) -> list[str]:
     """Texts of a host's pages, given their packed blocks."""
-    pages = [Page(c) for c in cells]
+    pages = pages_of(cells)
     if len(pages) < OUTSIDE:
         return [p.plain() for p in pages]
     return [p.kept(held, len(pages)) for p, held in zip(pages, page_counts(pages, needed(len(pages), SHARE_OUTSIDE)))]
 
 
+def checksum(text: str) -> bytes:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")).to_bytes(4, "little")
+
+
 def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return checksum(text) + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def named_pieces(cells: list[bytes | None]) -> list[tuple[bytes, int]]:
     """Digest and count of the pieces that a twentieth of a shard's pages have."""
-    pages = [Page(c) for c in cells]
+    pages = pages_of(cells)
     return [(digest(t), n) for t, n in own_counts(pages).items() if n >= at_least(len(pages), SHARE_OUTSIDE / 4)]
 
 
 def told_pieces(cells: list[bytes | None], asked: set[bytes]) -> dict[str, int]:
     """The pieces of a shard's pages whose digests are asked for, and how many pages have them."""
-    return {t: n for t, n in own_counts([Page(c) for c in cells]).items() if digest(t) in asked}
+    sums = {d[:4] for d in asked}
+    return {t: n for t, n in own_counts(pages_of(cells)).items() if checksum(t) in sums and digest(t) in asked}
 
 
 def counted_pieces(cells: list[bytes | None], pieces: list[str]) -> list[int]:
     """How many of a shard's pages hold each piece."""
-    pages, asked = [Page(c).tokens for c in cells], [p.split(" ") for p in pieces]
+    pages, asked = [[w for _, t in main_part(unpacked(c)) for w in t.split()] for c in cells], [p.split(" ") for p in pieces]
     own = np.arange(len(asked))
-    found = Suffixes([*pages, *asked]).pages(len(pages) + own, 0 * own, np.array([len(a) for a in asked], np.int64), real=len(pages))
+    found = Suffixes([*pages, *asked], asked=len(pages)).pages(len(pages) + own, 0 * own, np.array([len(a) for a in asked], np.int64), real=len(pages))
     return found.tolist()
 
 
 def shard_texts(cells: list[bytes | None], common: dict[str, int], pages: int) -> list[str]:
     """Texts of a shard's pages, given the common pieces of the host and its number of pages."""
-    out = []
-    for cell in cells:
-        p = Page(cell)
-        out.append(p.kept({x: n for x in p.pieces() if (n := common.get(p.text(x)))}, pages) if common else p.plain())
-    return out
+    if not common:
+        return ["\n".join(t for _, t in main_part(unpacked(c))) for c in cells]
+    return [p.kept({x: n for x in p.pieces() if (n := common.get(p.text(x)))}, pages) for p in pages_of(cells)]
 
 
 def packed(page: list[tuple[bool, str]]) -> bytes:
-    return "\x1e".join(f"{int(i)}{t}" for i, t in ((i, t.replace("\x1e", " ")) for i, t in page)).encode("utf-8", "surrogatepass")
+    return "\x1e".join(f"{int(i)}{t}" for i, t in page).encode("utf-8", "surrogatepass")
 
 
 def unpacked(cell: bytes | None) -> list[tuple[bool, str]]:
     return [(x[0] == "1", x[1:]) for x in cell.decode("utf-8", "surrogatepass").split("\x1e")] if cell else []
 
 
+def bound(cells: list[bytes]) -> bytes:
+    """Packed pages of a shard as one cell. Blocks hold neither separator: both are white space."""
+    return zlib.compress(b"\x1d".join(cells), 6)
+
+
+def unbound(cell: bytes) -> list[bytes]:
+    return zlib.decompress(cell).split(b"\x1d")
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """``rows`` with ``blocks`` for html: packed and compressed, for they are shuffled next."""
     columns = rows.columns
@@ -469,15 +499,15 @@ def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> Data
     """Texts of the pages of large hosts. large: host and shards. A shard is a row from its first pass on, so its pages move once."""
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "shards")).select("page_id", "url", "html", "host", "shard")
     named_type = T.ArrayType(T.StructType().add("piece", "binary").add("own", "long"))
-    kept = T.StructType().add("host", "string").add("shard", "long").add("page_id", T.ArrayType(T.StringType())).add("url", T.ArrayType(T.StringType())).add("blocks", T.ArrayType(T.BinaryType())).add("named", named_type)
+    kept = T.StructType().add("host", "string").add("shard", "long").add("page_id", T.ArrayType(T.StringType())).add("url", T.ArrayType(T.StringType())).add("blocks", "binary").add("named", named_type)
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = [zlib.decompress(x) for x in pdf["blocks"]]
         named = [{"piece": d, "own": n} for d, n in named_pieces(cells)]
-        row = {"host": pdf["host"].iloc[0], "shard": pdf["shard"].iloc[0], "page_id": [x if isinstance(x, str) else None for x in pdf["page_id"]], "url": [x if isinstance(x, str) else None for x in pdf["url"]], "blocks": cells, "named": named}
-        return pd.DataFrame({k: pd.Series([v], dtype=object if isinstance(v, (list, str)) else None) for k, v in row.items()})
+        row = {"host": pdf["host"].iloc[0], "shard": pdf["shard"].iloc[0], "page_id": [x if isinstance(x, str) else None for x in pdf["page_id"]], "url": [x if isinstance(x, str) else None for x in pdf["url"]], "blocks": bound(cells), "named": named}
+        return pd.DataFrame({k: pd.Series([v], dtype=object if isinstance(v, (list, str, bytes)) else None) for k, v in row.items()})
 
-    shards = durable(parsed(dealt).groupBy("host", "shard").applyInPandas(gathered, kept), compression="zstd")
+    shards = durable(parsed(dealt).groupBy("host", "shard").applyInPandas(gathered, kept))
     sizes = durable(shards.groupBy("host").agg(F.sum(F.size("page_id")).alias("pages")).join(large, "host"))
     of_host = broadcast_if(sizes, large.count(), 100_000)
     every = large.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
@@ -493,7 +523,7 @@ def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> Data
         def count(batches):
             for b in batches:
                 for host, cells, asked in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    got = run(cells, [p["piece"] for p in asked])
+                    got = run(unbound(cells), [p["piece"] for p in asked])
                     yield pa.RecordBatch.from_arrays([pa.array([host] * len(got), pa.string()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["host", "piece", "n"])
 
         asked = shards.select("host", "shard", "blocks").join(to_shards(pieces, "piece"), ["host", "shard"]).select("host", "blocks", "pieces")
@@ -509,7 +539,7 @@ def large_hosts(rows: DataFrame, large: DataFrame, schema: T.StructType) -> Data
     def texts(batches):
         for b in batches:
             for page_ids, urls, cells, pieces, pages in zip(*(b.column(i).to_pylist() for i in range(5))):
-                made = shard_texts(cells, {p["piece"]: p["n"] for p in pieces or []}, pages)
+                made = shard_texts(unbound(cells), {p["piece"]: p["n"] for p in pieces or []}, pages)
                 for a in range(0, len(made), 256):
                     part = made[a : a + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(page_ids[a : a + 256], pa.string()), pa.array(urls[a : a + 256], pa.string()), pa.array(part, pa.string()), pa.array([len(t) for t in part], pa.int64())], [f.name for f in schema])
