@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.llm.common import broadcast_if, durable, in_arrow, read_table
+from simloom.operators.clustering import components
 
 BASE, SLOTS, CHUNK = 0x9E3779B97F4A7C15, 1 << 22, 1 << 16
 CROWD, BLOCK, BLOCK_MEMBERS = 64, 512, 1 << 20
@@ -311,25 +312,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFr
     return both.where(100 * shared >= per_cent * (F.size("sx") + F.size("sy") - shared)).select("x", "y").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id and component (its least id) of every id that a link names, by alternating large-star and small-star rounds."""
-    edges = durable(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = durable(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(edges.select("v", "v").distinct())
-
-
 def home_groups(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Where the members of crowded keys are compared. left: key, rep, n, component and the key's members.
 
