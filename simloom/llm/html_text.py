@@ -328,25 +328,24 @@ class Suffixes:
         return out
 
 
-class Cuts(dict):
-    """Whether a chunk begins at a token: each token's checksum is taken once."""
-
-    def __missing__(self, token: str) -> bool:
-        self[token] = cut = zlib.crc32(token.encode("utf-8", "surrogatepass")) % 8 == 0
-        return cut
-
-
 class Page:
     """Blocks, tokens and pieces of a page's main part. A piece is a start and a length in tokens."""
 
-    def __init__(self, cell: bytes | None, begins: Cuts):
+    def __init__(self, cell: bytes | None):
         self.blocks = main_part(unpacked(cell))
-        split = [t.split() for _, t in self.blocks]
-        self.tokens = [w for t in split for w in t]
+        self.raw = " ".join(t for _, t in self.blocks).encode("utf-8", "surrogatepass")  # one space between tokens, as blocks have them
         self.inside = bool(self.blocks) and self.blocks[0][0]
-        self.ends = np.cumsum([0, *(len(t) for t in split)]).tolist()
-        self.of_block = [self._around(i) for i in range(len(split))]
-        self.chunks = self._chunks(begins)
+        self.ends = np.cumsum([0, *(t.count(" ") + 1 for _, t in self.blocks)]).tolist()
+        self.n = self.ends[-1]
+        data = np.frombuffer(self.raw, np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        starts, stops = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+        self.starts, self.stops = starts.tolist(), stops.tolist()
+        self.of_block = [self._around(i) for i in range(len(self.blocks))]
+        self.chunks = self._chunks(data, starts, stops)
+
+    def tokens(self) -> list[str]:
+        return self.raw.decode("utf-8", "surrogatepass").split(" ") if self.n else []
 
     def _around(self, i: int) -> list[tuple[int, int]]:
         """A block of ``MIN_RUN`` tokens, or the shortest pieces from or up to a shorter one that have as many."""
@@ -357,19 +356,23 @@ class Page:
         down = next((e for e in reversed(self.ends[: i + 1]) if z - e >= MIN_RUN), None)
         return ([(a, up - a)] if up is not None else []) + ([(down, z - down)] if down is not None else [])
 
-    def _chunks(self, begins: Cuts) -> list[tuple[int, int]]:
-        """Pieces of ``MIN_RUN`` tokens or more that begin at tokens whose checksum says so, so that equal passages are cut alike."""
-        cuts, n = [0], len(self.tokens)
-        for i in [i for i, w in enumerate(self.tokens) if begins[w]]:
-            if MIN_RUN <= i - cuts[-1] and i <= n - MIN_RUN:
+    def _chunks(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
+        """Pieces of ``MIN_RUN`` tokens or more that begin at tokens whose sum of bytes says so, so that equal passages are cut alike."""
+        if self.n < MIN_RUN:
+            return []
+        sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum(data, dtype=np.uint32)])
+        begins = np.flatnonzero(((sums[stops] - sums[starts]) * np.uint32(2654435761)) >> np.uint32(29) == 0)
+        cuts = [0]
+        for i in begins.tolist():
+            if MIN_RUN <= i - cuts[-1] and i <= self.n - MIN_RUN:
                 cuts.append(i)
-        return [(a, z - a) for a, z in zip(cuts, [*cuts[1:], n])] if n >= MIN_RUN else []
+        return [(a, z - a) for a, z in zip(cuts, [*cuts[1:], self.n])]
 
     def pieces(self) -> list[tuple[int, int]]:
         return list(dict.fromkeys([*(p for own in self.of_block for p in own), *self.chunks]))
 
-    def text(self, piece: tuple[int, int]) -> str:
-        return " ".join(self.tokens[piece[0] : piece[0] + piece[1]])
+    def text(self, piece: tuple[int, int]) -> bytes:
+        return self.raw[self.starts[piece[0]] : self.stops[piece[0] + piece[1] - 1]]
 
     def plain(self) -> str:
         return "\n".join(t for _, t in self.blocks)
@@ -382,15 +385,14 @@ class Page:
         copies, below = 1, 0
         for n, length in sorted((held.get(c, 1), c[1]) for c in self.chunks):
             copies, below = n, below + length
-            if below * 5 > len(self.tokens):
+            if below * 5 > self.n:
                 break
         common = [max((held.get(p, 1) for p in own), default=1) - copies + 1 >= need for own in self.of_block]
         return "\n".join(t for (_, t), c in zip(self.blocks, common) if not c)
 
 
 def pages_of(cells: list[bytes | None]) -> list[Page]:
-    begins = Cuts()
-    return [Page(c, begins) for c in cells]
+    return [Page(c) for c in cells]
 
 
 def needed(pages: int, share: float) -> int:
@@ -401,7 +403,7 @@ def at_least(pages: int, share: float) -> int:
     return int(np.ceil(share * pages - 1e-9))
 
 
-def own_counts(pages: list[Page]) -> Counter:
+def own_counts(pages: list[Page]) -> Counter[bytes]:
     """How many pages have each text as a piece of their own."""
     return Counter(t for p in pages for t in {p.text(x) for x in p.pieces()})
 
@@ -413,7 +415,7 @@ def page_counts(pages: list[Page], least: int) -> list[dict[tuple[int, int], int
     flat = np.array([(i, *x) for i, pieces in enumerate(own) for x in pieces], np.int64).reshape(-1, 3)
     out: list[dict[tuple[int, int], int]] = [{} for _ in pages]
     if len(flat):
-        found = Suffixes([p.tokens for p in pages], least).pages(*flat.T, least=least).tolist()
+        found = Suffixes([p.tokens() for p in pages], least).pages(*flat.T, least=least).tolist()
         for (i, a, n), held in zip(flat.tolist(), found):
             if held:
                 out[i][a, n] = held
@@ -428,12 +430,12 @@ def host_texts(cells: list[bytes | None]) -> list[str]:
     return [p.kept(held, len(pages)) for p, held in zip(pages, page_counts(pages, needed(len(pages), SHARE_OUTSIDE)))]
 
 
-def checksum(text: str) -> bytes:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")).to_bytes(4, "little")
+def checksum(text: bytes) -> bytes:
+    return zlib.crc32(text).to_bytes(4, "little")
 
 
-def digest(text: str) -> bytes:
-    return checksum(text) + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def digest(text: bytes) -> bytes:
+    return checksum(text) + hashlib.blake2b(text, digest_size=16).digest()
 
 
 def named_pieces(cells: list[bytes | None]) -> list[tuple[bytes, int]]:
@@ -445,7 +447,7 @@ def named_pieces(cells: list[bytes | None]) -> list[tuple[bytes, int]]:
 def told_pieces(cells: list[bytes | None], asked: set[bytes]) -> dict[str, int]:
     """The pieces of a shard's pages whose digests are asked for, and how many pages have them."""
     sums = {d[:4] for d in asked}
-    return {t: n for t, n in own_counts(pages_of(cells)).items() if checksum(t) in sums and digest(t) in asked}
+    return {t.decode("utf-8", "surrogatepass"): n for t, n in own_counts(pages_of(cells)).items() if checksum(t) in sums and digest(t) in asked}
 
 
 def counted_pieces(cells: list[bytes | None], pieces: list[str]) -> list[int]:
@@ -460,7 +462,8 @@ def shard_texts(cells: list[bytes | None], common: dict[str, int], pages: int) -
     """Texts of a shard's pages, given the common pieces of the host and its number of pages."""
     if not common:
         return ["\n".join(t for _, t in main_part(unpacked(c))) for c in cells]
-    return [p.kept({x: n for x in p.pieces() if (n := common.get(p.text(x)))}, pages) for p in pages_of(cells)]
+    counts = {t.encode("utf-8", "surrogatepass"): n for t, n in common.items()}
+    return [p.kept({x: n for x in p.pieces() if (n := counts.get(p.text(x)))}, pages) for p in pages_of(cells)]
 
 
 def packed(page: list[tuple[bool, str]]) -> bytes:
