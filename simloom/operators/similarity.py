@@ -71,10 +71,18 @@ def posted(orders: DataFrame, side: str) -> DataFrame:
     return orders.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.posexplode("order").alias(f"p{side}", "bit"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, measure: str) -> DataFrame:
-    """a, b, na, nb, inter and sim of pairs (a, b)."""
-    whole = classes.select("rep", "bits", "n")
-    both = pairs.join(whole.toDF("a", "bits_a", "na"), "a").join(whole.toDF("b", "bits_b", "nb"), "b")
+def possible(met: DataFrame, need: Column) -> DataFrame:
+    """a, b, na and nb of the pairs whose common bits in the joined orders leave ``need`` common bits possible: what is not counted there
+    comes behind the last of those in both. met: all rows of a pair, one for each common bit."""
+    seen = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("seen"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    most = F.col("seen") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return seen.where(most >= need - SLACK * F.greatest("na", "nb")).select("a", "b", "na", "nb")
+
+
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, measure: str) -> DataFrame:
+    """a, b, na, nb, inter and sim of pairs (a, b) by their whole bits. left, right: rep, n and bits."""
+    whole = lambda rows, side: rows.select("rep", "bits", "n").toDF(side, f"bits_{side}", f"n{side}")
+    both = pairs.select("a", "b").join(whole(left, "a"), "a").join(whole(right, "b"), "b")
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("bits_a", "bits_b")).alias("inter"))
     return counted.withColumn("sim", measured(F.col("inter"), F.col("na"), F.col("nb"), measure))
 
@@ -85,24 +93,20 @@ def close_classes(classes: DataFrame, t: float, measure: str = "jaccard", numeri
     counts = rarity(classes)
     prefix = settled(ordered(classes, counts, low))
     newer = classes.where(F.col("newest") > through).select("rep") if through is not None else None
-    left_is_new = prefix.join(newer, "rep", "left_semi") if newer is not None else prefix
-    least_left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # what a pair whose first common bit this is can share
+    na, nb = F.col("na"), F.col("nb")
     if measure == "jaccard":
-        found = posted(left_is_new, "a").join(posted(prefix, "b"), "bit")
-        fits = (F.least("na", "nb") >= F.lit(low) * F.greatest("na", "nb") - SLACK) & (least_left * (1 + low) >= F.lit(low) * (F.col("na") + F.col("nb")) - 2 * SLACK * F.greatest("na", "nb"))
-        found = found.where((F.col("a") != F.col("b") if newer is not None else F.col("a") < F.col("b")) & fits)
+        left = prefix.join(newer, "rep", "left_semi") if newer is not None else prefix
+        met = posted(left, "a").join(posted(prefix, "b"), "bit").where((F.col("a") != F.col("b") if newer is not None else F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(low) * F.greatest("na", "nb") - SLACK))
+        found = possible(met, F.lit(low / (1 + low)) * (na + nb))
     else:
-        whole = settled(ordered(classes, counts, None))
-        smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
-        fits = smaller & (least_left >= F.lit(low) * F.col("na") - SLACK * F.col("na"))
-        found = posted(prefix, "a").join(posted(whole, "b"), "bit").where(fits)
+        met = posted(prefix, "a").join(posted(settled(ordered(classes, counts, None)), "b"), "bit").where((na < nb) | (na == nb) & (F.col("a") < F.col("b")))
+        found = possible(met, F.lit(low) * na)
         if newer is not None:
-            found = found.select("a", "b").distinct()
             new_a, new_b = newer.select(F.col("rep").alias("a"), F.lit(1).alias("x")), newer.select(F.col("rep").alias("b"), F.lit(1).alias("y"))
             found = found.join(new_a, "a", "left").join(new_b, "b", "left").where("x is not null or y is not null")
     pairs = settled(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sims = verified(pairs, classes, measure)
-    return sims.where(reaches(F.col("sim"), t, numeric)).withColumn("uni", F.col("na") + F.col("nb") - F.col("inter")).select("a", "b", "inter", "uni", "sim")
+    sims = verified(pairs, classes, classes, measure)
+    return sims.where(reaches(F.col("sim"), t, numeric)).withColumn("uni", na + nb - F.col("inter")).select("a", "b", "inter", "uni", "sim")
 
 
 def similarity_join(fps: DataFrame, t: float, measure: str = "jaccard", numeric: str = "exact", id_col: str = "vid") -> DataFrame:
@@ -159,33 +163,29 @@ def nearest(queries: DataFrame, fps: DataFrame, query_col: str = "vid", id_col:
     """Of each query the sample of highest Jaccard similarity, the least id of equals; ``none_id`` with 0 if no bit is shared.
 
     Queries are looked up by prefixes at falling thresholds: one that finds a sample there has its best among those. Only the queries that
-    find none meet all bits, and of those each bit's list once for all queries with equal fingerprints.
+    find none meet all bits. Query ids must be distinct.
     """
     classes, _ = equal_classes(fps, id_col)
-    asked_classes, asked = equal_classes(queries, query_col)
-    counts, open_, found = rarity(classes), asked_classes, []
+    asked = settled(queries.select(F.col(query_col).alias("rep"), F.size("bits").alias("n"), "bits"))
+    counts, open_, best = rarity(classes), asked.where("n > 0"), None
     for low in (*steps, None):
         n = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        one, two = posted(ordered(open_, counts, low), "a"), posted(settled(ordered(classes, counts, low)), "b")
-        met = two.join(broadcast_if(one, n, broadcast_rows), "bit")
+        if not n:
+            break
+        met = posted(ordered(classes, counts, low), "b").join(broadcast_if(posted(ordered(open_, counts, low), "a"), n, broadcast_rows), "bit")
+        na, nb = F.col("na"), F.col("nb")
         if low is None:
-            sims = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("inter")).withColumn("sim", measured(F.col("inter"), F.col("na"), F.col("nb")))
+            sims = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("inter")).withColumn("sim", measured(F.col("inter"), na, nb))
         else:
-            fits = F.least("na", "nb") >= F.lit(low) * F.greatest("na", "nb") - SLACK
-            pairs = met.where(fits).select("a", "b").distinct()
-            whole = lambda rows, side: rows.select("rep", "bits", "n").toDF(side, f"bits_{side}", f"n{side}")
-            both = pairs.join(whole(open_, "a"), "a").join(whole(classes, "b"), "b")
-            sims = both.select("a", "b", "na", "nb", F.size(F.array_intersect("bits_a", "bits_b")).alias("inter")).withColumn("sim", measured(F.col("inter"), F.col("na"), F.col("nb"))).where(F.col("sim") >= low)
-        found.append(settled(sims.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("back"))).alias("m")).select(F.col("a").alias("rep"), "m.sim", (-F.col("m.back")).alias("found"))))
-        open_ = settled(open_.join(found[-1], "rep", "left_anti"))
-        if open_.isEmpty():
-            break
-    best = found[0]
-    for more in found[1:]:
-        best = best.union(more)
-    answers = asked.join(best, "rep").select(F.col("vid").alias("query"), "found", "sim")
-    every = queries.select(F.col(query_col).alias("query")).join(answers, "query", "left")
-    return every.select("query", F.coalesce("found", F.lit(none_id)).cast("long").alias("vid"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
+            met = met.where(F.least("na", "nb") >= F.lit(low) * F.greatest("na", "nb") - SLACK)
+            sims = verified(settled(possible(met, F.lit(low / (1 + low)) * (na + nb))), open_, classes, "jaccard").where(F.col("sim") >= low)
+        found = settled(sims.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("back"))).alias("m")).select(F.col("a").alias("rep"), "m.sim", (-F.col("m.back")).alias("found")))
+        best = found if best is None else best.union(found)
+        open_ = open_.join(found, "rep", "left_anti")
+    if best is None:
+        best = asked.where("false").select("rep", F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("found"))
+    every = asked.select("rep").join(best, "rep", "left")
+    return every.select(F.col("rep").alias("query"), F.coalesce("found", F.lit(none_id)).cast("long").alias("vid"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def sorted_pairs(pairs: DataFrame, parts: int | None = None) -> DataFrame:
