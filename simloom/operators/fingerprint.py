@@ -83,7 +83,14 @@ def shreds(samples: DataFrame, params: Params, mode: str = "text", id_col: str =
             hashes = integer_lists([h[at].astype(np.int64) for h, at in zip(found, places)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) // len(kinds) for h in found], pa.int64()), hashes, integer_lists([at.astype(np.int32) for at in places])], [id_col, "nshred", "hashes", "at"])
 
-    return in_arrow(samples.select(id_col, data_col), run, schema)
+    return in_arrow(spread(samples.select(id_col, data_col)), run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table is one file, and so one task: it is dealt to as many tasks as run at once."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    few = not df.isStreaming and 0 < len(df.inputFiles()) < n  # only then is it cheap to ask for partitions
+    return df.repartition(n) if few and df.rdd.getNumPartitions() < n else df
 
 
 def as_bytes(x: str | bytes | None) -> bytes:
