@@ -290,3 +290,15 @@ def test_sets_that_meet_by_chance_are_not_verified(spark, monkeypatch):
     got = {(r.vid_a, r.vid_b) for r in sim.similarity_join(prints(spark, sets + near), 0.7).collect()}
     assert got == {(i, 800 + i) for i in range(20)}
     assert seen[0] < 200
+
+
+@pytest.mark.parametrize("measure", ["containment", "jaccard"])
+def test_frequent_bits_are_dealt_in_slices(spark, monkeypatch, measure):
+    """A bit that all sets have makes more joined rows than a task is to get."""
+    monkeypatch.setattr(sim, "TASK_ROWS", 500)
+    asked = []
+    monkeypatch.setattr(sim, "partitions", lambda spark, least: (asked.append(least), 7)[1])
+    sets = [{0, i} for i in range(1, 61)] + [{0}]
+    got = {(r.vid_a, r.vid_b): r.inter for r in sim.similarity_join(prints(spark, sets), 0.3, measure).collect()}
+    assert got == {(i, j): 1 for i, j in itertools.combinations(range(61), 2)}
+    assert max(asked) > 7
