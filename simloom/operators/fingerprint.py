@@ -135,18 +135,19 @@ def accepted(fps: DataFrame, params: Params) -> DataFrame:
     return fps if params.max_set_ratio is None else fps.where(F.col("nbits") <= params.fp_bits * params.max_set_ratio)
 
 
-def with_vids(rows: DataFrame, key: str | list[str], base: int = 0, name: str = "vid") -> DataFrame:
-    """Dense ids in the order of ``key``: sorted partitions, each offset by the rows before it; only one count a partition goes to the driver."""
+def with_vids(rows: DataFrame, key: str | list[str], base: int = 0, name: str = "vid", parts: int | None = None) -> DataFrame:
+    """Dense ids in the order of ``key``: sorted partitions (``parts``, where the session's number is too low for the rows), each offset by
+    the rows before it; only one count a partition goes to the driver. A row's place in its partition is noted as it is written."""
     keys = [key] if isinstance(key, str) else key
-    ranged = settled(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
+    ranged = rows.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    ranged = settled(ranged.withColumn("part", F.shiftright("at", 33).cast("int")).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))))
     counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
     offsets, total = [], base
     for part, n in counts:
         offsets.append((part, total))
         total += n
     table = rows.sparkSession.createDataFrame(offsets or [(0, base)], "part int, before long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
-    return ranged.withColumn("place", place).join(F.broadcast(table), "part").select((F.col("before") + F.col("place") - 1).alias(name), *rows.columns)
+    return ranged.join(F.broadcast(table), "part").select((F.col("before") + F.col("at")).alias(name), *rows.columns)
 
 
 def postings(fps: DataFrame, id_col: str = "vid") -> DataFrame:

@@ -139,7 +139,8 @@ def pairs_all(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with their rank: range partitions are sorted, and each is offset by the pairs before it."""
-    return fp.with_vids(rounded(sim.similarity_join(prints(spark, d), 0.5)), ["sim", "vid_a", "vid_b"], 1, "rank")
+    pairs = settled(rounded(sim.similarity_join(prints(spark, d), 0.5)))
+    return fp.with_vids(pairs, ["sim", "vid_a", "vid_b"], 1, "rank", sim.partitions(spark, pairs.count() / sim.TASK_ROWS))
 
 
 def pairs_incremental(spark: SparkSession, d: str) -> DataFrame:

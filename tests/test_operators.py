@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from simloom.operators import clustering as cl
 from simloom.operators import cocluster as cc
 from simloom.operators import fingerprint as fp
@@ -302,3 +304,10 @@ def test_frequent_bits_are_dealt_in_slices(spark, monkeypatch, measure):
     got = {(r.vid_a, r.vid_b): r.inter for r in sim.similarity_join(prints(spark, sets), 0.3, measure).collect()}
     assert got == {(i, j): 1 for i, j in itertools.combinations(range(61), 2)}
     assert max(asked) > 7
+
+
+def test_ids_of_many_partitions_need_no_window(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("k"))
+    got = fp.with_vids(rows, "k", 1, "rank", 23)
+    assert sorted((r["rank"], r.k) for r in got.collect()) == [(i + 1, i) for i in range(500)]
+    assert "Window" not in got._jdf.queryExecution().toString()
