@@ -311,3 +311,16 @@ def test_ids_of_many_partitions_need_no_window(spark):
     got = fp.with_vids(rows, "k", 1, "rank", 23)
     assert sorted((r["rank"], r.k) for r in got.collect()) == [(i + 1, i) for i in range(500)]
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_long_and_short_samples_are_cut_in_pieces_of_bytes():
+    import pyarrow as pa
+
+    from simloom.common import pieces
+
+    texts = [b"x" * n for n in (10, 900, 5, 0, 3000, 40, 41, 900, 99)]
+    for column in (pa.array(texts), pa.array([[t, t[:1]] for t in texts])):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(9)), column], ["vid", "data"])
+        got = list(pieces([batch, batch.slice(0, 0)], 1, 1200))
+        assert [x for p in got for x in p.column(1).to_pylist()] == column.to_pylist()
+        assert all(p.num_rows == 1 or p.column(1).nbytes <= 1200 for p in got) and len(got) < 9
