@@ -65,14 +65,19 @@ def initial(spark: SparkSession, vids: DataFrame, fp_bits: int, k: int, l: int,
     return State(r, c, k, l)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """For a join with a table of a row for each sample: a broadcast would pass it through the driver, in each pass anew."""
+    return rows.hint("merge")
+
+
 def block_counts(postings: DataFrame, r: DataFrame, c: DataFrame) -> DataFrame:
     """rg, cg and n1, the ones of each block that has any."""
-    return postings.join(r, "vid").join(c, "bit").groupBy("rg", "cg").agg(F.count("*").alias("n1"))
+    return postings.join(shuffled(r), "vid").join(c, "bit").groupBy("rg", "cg").agg(F.count("*").alias("n1"))
 
 
 def line_statistics(postings: DataFrame, labels: DataFrame, item: str, by: str, group: str) -> DataFrame:
     """Ones of each item (row) by group of the other side: item, group and n. Groups without ones are left out."""
-    return postings.join(labels, by).groupBy(item, group).agg(F.count("*").alias("n"))
+    return postings.join(shuffled(labels) if by == "vid" else labels, by).groupBy(item, group).agg(F.count("*").alias("n"))
 
 
 def sizes(labels: DataFrame, group: str, n: int) -> np.ndarray:
@@ -117,7 +122,7 @@ def move(postings: DataFrame, labels: DataFrame, others: DataFrame, g: np.ndarra
     """Labels after one pass against frozen blocks. Items without a one take part too: those of one label decide once, on the driver."""
     width = len(other)
     counts = line_statistics(postings, others, item, by, theirs).groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct(theirs, "n"))).alias("m"))
-    wide = labels.join(counts, item).select(item, mine, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("bigint")).alias("stats"))
+    wide = labels.join(shuffled(counts), item).select(item, mine, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("bigint")).alias("stats"))
 
     @F.pandas_udf("int")
     def choose(current: pd.Series, stats: pd.Series) -> pd.Series:
@@ -129,7 +134,7 @@ def move(postings: DataFrame, labels: DataFrame, others: DataFrame, g: np.ndarra
     held = np.flatnonzero(own)
     empty = best_groups(held, np.zeros((len(held), width), np.int64), g, own, other, ties)
     table = labels.sparkSession.createDataFrame([(int(x), int(y)) for x, y in zip(held, empty)] or [(-1, -1)], f"{mine} int, without int")
-    return labels.join(F.broadcast(table), mine, "left").join(decided, item, "left").select(item, F.coalesce("new", "without").alias(mine))
+    return labels.join(F.broadcast(table), mine, "left").join(shuffled(decided), item, "left").select(item, F.coalesce("new", "without").alias(mine))
 
 
 def blocks(postings: DataFrame, s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -324,3 +324,12 @@ def test_long_and_short_samples_are_cut_in_pieces_of_bytes():
         got = list(pieces([batch, batch.slice(0, 0)], 1, 1200))
         assert [x for p in got for x in p.column(1).to_pylist()] == column.to_pylist()
         assert all(p.num_rows == 1 or p.column(1).nbytes <= 1200 for p in got) and len(got) < 9
+
+
+def test_tables_of_samples_are_not_broadcast(spark):
+    s = cc.initial(spark, spark.range(50).withColumnRenamed("id", "vid"), 16, 2, 2, None)
+    post = spark.range(200).select((F.col("id") % 50).alias("vid"), (F.col("id") * 7 % 16).cast("int").alias("bit"))
+    for df in (cc.block_counts(post, s.r, s.c), cc.line_statistics(post, s.r, "bit", "vid", "rg")):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [vid" in plan and "BroadcastHashJoin [vid" not in plan
+    assert sum(x.n1 for x in cc.block_counts(post, s.r, s.c).collect()) == 200
