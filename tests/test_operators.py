@@ -333,3 +333,32 @@ def test_tables_of_samples_are_not_broadcast(spark):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin [vid" in plan and "BroadcastHashJoin [vid" not in plan
     assert sum(x.n1 for x in cc.block_counts(post, s.r, s.c).collect()) == 200
+
+
+@pytest.mark.parametrize("through", [None, 90])
+def test_similar_groups_of_long_sets_in_small_cells(spark, monkeypatch, through):
+    """Keys of many classes are dealt in slices, and groups of similar classes are verified in several cells."""
+    rng = random.Random(14)
+    base = [set(rng.sample(range(5000), n)) for n in (36, 70, 150)]
+    sets = [set(rng.sample(sorted(b), int(len(b) * rng.uniform(0.8, 1)))) | {rng.randrange(5000)} for b in base for _ in range(35)]
+    rng.shuffle(sets)
+    for name, value in (("TASK_ROWS", 300), ("DEALT", 1), ("CELL_BITS", 500), ("CELL_ROWS", 9), ("PAIR_ROWS", 100)):
+        monkeypatch.setattr(sim, name, value)
+    pairs = sim.similarity_join(prints(spark, sets), 0.7) if through is None else sim.incremental_join(prints(spark, sets), through, 0.7)
+    got = {(r.vid_a, r.vid_b): (r.inter, r.uni) for r in pairs.collect()}
+    want = {(i, j): (len(a & b), len(a | b)) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if 10 * len(a & b) >= 7 * len(a | b)}
+    assert got == {k: v for k, v in want.items() if through is None or k[1] > through} and len(want) > 500
+
+
+def test_keys_of_long_sets_are_no_rows(spark, monkeypatch):
+    """Two bits that only one set has in its prefix are neither written nor shuffled as a row, and pairs carry no bits."""
+    rng = random.Random(15)
+    sets = [set(rng.sample(range(1 << 18), 300)) for _ in range(150)]
+    sets += [s - set(rng.sample(sorted(s), 9)) for s in sets[:50]]
+    written, settled = [], sim.settled
+    monkeypatch.setattr(sim, "settled", lambda df, **rest: (written.append(settled(df, **rest)), written[-1])[1])
+    assert sim.similarity_join(prints(spark, sets), 0.7).count() == 50
+    spark.catalog.clearCache()
+    rows = [x.count() for x in written if "bits" not in x.columns and "h" not in x.columns]
+    assert max(rows) < 8000, rows
+    assert not [x.columns for x in written if "bits_a" in x.columns or "bits" in x.columns and "a" in x.columns]
