@@ -60,8 +60,13 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if window == 1:
         return np.arange(len(hashes))
-    view = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(np.arange(len(view)) + window - 1 - view[:, ::-1].argmin(axis=1))
+    # Least of numbers that hold the hash and, below it, how far from the end it stands; of windows of 1, 2, 4 and so on, and two of these for the rest.
+    least, width = hashes.astype(np.uint64) << np.uint64(32) | np.arange(len(hashes) - 1, -1, -1, dtype=np.uint64), 1
+    while width < window:
+        step = min(width, window - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = len(hashes) - 1 - (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
 def shreds(samples: DataFrame, params: Params, mode: str = "text", id_col: str = "vid", data_col: str = "data", kind: str | tuple[str, ...] = "djb2", keep: str = "all") -> DataFrame:

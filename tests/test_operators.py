@@ -335,6 +335,21 @@ def test_tables_of_samples_are_not_broadcast(spark):
     assert sum(x.n1 for x in cc.block_counts(post, s.r, s.c).collect()) == 200
 
 
+def test_few_queries_read_the_samples_once(spark, monkeypatch):
+    """Samples that bits of few queries are looked for in are neither written nor shuffled, and both ways find the same."""
+    rng = random.Random(12)
+    sets = [set(rng.sample(range(300), rng.randint(0, 40))) for _ in range(300)]
+    sets += sets[:40] + [{0, i} for i in range(1, 50)]
+    asked = [set(rng.sample(range(400), rng.randint(0, 30))) for _ in range(40)] + sets[5:15] + [{0}, {999}]
+    fps, queries = prints(spark, sets), prints(spark, asked)
+    far = {r["query"]: (r.vid, round(r.sim, 9)) for r in sim.nearest(queries, fps, broadcast_rows=0).collect()}
+    monkeypatch.setattr(sim, "PART_BITS", 50)
+    monkeypatch.setattr(sim, "equal_classes", None)
+    got = sim.nearest(queries, fps)
+    assert {r["query"]: (r.vid, round(r.sim, 9)) for r in got.collect()} == far
+    assert len(far) == len(asked) and far[51] == (-1, 0.0)
+
+
 @pytest.mark.parametrize("through", [None, 90])
 def test_similar_groups_of_long_sets_in_small_cells(spark, monkeypatch, through):
     """Keys of many classes are dealt in slices, and groups of similar classes are verified in several cells."""
