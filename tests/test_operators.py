@@ -377,3 +377,23 @@ def test_keys_of_long_sets_are_no_rows(spark, monkeypatch):
     rows = [x.count() for x in written if "bits" not in x.columns and "h" not in x.columns]
     assert max(rows) < 8000, rows
     assert not [x.columns for x in written if "bits_a" in x.columns or "bits" in x.columns and "a" in x.columns]
+
+
+@pytest.mark.parametrize("measure", ["containment", "harmony"])
+def test_tasks_follow_the_rows_of_all_keys(spark, monkeypatch, measure):
+    """No bit makes more joined rows than a task is to get, but all together do; classes are compared with few and with many partners at once."""
+    monkeypatch.setattr(sim, "TASK_ROWS", 500)
+    monkeypatch.setattr(sim, "RUN_BITS", 40)
+    monkeypatch.setattr(sim, "CARRIED", 0 if measure == "harmony" else 64)
+    asked = []
+    monkeypatch.setattr(sim, "partitions", lambda spark, least: (asked.append(least), 7)[1])
+    rng = random.Random(16)
+    sets = [set(rng.sample(range(60 * g, 60 * g + 12), rng.randint(2, 9))) for g in range(40) for _ in range(9)]
+    got = {(r.vid_a, r.vid_b): r.inter for r in sim.similarity_join(prints(spark, sets), 0.6, measure).collect()}
+    want = {}
+    for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+        s = len(a & b) / (len(a | b) if measure == "harmony" and len(a) == len(b) else min(len(a), len(b)))
+        if s >= 0.6:
+            want[i, j] = len(a & b)
+    assert got == want
+    assert max(asked) > 7
