@@ -37,11 +37,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group stays: five-word shingles, similarity of 0.8 or more."""
+    give_back(spark)
     return one_of_each(docs, k=5, per_cent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths of a benchmark item's five-word shingles go."""
+    give_back(spark)
     return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 

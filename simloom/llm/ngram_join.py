@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import broadcast_if, durable, in_arrow, read_table
+from simloom.llm.common import broadcast_if, durable, give_back, in_arrow, read_table
 from simloom.operators.clustering import components
 
 BASE, SLOTS, CHUNK = 0x9E3779B97F4A7C15, 1 << 22, 1 << 16
@@ -325,6 +325,42 @@ def home_groups(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     return guests.select("key", "rep", "n", "component", (F.col("home") == F.col("key")).alias("own")), home
 
 
+def shared_counts(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Members that each set of ``one`` shares with each other one of ``two`` (places in ``sets``, whose members are distinct 32-bit
+    integers). Holds some 20 bytes for a member."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    flat = flat[order]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+    del order
+    new = np.ones(len(flat) + 1, bool)
+    np.not_equal(flat[1:], flat[:-1], out=new[1:-1])
+    del flat
+    many = ~(new[:-1] & new[1:])  # those of one set alone are shared with none
+    row, column = row[many], np.cumsum(new[:-1][many], dtype=np.int32) - np.int32(1)
+    shared = np.zeros((len(one), len(two)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        lo, hi = np.searchsorted(column, np.array([a, a + 1024], np.int32))
+        x = np.zeros((len(sets), 1024), np.float32)
+        x[row[lo:hi], column[lo:hi] - a] = 1
+        shared += x[one] @ x[two].T
+    return shared
+
+
+def compare(pdf: pd.DataFrame, per_cent: int) -> pd.DataFrame:
+    """Pairs of two blocks whose sets may be similar enough: one of them at its own home, and in different components."""
+    pdf = pdf.drop_duplicates("id")
+    one, two = (np.flatnonzero((pdf["b"] == pdf[c].iloc[0]).to_numpy()) for c in "ij")
+    lost = (pdf["n"] - pdf["s"].map(len)).to_numpy()
+    shared = shared_counts(pdf.pop("s").tolist(), one, two)
+    n, own, group, ids = (pdf[c].to_numpy() for c in ("n", "own", "component", "id"))
+    shared += np.minimum(lost[one][:, None], lost[two][None, :])
+    union = n[one][:, None] + n[two][None, :] - shared
+    found = (100 * shared >= per_cent * union) & (own[one][:, None] | own[two][None, :]) & (group[one][:, None] != group[two][None, :])
+    x, y = np.nonzero(found)
+    return pd.DataFrame({"x": ids[one[x]], "y": ids[two[y]]})
+
+
 def compared_in_blocks(guests: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     """Links (x, y) between members of a key in different components, one of whom is its own.
 
@@ -333,36 +369,15 @@ def compared_in_blocks(guests: DataFrame, docs: DataFrame, k: int, per_cent: int
     a set loses by that counts as shared, so no link is lost, and the few pairs found are verified with whole hashes.
     """
     guests = durable(guests)
+    if not guests.isEmpty():
+        give_back(guests.sparkSession)
     sizes = guests.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("all")).where("members > 1")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all") / BLOCK_MEMBERS))
     dealt = guests.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("rep"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", F.col("rep").alias("id"), "n", "component", "own")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        one, two = (np.flatnonzero((pdf["b"] == pdf[c].iloc[0]).to_numpy()) for c in "ij")
-        token, times = np.unique(np.concatenate(pdf["s"].to_numpy()), return_inverse=True, return_counts=True)[1:]
-        row = np.repeat(np.arange(len(pdf)), pdf["s"].map(len).to_numpy())
-        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[token]
-        row, column = row[column >= 0], column[column >= 0]
-        shared = np.zeros((len(one), len(two)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            lo, hi = np.searchsorted(column, [a, a + 4096])
-            x = np.zeros((len(pdf), 4096), np.float32)
-            x[row[lo:hi], column[lo:hi] - a] = 1
-            shared += x[one] @ x[two].T
-        n, own, group, ids = (pdf[c].to_numpy() for c in ("n", "own", "component", "id"))
-        lost = n - pdf["s"].map(len).to_numpy()
-        shared += np.minimum(lost[one][:, None], lost[two][None, :])
-        union = n[one][:, None] + n[two][None, :] - shared
-        found = (100 * shared >= per_cent * union) & (own[one][:, None] | own[two][None, :]) & (group[one][:, None] != group[two][None, :])
-        x, y = np.nonzero(found)
-        return pd.DataFrame({"x": ids[one[x]], "y": ids[two[y]]})
-
     sets = sets_of(docs, guests.select(F.col("rep").alias("id")).distinct(), k, short=True)
-    found = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(compare, "x long, y long")
+    found = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(lambda pdf: compare(pdf, per_cent), "x long, y long")
     return verified(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), docs, k, per_cent)
 
 

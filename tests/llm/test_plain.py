@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -104,6 +105,37 @@ def test_op9_scores_equal_plain_loop(spark):
     assert all(abs(got[i] - plain_toxicity(t, slopes)) < 1e-5 for i, t in enumerate(texts)) and got[4] == got[5] == got[6] == 0
 
 
+def test_stages_give_back_heap_first(monkeypatch):
+    import corpus_pipeline
+
+    class Asked(Exception):
+        pass
+
+    def ask(spark):
+        raise Asked
+
+    monkeypatch.setattr(corpus_pipeline, "give_back", ask)
+    for name, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Asked):
+            stage(None, None, "")
+            pytest.fail(name)
+
+
+def test_op4_blocks_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400 + 40_000 * (i % 3), 600).astype(np.int32)) for i in range(200)]
+    one, two = np.arange(0, 120), np.arange(90, 200)
+    tracemalloc.start()
+    shared = ngram_join.shared_counts(sets, one, two)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in two] for i in one])
+    others = one[:, None] != two
+    assert np.array_equal(shared[others], want[others]) and shared[others].max() > 200
+    assert peak < 40 * sum(map(len, sets)) + 4 * 1024 * 2.2 * len(sets) + 8 * shared.size
+    assert ngram_join.shared_counts([np.array([1], np.int32), np.array([2], np.int32)], np.array([0]), np.array([1])).tolist() == [[0]]
+
+
 def test_op9_gradients():
     net = toxicity.SubwordSoftmax()
     docs = net.prepared([b"bad words here", b"good words here now", b"bad bad day", b"words now"])
